@@ -14,8 +14,8 @@ table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -25,78 +25,158 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from blockloom.llm.shared import new_path, partitions
+from blockloom.llm.textscan import lower_ascii, slices
 
 END_ID = 2
-#: Entries of a worker's cache of encoded words; it is emptied when full.
-CACHE_WORDS = 250_000
-#: Longer chunks aren't cached.
+#: Entries of a worker's cache of encoded words, and the longest word in it.
+CACHE_WORDS = 600_000
 CACHE_CHARS = 48
-#: Characters of text that are encoded at once.
-BATCH_CHARS = 2_000_000
-#: Separators for str.split() that the tokenizer doesn't count as white space.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 4 << 20
 SCHEMA = "doc_id long, part int, file_start long, n_tokens int, ids array<int>"
 
 
+def byte_classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    space, alnum, odd = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    alnum[0x30:0x3A] = alnum[0x41:0x5B] = alnum[0x61:0x7B] = True
+    odd[0x1C:0x20] = odd[0xC4:] = True
+    return space, alnum, odd
+
+
+SPACE, ALNUM, ODD = byte_classes()
+LOWER = lower_ascii()
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """(lower-cased words, index of each text's first word, which texts are odd).
+
+    Words end at white space; a full stop or comma between a letter or digit and white space is a
+    word of its own, as it is for the tokenizer.  Odd texts have characters beyond Latin-1, special
+    tokens or separators that aren't white space to the tokenizer; they are to be encoded as a whole.
+    """
+    n = len(data)
+    wide = np.zeros(n + 2, np.uint8)
+    wide[1:-1] = data
+    before, after = wide[:-2], wide[2:]
+    at_start = np.zeros(n + 1, bool)
+    at_start[offsets] = True
+    bad = np.flatnonzero(ODD[data] | ((before == 0xC2) & (data == 0x85)) | ((data == 0x3C) & (after == 0x7C)))
+    odd = np.diff(np.searchsorted(bad, offsets)) > 0
+    low = LOWER[data]
+    low += ((before == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)).view(np.uint8) << 5
+    gap = SPACE[data]
+    blank = np.flatnonzero((data == 0xA0) & (before == 0xC2))  # a no-break space
+    gap[blank] = gap[blank - 1] = True
+    stop = np.flatnonzero((data == 0x2E) | (data == 0x2C))
+    stop = stop[SPACE[after[stop]] & ~at_start[stop] & ~at_start[stop + 1]]
+    last = before[stop]
+    stop = stop[ALNUM[last] | ((last >= 0x80) & (last != 0x97) & (last != 0xB7) & (wide[stop - 1] == 0xC3))]
+    kept = ~gap
+    starts = kept.copy()
+    starts[1:] &= gap[:-1]
+    cuts = offsets[:-1][offsets[:-1] < n]
+    starts[cuts] = kept[cuts]
+    starts[stop] = True
+    place = np.flatnonzero(starts)
+    at = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])
+    text = low[kept]
+    words = pa.LargeStringArray.from_buffers(len(place), pa.py_buffer(np.append(at[place], len(text))), pa.py_buffer(text))
+    return words, np.searchsorted(place, offsets), odd
+
+
 class Encoder:
-    """Encodes texts with a tokenizer file of the ``tokenizers`` library, word by word.
+    """Encodes texts with a tokenizer file of the ``tokenizers`` library, each distinct word once.
 
-    The tokenizer turns white space into single blanks and then cuts at it, so the ids of a text
-    are the ids of its white-space-free chunks in order.  Each distinct chunk of a batch is
-    encoded once.  Texts with separators on which str.split() and the tokenizer disagree are
-    encoded as they are.
+    The tokenizer lower-cases, turns white space into single blanks and cuts there, so the ids of
+    a text are the ids of its words in order.  The library encodes the words that the cache hasn't;
+    words of letters alone skip its normalizer and its regular expression, which leave them as they are.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.cache, self.cache_words = Tokenizer.from_file(path), {}, cache_words
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if ODD_SPACE.search(x) else x.split() for x in texts]
-        new = {w for s in split if s for w in s if w not in self.cache}
-        if len(self.cache) + len(new) > self.cache_words:
-            self.cache.clear()
-            new = {w for s in split if s for w in s}
-        words = list(new)
-        for k in range(0, len(words), 10_000):
-            part = words[k : k + 10_000]
-            self.cache.update(zip(part, (x.tobytes() for x in self.ids(part)), strict=True))
-        get = self.cache.__getitem__
-        for x, s in zip(texts, split, strict=True):
-            yield self.ids([x])[0].tobytes() if s is None else b"".join(map(get, s))
-        for w in words:
-            if len(w) > CACHE_CHARS:
-                self.cache.pop(w, None)
-
-
-def pieces(batches: Iterable[pa.RecordBatch], limit: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with at most about ``limit`` characters of their column ``text`` (one row at least)."""
-    for batch in batches:
-        at, texts, size = 0, [], 0
-        for k, x in enumerate(batch.column("text")):
-            text = x.as_py() or ""
-            if texts and size + len(text) > limit:
-                yield batch.slice(at, k - at), texts
-                at, texts, size = k, [], 0
-            texts.append(text)
-            size += len(text)
-        if texts:
-            yield batch.slice(at), texts
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.mark = int(self.direct("\x01")[0])
+
+    def direct(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if w.isalpha()]
+        for k in range(0, len(plain), 5000):
+            part = plain[k : k + 5000]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends, raw = np.flatnonzero(self.ends[ids]) + 1, ids.tobytes()
+            out.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
+        rest = [w for w in words if not w.isalpha()]
+        marked = [w for w in rest if "\x01" not in w]
+        for k in range(0, len(marked), 5000):
+            part = marked[k : k + 5000]
+            ids = self.direct(" \x01 ".join(part) + " \x01")
+            ends, raw = np.flatnonzero(ids == self.mark), ids.tobytes()
+            out.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)], strict=True))
+        out.update((w, self.direct(w).tobytes()) for w in rest if "\x01" in w)
+        return out
+
+    def known(self, distinct: list[str]) -> list[bytes]:
+        own = self.cache.get
+        out = [own(w) for w in distinct]
+        new = [w for w, x in zip(distinct, out, strict=True) if x is None]
+        if not new:
+            return out
+        if 2 * len(new) > len(distinct) and len(self.cache) >= self.cache_words:
+            self.cache.clear()  # the texts have changed
+        fresh = self.words(new)
+        room = self.cache_words - len(self.cache)
+        if room > 0:
+            self.cache.update([(w, fresh[w]) for w in new[:room] if len(w) <= CACHE_CHARS])
+        return [fresh[w] if x is None else x for w, x in zip(distinct, out, strict=True)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text; ``data``: UTF-8 bytes, ``offsets``: where texts start in it, and its end."""
+        words, first, odd = split_words(data, offsets)
+        whole = {int(k): self.direct(data[offsets[k] : offsets[k + 1]].tobytes().decode()) for k in np.flatnonzero(odd)}
+        if whole:
+            use = np.ones(len(words), bool)
+            for k in whole:
+                use[first[k] : first[k + 1]] = False
+            first = np.concatenate([[0], np.cumsum(use)])[first]
+            words = words.filter(pa.array(use))
+        coded = words.dictionary_encode()
+        distinct = self.known(coded.dictionary.to_pylist())
+        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in distinct], dtype=np.int64)])
+        taken = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(distinct), "<u4"))).take(coded.indices)
+        flat, at = taken.values.to_numpy(), taken.offsets.to_numpy()[first]
+        return [whole[k] if k in whole else flat[a:b] for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [x.encode() for x in texts]
+        return self.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process."""
+    return Encoder(path)
 
 
 def encode_partition(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, start = Encoder(path), TaskContext.get().partitionId(), 0
-    end = np.array([end_id], "<u4").tobytes()
-    for rows, texts in pieces(batches):
-        coded = [x + end for x in encoder.encode(texts)]
-        lengths = np.array([len(x) // 4 for x in coded], np.int64)
+    coder, part, start = encoder(path), TaskContext.get().partitionId(), 0
+    end = np.array([end_id], "<u4")
+    for rows, data, offsets in slices(batches, limit=BATCH_BYTES):
+        coded = coder.encode(data, offsets)
+        lengths = np.array([len(x) + 1 for x in coded], np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+        flat = np.concatenate([y for x in coded for y in (x, end)])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32)))
         yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(np.full(len(coded), part), pa.int32()), pa.array(start + ends[:-1]), pa.array(lengths, pa.int32()), ids], ["doc_id", "part", "file_start", "n_tokens", "ids"])
         start += int(ends[-1])
 
