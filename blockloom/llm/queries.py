@@ -29,6 +29,12 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.toxicity import toxicity
+
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm.decontam import contamination, contamination_digest
 
@@ -41,5 +47,5 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op2_orc_tokens, op3_curriculum_mix, op4_ring_shards, op8_winnowing, op9_circulant_minhash)}
+QUERIES = {f.__name__: f for f in (op2_orc_tokens, op3_curriculum_mix, op4_ring_shards, op6_kneser_ney_toxicity, op8_winnowing, op9_circulant_minhash)}
 ORACLES: dict[str, str] = {}
