@@ -29,6 +29,12 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.pii import find_personal_data
+
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm.toxicity import toxicity
 
@@ -47,5 +53,11 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op2_orc_tokens, op3_curriculum_mix, op4_ring_shards, op6_kneser_ney_toxicity, op8_winnowing, op9_circulant_minhash)}
+def op10_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.secret_scan import find_secrets
+
+    return find_secrets(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_orc_tokens, op3_curriculum_mix, op4_ring_shards, op5_crf_personal_data, op6_kneser_ney_toxicity, op8_winnowing, op9_circulant_minhash, op10_guess_cost_secrets)}
 ORACLES: dict[str, str] = {}
