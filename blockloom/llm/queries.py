@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from blockloom.llm.shared import read_table
 
 
+def op1_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.langid import identify
+
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +47,12 @@ def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.knn import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm.decontam import contamination, contamination_digest
 
@@ -59,5 +71,16 @@ def op10_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_orc_tokens, op3_curriculum_mix, op4_ring_shards, op5_crf_personal_data, op6_kneser_ney_toxicity, op8_winnowing, op9_circulant_minhash, op10_guess_cost_secrets)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_hyperdimensional_langid, op2_orc_tokens, op3_curriculum_mix, op4_ring_shards, op5_crf_personal_data, op6_kneser_ney_toxicity, op7_voronoi_knn, op8_winnowing, op9_circulant_minhash, op10_guess_cost_secrets)}
+ORACLES: dict[str, str] = {
+    "op7_voronoi_knn": """
+        WITH base AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM base q JOIN base c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored
+        QUALIFY rank <= 20""",
+}
