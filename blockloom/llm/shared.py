@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: The folder for a local master without the setting.
+LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -17,25 +23,38 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rsplit("/", 1)[0]
+    if LOCAL:
+        return LOCAL[0]
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    own = tempfile.mkdtemp(prefix="blockloom-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    LOCAL.append(tempfile.mkdtemp(prefix="blockloom-"))
+    atexit.register(shutil.rmtree, LOCAL[0], ignore_errors=True)
+    return LOCAL[0]
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Tables that cut() wrote, in order.
+WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from a reliable checkpoint, so lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows read from a table in the shared folder, so lost executors cost no recomputation."""
+    spark = df.sparkSession
+    path = new_path(spark, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that cut() has written; for callers that have stored all results that read them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(conf).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
