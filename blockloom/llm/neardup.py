@@ -16,6 +16,10 @@ What keeps it linear with large groups:
   rounds end when no bucket holds two members of different components that were not compared, so
   no link between two members of a bucket is lost and no bucket is capped.
 
+Pairs carry a parity sketch of their sets (PARITY_BITS bits; a shingle flips one).  Two sketches
+differ in at most as many bits as the sets have different shingles, so a pair whose sketches differ
+in more than a link allows is dropped inside the join, before its sets are fetched, without loss.
+
 ``bands_for`` chooses the number of bands so that a pair at the threshold is missed with a chance
 under one in a million.
 
@@ -41,6 +45,7 @@ from blockloom.llm.textscan import grams, is_not_space, lower_ascii, mixed, scan
 
 RING = 1 << 20
 MISS = 1e-6
+PARITY_BITS = 1024
 #: Up to so many classes, their row ids are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Comparisons in a further round, as a multiple of the rows in shared buckets; more wait for the next round.
@@ -102,13 +107,20 @@ def identity(s: np.ndarray) -> bytes | None:
     return s.sum(dtype=np.uint64).tobytes() + mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).tobytes()
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketch(batches: Iterable[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for part, sets in shingle_sets(batches, k):
         full = [s for s in sets if len(s)]
         keys = band_keys(np.stack([signature(s, bands * rows) for s in full]), bands, rows) if full else np.zeros((0, bands), np.int64)
         ends = np.concatenate([[0], np.cumsum([bands * (len(s) > 0) for s in sets])])
-        columns = [part.column("row"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))]
-        yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "cls", "keys"])
+        words = PARITY_BITS // 64
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * words, pa.int32()), pa.array(np.concatenate([parity(s) for s in sets])))
+        columns = [part.column("row"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel())), bits]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "cls", "keys", "bits"])
 
 
 def full_sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -160,8 +172,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if bands is None or rows is None:
         bands, rows = bands_for(percent)
     plain = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = cut(plain.mapInArrow(lambda batches: sketch(batches, k, bands, rows), "row long, doc_id long, n long, cls binary, keys array<long>"))
-    classes = cut(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    sketches = cut(plain.mapInArrow(lambda batches: sketch(batches, k, bands, rows), "row long, doc_id long, n long, cls binary, keys array<long>, bits array<long>"))
+    classes = cut(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
     links = find_links(spark, plain, classes, k, percent)
 
     members = sketches.where("cls is not null").select("row", "doc_id", "n", "cls")
@@ -189,9 +201,18 @@ def find_links(spark, plain: DataFrame, classes: DataFrame, k: int, percent: int
     weight = cut(hits.groupBy("cls").agg(F.sum("members").alias("weight")))
     ranked = hits.join(weight, "cls")
     centre = cut(ranked.groupBy("key").agg(F.max(F.struct("weight", F.col("cls").alias("c"), F.col("n").alias("cn"))).alias("top")).select("key", "top.c", "top.cn"))
-    hits = cut(hits.select("key", "cls", "n"))
-    alike = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    pairs = hits.join(centre, "key").where((F.col("cls") != F.col("c")) & alike(F.col("n"), F.col("cn")))
+    width = PARITY_BITS // 64
+    bits = classes.select("cls", *(F.get("bits", F.lit(j)).alias(f"b{j}") for j in range(width)))
+    hits = cut(hits.select("key", "cls", "n").join(bits, "cls"))
+    bits = [f"b{j}" for j in range(width)]
+
+    def alike(n: str, m: str, other: str):
+        """What every link fulfils: of sizes n and m, with columns b0, ... and the other's, which start with ``other``."""
+        flips = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(b).bitwiseXOR(F.col(f"{other}{b}"))) for b in bits])
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (flips * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
+
+    centre = cut(centre.join(hits.select("key", F.col("cls").alias("c"), *(F.col(b).alias(f"c{b}") for b in bits)), ["key", "c"]))
+    pairs = hits.join(centre, "key").where((F.col("cls") != F.col("c")) & alike("n", "cn", "c"))
     pairs = cut(pairs.select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct())
 
     wanted = cut(hits.select("cls").distinct().join(classes.select("cls", "row"), "cls"))
@@ -206,7 +227,7 @@ def find_links(spark, plain: DataFrame, classes: DataFrame, k: int, percent: int
     turn = 0
     while True:
         comp = components(links)
-        placed = cut(hits.join(comp, "cls", "left").select("key", "cls", "n", F.coalesce("comp", "cls").alias("comp")))
+        placed = cut(hits.join(comp, "cls", "left").select("key", "cls", "n", F.coalesce("comp", "cls").alias("comp"), *bits))
         left = placed.join(done, ["key", "cls"], "left_anti") if turn else placed
         counts = left.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("open"), F.count("*").alias("comps")).where("comps > 1")
         open_buckets = cut(counts.select("key", F.col("main.comp").alias("main"), "open", (F.col("open") - F.col("main.size")).alias("outside")))
@@ -216,8 +237,8 @@ def find_links(spark, plain: DataFrame, classes: DataFrame, k: int, percent: int
         turn += 1
         share = min(1.0, ROUND_FACTOR * n_hits / work)
         asking = left.join(open_buckets.select("key", "main"), "key").where(F.col("comp") != F.col("main"))
-        asking = cut(asking.where(F.pmod(F.xxhash64("cls", "key", F.lit(turn)), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("key", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")))
-        more = placed.join(asking, "key").where((F.col("comp") != F.col("pc")) & alike(F.col("n"), F.col("pn")))
+        asking = cut(asking.where(F.pmod(F.xxhash64("cls", "key", F.lit(turn)), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("key", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), *(F.col(b).alias(f"p{b}") for b in bits)))
+        more = placed.join(asking, "key").where((F.col("comp") != F.col("pc")) & alike("n", "pn", "p"))
         more = more.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
         more = cut(more)
         links = cut(links.union(confirmed(more, sets, percent)))
