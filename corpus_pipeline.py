@@ -1,7 +1,109 @@
-"""Corpus pipeline; see the README."""
-STAGES = []
+"""Corpus pipeline: filter toxic documents, near duplicates and benchmark leaks, mix the sources, shard.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
+read again as the next stage's ``docs``.  All stages but the last return the columns of their
+input as they are.  Nulls, repeated rows and empty tables are treated as the operators say; rows
+without an id are only dropped where a row with an id stays for them.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from blockloom.llm import shared
+from blockloom.llm.decontam import contaminated_out
+from blockloom.llm.mixing import mix
+from blockloom.llm.neardup import near_duplicates
+from blockloom.llm.sharding import sharded
+from blockloom.llm.toxicity import toxic_out
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Up to so many dropped rows are broadcast as 64-bit keys; more are joined by a shuffle.
+BROADCAST_DROPPED = 1_000_000
+SHARDS = 8
+#: Tables in the shared folder that the last stage's result reads.
+held: list[str] = []
+
+
+def sweeping(stage: Stage) -> Stage:
+    """A stage's intermediate tables go when the next one starts: its result is stored by then."""
+
+    @functools.wraps(stage)
+    def swept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.sweep(spark, held)
+        held.clear()
+        before = len(shared.WRITTEN)
+        out = stage(spark, docs, sf_dir)
+        held.extend(shared.WRITTEN[before:])
+        return out
+
+    return swept
+
+
+@sweeping
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model rejects go."""
+    return toxic_out(docs, shared.read_table(spark, sf_dir, "labels"))
+
+
+@sweeping
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: that of the smallest id."""
+    groups = near_duplicates(docs, k=5, percent=80)
+    dropped = shared.cut(groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("row").alias("__row")).distinct())
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_DROPPED else dropped
+    kept = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(dropped, "__row", "left_anti").drop("__row")
+    again = groups.where("kept and n_shingles > 0").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+
+
+@sweeping
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share ten words in a row (or a whole shorter item) with the benchmark go."""
+    return contaminated_out(docs, shared.read_table(spark, sf_dir, "benchmark"))
+
+
+@sweeping
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's documents as often as its target asks for, whole ones, in training order."""
+    plan = mix(docs, whole_documents=True).select("doc_id", "text_crc32", "positions")
+    plan = shared.cut(plan.where(F.size("positions") > 0).groupBy("doc_id", "text_crc32").agg(F.flatten(F.collect_list("positions")).alias("positions"), F.count("*").alias("rows")))
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("positions").alias("__positions"), "rows")
+    if plan.where("rows > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])  # the plan has the positions of all their copies
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*own).alias("__doc"), F.col("doc_id").alias("__own"), shared.text_crc32(F.col("text")).alias("__sum"))
+    timed = keyed.join(plan, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__sum") == F.col("__crc")))
+    read = timed.select("__doc", F.explode("__positions").alias("__at"), "__own")
+    return read.repartitionByRange(shared.partitions(spark), "__at", "__own").sortWithinPartitions("__at", "__own").select("__doc.*")
+
+
+@sweeping
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with their shard and slot."""
+    return sharded(docs, SHARDS)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("shard", shard),
+]
+
+#: SQL can't express the language models or the signatures.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        path = shared.new_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
