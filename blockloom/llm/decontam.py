@@ -176,3 +176,21 @@ def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contamination_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "found").mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def without_hits(batches: Iterable[pa.RecordBatch], block, text_col: str) -> Iterator[pa.RecordBatch]:
+    block, table, lower = block.value, is_alphanumeric(), lower_ascii()
+    for rows, data, offsets in slices(batches, text_col):
+        keep = np.ones(len(rows), bool)
+        for text, *_ in block.matches(scan(data, offsets, table, lower), len(rows)):
+            keep[text] = False
+        yield rows.filter(pa.array(keep))
+
+
+def contaminated_out(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents without hits, with all their columns."""
+    out = docs
+    for items in blocks(benchmark, item_col, item_text_col, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(Block(items))
+        out = out.mapInArrow(lambda batches, sent=sent: without_hits(batches, sent, text_col), docs.schema)
+    return out

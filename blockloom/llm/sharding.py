@@ -91,20 +91,35 @@ def walk(counts: dict[int, int], n_shards: int, epsilon: float = 0.0, virtual_no
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, epsilon: float = 0.0, id_col: str = "doc_id", text_col: str = "text", cell_bits: int = CELL_BITS) -> DataFrame:
     """One row per input row: id, size, text_crc32, shard, slot (gapless within its shard)."""
-    spark = docs.sparkSession
+    keyed = cut(keyed_rows(docs, id_col, text_col, cell_bits))
+    return placed(keyed, keyed, n_shards, epsilon, cell_bits).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def sharded(docs: DataFrame, n_shards: int = 8, epsilon: float = 0.0, id_col: str = "doc_id", text_col: str = "text", cell_bits: int = CELL_BITS) -> DataFrame:
+    """The rows of the documents with all their columns, and shard and slot (which replace columns of these names)."""
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    rows = keyed_rows(docs, id_col, text_col, cell_bits, F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"))
+    keys = keyed_rows(docs, id_col, text_col, cell_bits)
+    return placed(rows, keys, n_shards, epsilon, cell_bits).select("doc.*", "shard", "slot")
+
+
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str, cell_bits: int, *more) -> DataFrame:
     text = F.col(text_col)
     keyed = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         text_crc32(text).alias("text_crc32"),
+        *more,
     ).withColumn("at", F.xxhash64("doc_id", "size", "text_crc32"))
-    keyed = cut(keyed.withColumn("cell", F.shiftrightunsigned("at", 64 - cell_bits).cast("int")))
-    counts = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    return keyed.withColumn("cell", F.shiftrightunsigned("at", 64 - cell_bits).cast("int"))
+
+
+def placed(rows: DataFrame, keys: DataFrame, n_shards: int, epsilon: float, cell_bits: int) -> DataFrame:
+    """``rows`` with shard and slot; ``keys`` has the same rows, for the counts."""
+    counts = {r["cell"]: r["n"] for r in keys.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     plan = [dict(zip(("cell", "lo", "hi", "shard", "base"), x, strict=True)) for x in walk(counts, n_shards, epsilon, cell_bits=cell_bits)]
-    intervals = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), "array<struct<cell:int,lo:bigint,hi:bigint,shard:int,base:bigint>>")))
+    intervals = rows.sparkSession.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), "array<struct<cell:int,lo:bigint,hi:bigint,shard:int,base:bigint>>")))
     in_cell = Window.partitionBy("cell").orderBy("at", "doc_id", "size", "text_crc32")
-    ranked = keyed.withColumn("rank", F.row_number().over(in_cell).cast("long") - 1)
-    return (
-        ranked.join(F.broadcast(intervals), (ranked["cell"] == intervals["cell"]) & (ranked["rank"] >= intervals["lo"]) & (ranked["rank"] < intervals["hi"]))
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
-    )
+    ranked = rows.withColumn("rank", F.row_number().over(in_cell).cast("long") - 1)
+    joined = ranked.join(F.broadcast(intervals), (ranked["cell"] == intervals["cell"]) & (ranked["rank"] >= intervals["lo"]) & (ranked["rank"] < intervals["hi"]))
+    return joined.withColumn("slot", F.col("base") + F.col("rank") - F.col("lo"))
