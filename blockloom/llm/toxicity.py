@@ -125,13 +125,13 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, ordinary, toxic) with the task's sums over its labelled texts."""
+    """Rows (gram, both) with the task's sums over its labelled texts: ordinary ones in the low 32 bits, toxic ones above."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
     def out() -> pa.RecordBatch:
         keys, sums = parts[0]
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["gram", "ordinary", "toxic"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[:, 0] | (sums[:, 1] << 32))], ["gram", "both"])
 
     for rows, texts in text_slices(batches):
         s, starts = symbols(texts)
@@ -265,8 +265,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A broadcast (table, weights, prior).  Class counts come from folds 2 to 4, the logistic scale from fold 1."""
     spark = docs.sparkSession
     rows = labelled(docs, labels, id_col, text_col, label_col)
-    counted = rows.where("fold > 1").select("text", "label").mapInArrow(count_grams, "gram long, ordinary long, toxic long")
-    grams = cut(counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("ordinary", "toxic"))).withColumn("total", F.col("ordinary") + F.col("toxic")))
+    counted = rows.where("fold > 1").select("text", "label").mapInArrow(count_grams, "gram long, both long")
+    ordinary, toxic = F.sum(F.col("both").bitwiseAND((1 << 32) - 1)), F.sum(F.shiftright("both", 32))
+    grams = cut(counted.groupBy("gram").agg(ordinary.alias("ordinary"), toxic.alias("toxic")).withColumn("total", F.col("ordinary") + F.col("toxic")))
     table = score_table(log_ratios(grams))
     sent = spark.sparkContext.broadcast(table)
     calibration = rows.where("fold = 1").select("doc_id", "text", "label")
@@ -293,3 +294,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     names = ["doc_id", "held_out", "score", "predicted"]
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col).cast("long")) == 0).alias("held_out"), F.col(text_col).alias("text"))
     return plain.mapInArrow(lambda batches: score_texts(batches, model, names), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_ordinary(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    table, weights, prior = model.value
+    for rows, texts in text_slices(batches):
+        x, n = features(texts, table)
+        yield rows.filter(pa.array(np.where(n > 0, x @ weights[:-1] + weights[-1] < 0, prior < 0.5)))
+
+
+def toxic_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents (columns doc_id, text and any others) that are not predicted to be toxic."""
+    model = fit(docs, labels)
+    return docs.mapInArrow(lambda batches: keep_ordinary(batches, model), docs.schema)
