@@ -102,12 +102,16 @@ def dct_basis() -> list[list[int]]:
     return [[cosine(k * (2 * n + 1)) if k else COSINES[3] for n in range(8)] for k in range(8)]
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def forward_dct(block: Column) -> Column:
     """Integer transform of rows, then columns; each pass rounds at 13 bits."""
-    basis = F.array(*[literal(r) for r in dct_basis()])
     eight = F.sequence(F.lit(0), F.lit(7))
 
-    def line(values: Column) -> Column:
+    def line(values: Column, basis: Column) -> Column:
         def dot(row: Column) -> Column:
             total = F.aggregate(F.zip_with(values, row, lambda v, w: v.cast("long") * w), F.lit(0).cast("long"), lambda s, p: s + p)
             return F.shiftright(total + 4096, 13).cast("int")
@@ -117,8 +121,12 @@ def forward_dct(block: Column) -> Column:
     def transposed(rows: Column) -> Column:
         return F.transform(eight, lambda k: F.transform(rows, lambda r: F.get(r, k)))
 
-    rows = F.transform(eight, lambda y: line(F.slice(block, y * 8 + 1, F.lit(8))))
-    return F.flatten(transposed(F.transform(transposed(rows), line)))
+    def both(basis: Column) -> Column:
+        rows = F.transform(eight, lambda y: bound(F.slice(block, y * 8 + 1, F.lit(8)), lambda values: line(values, basis)))
+        columns = bound(rows, transposed)
+        return F.flatten(bound(F.transform(columns, lambda c: line(c, basis)), transposed))
+
+    return bound(F.array(*[literal(r) for r in dct_basis()]), both)
 
 
 def inverse_dct(blocks: np.ndarray) -> np.ndarray:
