@@ -114,7 +114,7 @@ def palette_bits(n: Column) -> Column:
 def magnitude_class(v: Column) -> Column:
     """Bit length of the absolute value, at most 11."""
     size = F.abs(v).cast("long")
-    return F.when(v == 0, 0).otherwise(F.least(F.lit(11), F.length(F.bin(size))))
+    return F.when(v == 0, 0).when(v.isNotNull(), F.least(F.lit(11), F.length(F.bin(size))))
 
 
 #: The small copy vectors, by index (fixed values).

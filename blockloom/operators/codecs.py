@@ -653,3 +653,91 @@ def map_numbers(streams: DataFrame, function: Callable[[bytes], int], key: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], [key, out])
 
     return streams.select(key, F.col(content)).mapInArrow(each, f"{key} {dict(streams.dtypes)[key]}, {out} long")
+
+
+# ---- probes and parameter streams
+
+
+def probe(data: bytes, sample: int = 4096, least: int = 4096, permille: int = 1030) -> bool:
+    """Whether LZ is worth a try: always for short streams, else by what it makes of the first bytes."""
+    if len(data) < least:
+        return True
+    head = data[:sample]
+    return len(lz_compress(head)) * 1000 <= len(head) * permille
+
+
+def cfl_encode(params: list[tuple[int, int, bool]]) -> bytes:
+    """(alpha in 64ths, beta, applied) of blocks: all pairs, or a bit mask and the pairs in use, whichever is smaller."""
+    every = b"".join(struct.pack("<bB", a, b) for a, b, _ in params)
+    used = [(a, b) for a, b, on in params if on]
+    packed = struct.pack("<I", len(params)) + pack_bits([on for *_, on in params], 1) + b"".join(struct.pack("<bB", a, b) for a, b in used)
+    return b"\1" + packed if len(packed) < len(every) else b"\0" + every
+
+
+def cfl_decode(data: bytes) -> list[tuple[int, int, bool]]:
+    """Blocks without a fit come back as (0, 128, False) from the masked form."""
+    if not data:
+        return []
+    if data[0] == 0:
+        return [(a, b, True) for a, b in struct.iter_unpack("<bB", data[1:])]
+    (n,) = struct.unpack_from("<I", data, 1)
+    size = (n + 7) // 8
+    on, pairs = unpack_bits(data[5 : 5 + size], 1, n), struct.iter_unpack("<bB", data[5 + size :])
+    return [(*next(pairs), True) if x else (0, 128, False) for x in on]
+
+
+def streams_encode(data: bytes, lanes: int = 4) -> bytes:
+    """Symbols dealt over separate streams, each coded alone under one model; lengths lead as varints."""
+    freq = model(laplace(data))
+    parts = [rans_encode(data[k::lanes], freq, 1) for k in range(lanes)]
+    return struct.pack("<IB", len(data), lanes) + freq.astype("<u2").tobytes() + b"".join(map(varint, map(len, parts))) + b"".join(parts)
+
+
+def streams_decode(data: bytes) -> bytes:
+    count, lanes = struct.unpack_from("<IB", data)
+    freq, pos = np.frombuffer(data, "<u2", 256, 5).astype(np.int64), 517
+    sizes, out = [], bytearray(count)
+    for _ in range(lanes):
+        size, pos = unvarint(data, pos)
+        sizes.append(size)
+    for k, size in enumerate(sizes):
+        out[k::lanes] = bytes(rans_decode(data[pos : pos + size], len(range(k, count, lanes)), freq, 1))
+        pos += size
+    return bytes(out)
+
+
+def varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes((*out, n))
+
+
+def unvarint(data: bytes, pos: int) -> tuple[int, int]:
+    n, shift = 0, 0
+    while True:
+        if pos >= len(data):
+            raise Damaged("varint")
+        n |= (data[pos] & 127) << shift
+        shift, pos = shift + 7, pos + 1
+        if data[pos - 1] < 128:
+            return n, pos
+
+
+def token_streams_encode(data: bytes) -> bytes:
+    """LZ, its token streams apart, each in its smallest form; types are bits."""
+    parts = token_streams(lz_compress(data))
+    coded = [pack_bits(parts["types"], 1), *(smallest(parts[k], 0xAB) for k in ("lengths", "near", "far", "literals"))]
+    return struct.pack("<6I", len(parts["types"]), *map(len, coded)) + b"".join(coded)
+
+
+def token_streams_decode(data: bytes, size: int) -> bytes:
+    n, *sizes = struct.unpack_from("<6I", data)
+    pos, got = 24, []
+    for s in sizes:
+        got.append(data[pos : pos + s])
+        pos += s
+    names = ("lengths", "near", "far", "literals")
+    streams = {"types": bytes(unpack_bits(got[0], 1, n))} | {k: unwrapped(g, 0xAB) for k, g in zip(names, got[1:], strict=True)}
+    return lz_decompress(rebuilt(streams), size)

@@ -20,7 +20,7 @@ from blockloom.operators import codecs as C
 
 BAND_LINES = 512
 TILE, SCREEN, NATURAL = 0x54, 0xAD, 0xAE
-LO_MODES = ("rans", "delta", "lz", "rows", "contexts", "lz_rans")
+LO_MODES = ("rans", "delta", "lz", "rows", "contexts", "lz_rans", "lz_streams", "contexts_mixed", "contexts_any")
 
 
 def predictions(samples: np.ndarray, kind: int) -> np.ndarray:
@@ -120,17 +120,61 @@ def contexts_decode(data: bytes, filters: np.ndarray, width: int) -> bytes:
     return out.tobytes()
 
 
+def contexts_choice(lo: np.ndarray, filters: np.ndarray, ways: tuple[str, ...]) -> bytes:
+    """Six streams by the line's predictor, each in the smallest of the given ways, which leads it."""
+    context, out = np.where(filters > 5, 0, filters), b""
+    for k in range(6):
+        raw = lo[context == k].tobytes()
+        best = min(((CONTEXT_WAYS.index(w), CODERS[w](raw)) for w in ways), key=lambda o: (len(o[1]), o[0])) if raw else (255, b"")
+        out += struct.pack("<BI", best[0], len(best[1])) + best[1]
+    return out
+
+
+def contexts_choice_decode(data: bytes, filters: np.ndarray, width: int) -> bytes:
+    context, out, pos = np.where(filters > 5, 0, filters), np.zeros((len(filters), width), np.uint8), 0
+    for k in range(6):
+        way, size = struct.unpack_from("<BI", data, pos)
+        pos += 5
+        if way != 255:
+            mine = context == k
+            n = int(mine.sum()) * width
+            out[mine] = np.frombuffer(DECODERS[CONTEXT_WAYS[way]](data[pos : pos + size], n), np.uint8).reshape(-1, width)
+        pos += size
+    return out.tobytes()
+
+
+CONTEXT_WAYS = ("adaptive", "shared", "delta", "lz")
+CODERS: dict[str, Callable[[bytes], bytes]] = {
+    "adaptive": C.adaptive_encode,
+    "shared": lambda x: C.shared_encode(x, C.lz_model()),
+    "delta": lambda x: C.adaptive_encode(delta(x)),
+    "lz": lambda x: C.lz_compress(x),
+}
+DECODERS: dict[str, Callable[[bytes, int], bytes]] = {
+    "adaptive": lambda x, _: C.adaptive_decode(x),
+    "shared": lambda x, _: C.shared_decode(x, C.lz_model()),
+    "delta": lambda x, _: undelta(C.adaptive_decode(x)),
+    "lz": C.lz_decompress,
+}
+
+
 def lo_candidates(lo: np.ndarray, filters: np.ndarray, gates: LoModes = LoModes(), photo: bool = True) -> list[tuple[int, bytes]]:
     """(mode, payload) of every way to code the low bytes that the gates let in."""
     raw = lo.tobytes()
+    out = [(0, C.adaptive_encode(raw)), (1, C.adaptive_encode(delta(raw)))]
+    if not C.probe(raw):
+        return out
     lz = C.lz_compress(raw)
-    out = [(0, C.adaptive_encode(raw)), (1, C.adaptive_encode(delta(raw))), (2, lz)]
+    out.append((2, lz))
     if photo and len(raw) > gates.compact_min_bytes:
         out.append((3, rows_encode(lo)))
         if len(raw) >= gates.contexts_min_raw:
             out.append((4, contexts_encode(lo, filters)))
     if len(raw) >= gates.lz_rans_min_raw:
         out.append((5, C.shared_encode(lz, C.lz_model())))
+        out.append((6, C.token_streams_encode(raw)))
+        if photo:
+            out += [(7, contexts_choice(lo, filters, CONTEXT_WAYS[:2])), (8, contexts_choice(lo, filters, CONTEXT_WAYS))]
     return out
 
 
@@ -145,7 +189,8 @@ def choose(candidates: list[tuple[int, bytes]], permille: dict[int, int]) -> tup
 
 
 def lo_encode(lo: np.ndarray, filters: np.ndarray, gates: LoModes = LoModes()) -> bytes:
-    mode, payload = choose(lo_candidates(lo, filters, gates), {1: gates.delta_permille, 4: gates.contexts_permille, 5: gates.lz_rans_permille})
+    permille = {1: gates.delta_permille, 4: gates.contexts_permille, 5: gates.lz_rans_permille, 6: gates.lz_rans_permille, 7: gates.contexts_permille, 8: gates.lz_rans_permille}
+    mode, payload = choose(lo_candidates(lo, filters, gates), permille)
     return bytes((mode,)) + payload
 
 
@@ -155,6 +200,10 @@ def lo_decode(data: bytes, filters: np.ndarray, height: int, width: int) -> np.n
         raw = contexts_decode(body, filters, width)
     elif mode == 3:
         raw = rows_decode(body, width)
+    elif mode == 6:
+        raw = C.token_streams_decode(body, n)
+    elif mode in (7, 8):
+        raw = contexts_choice_decode(body, filters, width)
     elif mode == 2:
         raw = C.lz_decompress(body, n)
     elif mode == 5:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockloom.config import ANIME, PHOTO, UI, ChromaGate, NaturalGate
 from blockloom.functions import block as B, pixel as P, text as T
-from blockloom.operators import analytics as A, blocks as K, codecs as C, planes as L
+from blockloom.operators import analytics as A, blocks as K, codecs as C, planes as L, search
 from blockloom.plans import lossless
 from blockloom.sources import adapters as S
 from blockloom.sources import container, logs, synthetic
@@ -695,6 +695,26 @@ def screen_route_roundtrip(spark, d):
     return back.select("y", F.aggregate(F.transform("row", lambda v, x: v.cast("long") * (x + 1)), F.lit(0).cast("long"), lambda s, v: s + v).alias("weighted"))
 
 
+@query(_SAME_ITEMS)
+def separate_streams_roundtrip(spark, d):
+    return same_bytes(short_streams(spark, d), lambda x: C.streams_decode(C.streams_encode(x)))
+
+
+@query(_SAME_ITEMS)
+def token_streams_roundtrip(spark, d):
+    return same_bytes(short_streams(spark, d), lambda x: C.token_streams_decode(C.token_streams_encode(x), len(x)))
+
+
+@query()
+def nearest_copies(spark, d):
+    return search.nearest_copies(L.padded(S.plane(spark, d)), 16)
+
+
+@query()
+def probe_streams(spark, d):
+    return C.map_numbers(S.byte_streams(spark, d), C.probe, out="worth_it").groupBy("worth_it").agg(F.count("*").alias("n"))
+
+
 @query()
 def lz_sizes(spark, d):
     streams = S.byte_streams(spark, d)
