@@ -11,7 +11,7 @@ from blockloom.operators import codecs as C
 from blockloom.plans import images, lossless
 from blockloom.sources import container as K
 
-STREAMS = [b"", b"a", b"ab", b"aaaaaaaa", bytes(range(256)), bytes(random.Random(1).randrange(3) for _ in range(3000)), b"\0" * 100 + b"\1" + b"\0" * 50]
+STREAMS = [b"", b"a", b"ab", b"aaaaaaaa", bytes(range(256)), bytes(random.Random(1).choices(range(3), k=3000)), b"\0" * 100 + b"\1" + b"\0" * 50]
 
 
 def test_fixed_bytes():
@@ -38,6 +38,8 @@ def test_round_trips(data):
     assert C.sparse_decode(C.sparse_encode(data), len(data)) == data
     assert C.unwrapped(C.smallest(data, 0xA9), 0xA9) == data
     assert lossless.undelta(lossless.delta(data)) == data
+    assert C.streams_decode(C.streams_encode(data)) == data
+    assert C.token_streams_decode(C.token_streams_encode(data), len(data)) == data
 
 
 @settings(max_examples=40, deadline=None)
@@ -101,10 +103,10 @@ def test_planes(shape, preset):
 
 def test_every_low_byte_mode():
     rng = np.random.default_rng(5)
-    lo = np.cumsum(rng.integers(0, 3, (80, 64)), axis=1).astype(np.uint8)
+    lo = np.tile(np.cumsum(rng.integers(0, 3, (20, 64)), axis=1).astype(np.uint8), (4, 1))
     filters = rng.integers(0, 8, 80)
     got = lossless.lo_candidates(lo, filters)
-    assert [m for m, _ in got] == [0, 1, 2, 3, 4, 5]
+    assert [m for m, _ in got] == list(range(9))
     for mode, payload in got:
         assert np.array_equal(lossless.lo_decode(bytes((mode,)) + payload, filters, *lo.shape), lo), mode
 
@@ -130,3 +132,26 @@ def test_quadratic_transforms_agree(spark):
     assert got == images.transform(block[None])[0].tolist()
     back = B.inverse_dct(np.array([got]))[0]
     assert np.abs(back - block).max() <= 2
+
+
+def test_cfl_streams():
+    some = [(k - 5, 100 + k, k % 4 == 0) for k in range(20)]
+    assert C.cfl_decode(C.cfl_encode(some)) == [(a, b, True) if on else (0, 128, False) for a, b, on in some]
+    every = [(a, b, True) for a, b, _ in some]
+    assert C.cfl_decode(C.cfl_encode(every)) == every and C.cfl_decode(b"") == []
+
+
+def test_probe():
+    noise = random.Random(2).randbytes(5000)
+    assert C.probe(b"ab" * 4000) and C.probe(noise[:100])
+    assert C.probe(noise) == (len(C.lz_compress(noise[:4096])) * 1000 <= 4096 * 1030)
+    assert not C.probe(noise, permille=900)
+
+
+def test_nearest_copy():
+    from blockloom.operators.search import nearest_copy
+
+    samples = np.random.default_rng(3).integers(0, 256, (24, 32))
+    samples[16:24, 8:16] = samples[3:11, 13:21]
+    assert nearest_copy(samples, 2, 1) == (5, -13, 0)
+    assert nearest_copy(samples, 0, 0) == (0, 0, -1)
