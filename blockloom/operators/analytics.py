@@ -144,3 +144,9 @@ def error_between(a: DataFrame, b: DataFrame, keys: list[str], place: str, value
     other = b.select(*keys, place, F.col(value).alias("other"))
     d = F.col(value) - F.col("other")
     return a.join(other, [*keys, place]).groupBy(*keys).agg(F.avg((d * d).cast("double")).alias("mse"))
+
+
+def exactly(df: DataFrame, n: int) -> DataFrame:
+    """The one count of the rows, or an error if it isn't ``n``."""
+    counted = df.agg(F.count("*").alias("rows"))
+    return counted.select(F.when(F.col("rows") == n, F.col("rows")).otherwise(F.raise_error(F.concat(F.lit(f"{n} rows expected, got "), F.col("rows").cast("string")))).alias("rows"))

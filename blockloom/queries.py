@@ -372,6 +372,22 @@ def nearest_block(spark, d):
     return K.nearest_block(whole_blocks(spark, d))
 
 
+@query(f"""WITH {PLANE}, a AS (SELECT y AS bi, CAST(sum(CASE WHEN x > 0 THEN abs(v - 128) ELSE 0 END) AS BIGINT) AS activity FROM plane GROUP BY y), m AS (SELECT *, avg(activity) OVER () AS mean FROM a)
+SELECT bi, activity, round(sqrt(activity / mean), 6) AS scale, CAST(greatest(-127, least(127, trunc((sqrt(activity / mean) - 1.0) * 50.0))) AS BIGINT) AS delta FROM m""")
+def adaptive_scales(spark, d):
+    own = S.blocks(spark, d).select("bi", B.activity(F.transform("b", lambda v: v - 128)).alias("activity"))
+    mean = own.agg(F.avg("activity").alias("mean"))
+    scaled = own.join(F.broadcast(mean)).withColumn("scale", B.adaptive_scale(F.col("activity"), F.col("mean")))
+    return scaled.select("bi", "activity", F.round("scale", 6).alias("scale"), B.adaptive_delta(F.col("scale")).alias("delta"))
+
+
+@query("SELECT p_brand, CAST(sum(CASE WHEN p_size * 100 <= 50 * 98 THEN 1 ELSE 0 END) AS BIGINT) AS wrapped, CAST(sum(CASE WHEN CAST(floor(p_retailprice) AS BIGINT) * 1000 <= 1400 * 995 THEN 1 ELSE 0 END) AS BIGINT) AS accepted FROM part GROUP BY p_brand")
+def wrapper_gate(spark, d):
+    part = S.table(spark, d, "part")
+    ok = lambda c: F.sum(c.cast("long"))
+    return part.groupBy("p_brand").agg(ok(P.within_percent(F.col("p_size"), F.lit(50))).alias("wrapped"), ok(P.within_permille(F.floor("p_retailprice"), F.lit(1400), 995)).alias("accepted"))
+
+
 # ---- byte streams
 
 

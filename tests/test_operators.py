@@ -140,3 +140,17 @@ def test_synthetic(spark):
     for make in (synthetic.noise, synthetic.solid, synthetic.mockup, synthetic.natural, synthetic.waves):
         low, high, n = make(spark, 20, 10).agg(F.min("r"), F.max("r"), F.count("*")).first()
         assert 0 <= low <= high <= 255 and n == 200
+
+
+def test_row_counts_are_asserted(spark):
+    assert A.exactly(spark.range(6), 6).first()["rows"] == 6
+    with pytest.raises(Exception, match="6 rows expected"):
+        A.exactly(spark.range(5), 6).collect()
+
+
+def test_block_search_equals_numpy(spark):
+    from blockloom.operators.search import nearest_copies, nearest_copy
+
+    samples = np.random.default_rng(6).integers(0, 64, (24, 24))
+    got = {(r["by"], r["bx"]): (r["dx"], r["dy"], r["sad"]) for r in nearest_copies(plane(spark, samples), 10).collect()}
+    assert got == {(by, bx): nearest_copy(samples, by, bx, 10) for by in range(3) for bx in range(3)}
