@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blockloom.config import ANIME, PHOTO, ModeParams
 from blockloom.functions.pixel import PREDICTORS, SMALL_VECTORS, clamp, palette_bits, quotient, residual_cost
-from blockloom.operators.planes import neighbours, residuals
+from blockloom.operators.planes import neighbours, summed_costs
 
 #: Offsets of the quadrant candidates, by index (fixed values).
 QUADRANT_VECTORS = ((-4, 0), (0, -4), (-4, -4), (4, -4), (-8, 0), (0, -8), (-8, -8), (8, -8), (-12, 0), (0, -12), (-12, -4), (-4, -12), (-16, 0), (0, -16), (-16, -4), (-4, -16))
@@ -85,8 +85,9 @@ def whole_quadrant_matches(blocks: DataFrame) -> DataFrame:
 def filter_costs(plane: DataFrame, photo: bool = False) -> DataFrame:
     """Half bits of each block under its best predictor: 10, and the costs of its residuals."""
     kinds = tuple(k for k in range(len(PREDICTORS)) if photo or k != 5)
-    each = residuals(neighbours(plane), kinds).groupBy("image_id", quotient(F.col("y"), 8).alias("by"), quotient(F.col("x"), 8).alias("bx"), "f").agg((F.sum(residual_cost(F.abs(F.col("r")), photo)) + 10).alias("bits"))
-    return each.groupBy(*KEY).agg(F.min("bits").alias("filter_bits"))
+    keys = [F.col("image_id"), quotient(F.col("y"), 8).alias("by"), quotient(F.col("x"), 8).alias("bx")]
+    each = summed_costs(neighbours(plane), keys, kinds, lambda m: residual_cost(m, photo))
+    return each.groupBy(*KEY).agg((F.min("cost") + 10).alias("filter_bits"))
 
 
 def mode_params(profile: int) -> ModeParams:

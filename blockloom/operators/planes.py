@@ -33,14 +33,24 @@ def residuals(cells: DataFrame, kinds: tuple[int, ...] = tuple(range(len(PREDICT
 def row_costs(plane: DataFrame, model: str = "sad", photo: bool = False) -> DataFrame:
     """(image_id, y, f, cost) of each line under each predictor: sums of magnitudes or of half bits, or entropy times 64."""
     kinds = tuple(k for k in range(len(PREDICTORS)) if photo or k != 5)
-    each = residuals(neighbours(plane), kinds)
+    cells = neighbours(plane)
     if model == "entropy":
-        counts = each.groupBy("image_id", "y", "f", "r").agg(F.count("*").alias("n"))
+        counts = residuals(cells, kinds).groupBy("image_id", "y", "f", "r").agg(F.count("*").alias("n"))
         per_row = counts.groupBy("image_id", "y", "f").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("part"))
         return per_row.select("image_id", "y", "f", F.round((F.col("total") * F.log2("total") - F.col("part")) * 64).cast("long").alias("cost"))
-    magnitude = F.abs(F.col("r"))
-    cost = magnitude if model == "sad" else residual_cost(magnitude, photo)
-    return each.groupBy("image_id", "y", "f").agg(F.sum(cost).alias("cost"))
+    return summed_costs(cells, [F.col("image_id"), F.col("y")], kinds, (lambda m: m) if model == "sad" else (lambda m: residual_cost(m, photo)))
+
+
+def summed_costs(cells: DataFrame, keys: list[Column], kinds: tuple[int, ...], cost) -> DataFrame:
+    """(keys, f, cost): sums of the costs of residuals under each predictor.
+
+    All predictors are summed side by side in one aggregate; rows are only multiplied afterwards.
+    """
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    sums = cells.groupBy(*keys).agg(*(F.sum(cost(F.abs(F.col("v") - prediction(k, a, b, c)))).alias(f"cost_{k}") for k in kinds))
+    names = [n for n in sums.columns if not n.startswith("cost_")]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f"cost_{k}").alias("cost")) for k in kinds]))
+    return sums.select(*names, each.alias("e")).select(*names, "e.f", "e.cost")
 
 
 def best_filters(costs: DataFrame) -> DataFrame:
