@@ -49,7 +49,7 @@ PARITY_BITS = 1024
 #: Up to so many classes, their row ids are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Comparisons in a further round, as a multiple of the rows in shared buckets; more wait for the next round.
-ROUND_FACTOR = 20
+ROUND_FACTOR = 100
 
 
 def bands_for(percent: int) -> tuple[int, int]:
@@ -234,6 +234,9 @@ def find_links(spark, plain: DataFrame, classes: DataFrame, k: int, percent: int
         work = open_buckets.agg(F.sum(F.col("outside") * F.col("open"))).first()[0]
         if not work:
             return comp
+        # a bucket whose members are all connected stays so
+        hits = cut(hits.join(open_buckets.select("key"), "key", "left_semi"))
+        placed = placed.join(open_buckets.select("key"), "key", "left_semi")
         turn += 1
         share = min(1.0, ROUND_FACTOR * n_hits / work)
         asking = left.join(open_buckets.select("key", "main"), "key").where(F.col("comp") != F.col("main"))
