@@ -76,24 +76,29 @@ def rans_decode(data: bytes, count: int, freq: np.ndarray, lanes: int = LANES, s
         if len(data) < 4 * lanes:
             raise Damaged("states are cut off")
         states, start = list(struct.unpack(f">{lanes}I", data[: 4 * lanes])), 4 * lanes
-    f, low, table = freq.tolist(), np.concatenate([[0], np.cumsum(freq)]).tolist(), slots(freq).tolist()
-    states, out, pos = list(states), [], start
+    table, width, offset = decode_tables(freq)
+    states, out, pos, size = list(states), [], start, len(data)
     for _ in range(count):
         x = states[lane]
         slot = x & (TOTAL - 1)
-        s = table[slot]
-        x = f[s] * (x >> TOTAL_BITS) + slot - low[s]
+        x = width[slot] * (x >> TOTAL_BITS) + offset[slot]
         while x < LOWER:
-            if pos >= len(data):
+            if pos >= size:
                 raise Damaged("bytes are cut off")
             x = x << 8 | data[pos]
             pos += 1
         states[lane] = x
-        out.append(s)
+        out.append(table[slot])
         lane = (lane + 1) % lanes
     return out
 
 
+def decode_tables(freq: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """By slot: the symbol, its frequency, and the slot's place within the symbol."""
+    table = slots(freq)
+    return table.tolist(), freq[table].tolist(), (np.arange(len(table)) - (np.cumsum(freq) - freq)[table]).tolist()
+
+
 @dataclass
 class RestartPoint:
     byte: int
@@ -109,15 +114,14 @@ def restart_interval(tokens: int, stream_bytes: int, lanes: int = LANES) -> int:
 
 def restart_points(data: bytes, count: int, freq: np.ndarray, interval: int, lanes: int = LANES) -> list[RestartPoint]:
     """Where a decoder could start every ``interval`` tokens (a multiple of the lanes)."""
-    f, low, table = freq.tolist(), np.concatenate([[0], np.cumsum(freq)]).tolist(), slots(freq).tolist()
+    _, width, offset = decode_tables(freq)
     states, pos, out = list(struct.unpack(f">{lanes}I", data[: 4 * lanes])), 4 * lanes, []
     for k in range(count):
         if k % interval == 0:
             out.append(RestartPoint(pos, k, list(states)))
         x = states[k % lanes]
         slot = x & (TOTAL - 1)
-        s = table[slot]
-        x = f[s] * (x >> TOTAL_BITS) + slot - low[s]
+        x = width[slot] * (x >> TOTAL_BITS) + offset[slot]
         while x < LOWER:
             x = x << 8 | data[pos]
             pos += 1
@@ -191,7 +195,8 @@ def lz_compress(data: bytes, params: TileLz = TileLz()) -> bytes:
         return b""
     if len(data) < 3:
         return bytes((0, len(data))) + data
-    chains = params.chain_depth > 0 or params.lazy
+    if params.chain_depth <= 0 and not params.lazy:
+        return lz_greedy(data, params.window)
     depth = max(params.chain_depth, 1)
     heads: dict[int, int] = {}
     prev: dict[int, int] = {}
@@ -202,8 +207,7 @@ def lz_compress(data: bytes, params: TileLz = TileLz()) -> bytes:
     def enter(p: int) -> None:
         if p + 3 <= len(data):
             h = slot(p)
-            if chains:
-                prev[p] = heads.get(h, -1)
+            prev[p] = heads.get(h, -1)
             heads[h] = p
 
     def best(p: int) -> tuple[int, int]:
@@ -218,9 +222,9 @@ def lz_compress(data: bytes, params: TileLz = TileLz()) -> bytes:
                 n = match_length(data, ref, p)
                 if n > length or n == length and p - ref < distance:
                     length, distance = n, p - ref
-                    if chains and n >= params.nice_length:
+                    if n >= params.nice_length:
                         break
-            ref = prev.get(ref, -1) if chains else -1
+            ref = prev.get(ref, -1)
         return length, distance
 
     out, pos, pending = bytearray(), 0, 0
@@ -235,9 +239,29 @@ def lz_compress(data: bytes, params: TileLz = TileLz()) -> bytes:
             continue
         literals(out, data, pending, pos)
         out += struct.pack("<BBH", 1, length, distance & 0xFFFF)
-        if chains:
-            for p in range(pos + 1, pos + length):
-                enter(p)
+        for p in range(pos + 1, pos + length):
+            enter(p)
+        pos = pending = pos + length
+    literals(out, data, pending, len(data))
+    return bytes(out)
+
+
+def lz_greedy(data: bytes, window: int) -> bytes:
+    """One probe at each position outside matches; the hashes of all positions are computed at once."""
+    v = np.frombuffer(data, np.uint8).astype(np.uint32)
+    hashes = (((v[:-2] << 16 | v[1:-1] << 8 | v[2:]) * np.uint32(0x1E35A7BD)) >> np.uint32(16)).tolist()
+    heads: dict[int, int] = {}
+    out, pos, pending, last = bytearray(), 0, 0, len(data) - 3
+    while pos <= last:
+        h = hashes[pos]
+        ref = heads.get(h, -1)
+        heads[h] = pos
+        if ref < 0 or pos - ref > window or data[ref : ref + 3] != data[pos : pos + 3]:
+            pos += 1
+            continue
+        length = match_length(data, ref, pos)
+        literals(out, data, pending, pos)
+        out += struct.pack("<BBH", 1, length, pos - ref & 0xFFFF)
         pos = pending = pos + length
     literals(out, data, pending, len(data))
     return bytes(out)

@@ -54,10 +54,10 @@ BYTES = """bytes AS (SELECT doc_id AS stream_id, CAST(i AS BIGINT) AS pos, CAST(
 
 
 def stream_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stream_id, pos, b) of the documents' bytes."""
-    hexes = S.byte_streams(spark, sf_dir).select("stream_id", F.hex("content").alias("h"))
-    places = hexes.select("stream_id", F.posexplode(F.regexp_extract_all("h", F.lit("(..)"))).alias("pos", "x"))
-    return places.select("stream_id", F.col("pos").cast("long").alias("pos"), F.conv("x", 16, 10).cast("long").alias("b"))
+    """(stream_id, pos, b) of the documents' bytes: read as Latin-1, each byte is one character."""
+    chars = F.split(F.decode("content", "ISO-8859-1"), "")
+    places = S.byte_streams(spark, sf_dir).select("stream_id", F.posexplode(chars).alias("pos", "c"))
+    return places.select("stream_id", F.col("pos").cast("long").alias("pos"), F.ascii("c").cast("long").alias("b"))
 
 
 def whole_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
