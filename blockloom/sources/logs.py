@@ -10,13 +10,24 @@ WITH_TIMES = rf"^\s*(\S+)\s+{NUMBER}\s+{NUMBER}\s+([+\-][0-9]+)%\s+{NUMBER}ms\s+
 WITH_FACTORS = rf"^\s*(\S+)\s+{NUMBER}\s+{NUMBER}\s+([+\-][0-9]+)%\s+{NUMBER}x\s+{NUMBER}x([A-Za-z]+)\s*$"
 
 
+#: Between the groups of a matched line.
+MARK = "\u0001"
+
+
+def groups(column: Column, pattern: str, n: int) -> Column:
+    """The ``n`` groups of a whole-line pattern in one pass; null where it doesn't match."""
+    parts = F.split(F.regexp_replace(column, pattern, MARK.join(f"${k}" for k in range(1, n + 1))), MARK)
+    return F.when(F.size(parts) == n, parts)
+
+
 def benchmark_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     """One row for each line of either form (the newer is tried first); other lines are dropped, missing figures are 0."""
-    new = F.col(column).rlike(WITH_TIMES)
-    some = lines.where(new | F.col(column).rlike(WITH_FACTORS))
-    part = lambda k: F.when(new, F.regexp_extract(column, WITH_TIMES, k)).otherwise(F.regexp_extract(column, WITH_FACTORS, k))
+    line = F.replace(F.col(column), F.lit(MARK), F.lit(" "))
+    found = F.coalesce(F.concat(groups(line, WITH_TIMES, 7), F.array(F.lit("timed"))), groups(line, WITH_FACTORS, 7))
+    some = lines.select(found.alias("g")).where("g is not null")
+    part = lambda k: F.get("g", F.lit(k - 1))
     num = lambda k: F.coalesce(part(k).try_cast("double"), F.lit(0.0))
-    raw = some.select(part(1).alias("image"), part(7).alias("category"), num(2).alias("png_kb"), num(3).alias("own_kb"), part(4).cast("long").alias("size_change_percent"), new.alias("timed"), num(5).alias("first"), num(6).alias("second"))
+    raw = some.select(part(1).alias("image"), part(7).alias("category"), num(2).alias("png_kb"), num(3).alias("own_kb"), part(4).cast("long").alias("size_change_percent"), (F.size("g") == 8).alias("timed"), num(5).alias("first"), num(6).alias("second"))
     timed = F.col("timed")
     png, own = F.when(timed, F.col("first")).otherwise(0.0), F.when(timed, F.col("second")).otherwise(0.0)
     speed = F.when((png > 0) & (own > 0), png / own).otherwise(F.when(timed, 0.0).otherwise(F.col("second")))
