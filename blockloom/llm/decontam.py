@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from blockloom.llm.shared import map_arrow
 from blockloom.llm.textscan import grams, is_alphanumeric, lower_ascii, mixed, scan, slices
 
 ITEM_WINDOW = 10
@@ -151,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(FOUND.split(" ", 1)[1]).alias("found"))
     for items in [*blocks(benchmark, item_col, item_text_col, block_words)] or [[]]:
         sent = spark.sparkContext.broadcast(Block(items))
-        out = out.mapInArrow(lambda batches, sent=sent: find(batches, sent, schema), f"doc_id long, text string, n_words long, {FOUND}")
+        out = map_arrow(out, lambda batches, sent=sent: find(batches, sent, schema), f"doc_id long, text string, n_words long, {FOUND}")
     return out
 
 
@@ -175,7 +176,7 @@ def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_words", "found").mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_arrow(found.select("doc_id", "n_words", "found"), digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def without_hits(batches: Iterable[pa.RecordBatch], block, text_col: str) -> Iterator[pa.RecordBatch]:
@@ -192,5 +193,5 @@ def contaminated_out(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
     out = docs
     for items in blocks(benchmark, item_col, item_text_col, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(Block(items))
-        out = out.mapInArrow(lambda batches, sent=sent: without_hits(batches, sent, text_col), docs.schema)
+        out = map_arrow(out, lambda batches, sent=sent: without_hits(batches, sent, text_col), docs.schema)
     return out

@@ -12,8 +12,8 @@ by matrix products, and blocks' best lists are merged.
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do
 rows with null ids; of vectors of different lengths the shorter counts as padded with zeros;
 components are 64-bit after scaling (larger ones are held at the limit), and scores likewise; ties
-go to the smaller id; rows that repeat an id are rows of their own, and a query leaves out all rows
-with its own id; fewer than k candidates give all of them; an empty table gives no rows.
+go to the smaller id; rows that repeat an id are rows of their own, a query leaves out all rows
+with its own id, and an id that asks with several vectors gets the best rows of all of them; fewer than k candidates give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from blockloom.llm.shared import cut, partitions
+from blockloom.llm.shared import cut, map_arrow, partitions
 
 K = 20
 SCALE = 64.0
@@ -134,14 +134,14 @@ def top_k(vectors: DataFrame, k: int = K, query_mod: int = 20, id_col: str = "ve
     sample = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect()
     pivots = matrix([r["v"] for r in sample])
     centres = max(1, min(len(pivots), math.isqrt(n_asked // 64 + 1)))
-    near = asked_classes.mapInArrow(lambda b: group_queries(b, pivots, keep, centres), "grp int, far double, floor long, v array<long>")
+    near = map_arrow(asked_classes, lambda b: group_queries(b, pivots, keep, centres), "grp int, far double, floor long, v array<long>")
     near = cut(near.withColumn("q", F.xxhash64("v")))
     summary = near.groupBy("grp").agg(F.max("far").alias("far"), F.min("floor").alias("floor"), F.count("*").alias("n")).collect()
     groups = np.array([r["grp"] for r in summary])
     radius, floors = np.array([r["far"] for r in summary]), np.array([float(r["floor"]) for r in summary])
     parts = {r["grp"]: -(-r["n"] // QUERY_BLOCK) for r in summary}
 
-    sent = classes.mapInArrow(lambda b: needed_groups(b, pivots, groups, radius, floors), "v array<long>, ids array<long>, grps array<int>")
+    sent = map_arrow(classes, lambda b: needed_groups(b, pivots, groups, radius, floors), "v array<long>, ids array<long>, grps array<int>")
     size = min(MOST_BLOCK, max(LEAST_BLOCK, -(-n_classes // (2 * partitions(spark)))))
     blocks = -(-n_classes // size)
     sent = sent.withColumn("block", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(blocks)).cast("int"))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from blockloom.llm.shared import fold
+from blockloom.llm.shared import fold, map_arrow
 from blockloom.llm.textscan import slices
 
 DIMENSIONS = 1024
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     n = known.select(id_col).count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 40)) < int(fit_rows / n * (1 << 40)))
-    sums = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(training_sums, "lang string, vector array<double>")
+    sums = map_arrow(known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), training_sums, "lang string, vector array<double>")
     by_place = sums.select("lang", F.posexplode("vector").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x"))
     vectors: dict[str, np.ndarray] = {}
     for lang, place, x in by_place.collect():
@@ -165,4 +165,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per input row: doc_id, held_out, lang_pred, score."""
     profiles = fit(docs, id_col, text_col, lang_col)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col).cast("long")) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(lambda batches: predict_batches(batches, profiles), "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(plain, lambda batches: predict_batches(batches, profiles), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from blockloom.llm.shared import cut
+from blockloom.llm.shared import cut, map_arrow
 from blockloom.llm.textscan import grams, is_not_space, lower_ascii, mixed, scan, slices
 
 RING = 1 << 20
@@ -62,7 +62,7 @@ def bands_for(percent: int) -> tuple[int, int]:
 @functools.cache
 def tables(coordinates: int, ring: int = RING) -> tuple[np.ndarray, np.ndarray]:
     """The first permutation, and the second's circular shifts: row p holds what the shifts have at place p."""
-    first = np.random.default_rng(20011).permutation(ring).astype(np.int64)
+    first = np.random.default_rng(20011).permutation(ring).astype(np.int32)
     second = np.random.default_rng(20021).permutation(ring).astype(np.uint32)
     shifts = np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: coordinates - 1]]), coordinates)
     return first, shifts
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if bands is None or rows is None:
         bands, rows = bands_for(percent)
     plain = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = cut(plain.mapInArrow(lambda batches: sketch(batches, k, bands, rows), "row long, doc_id long, n long, cls binary, keys array<long>, bits array<long>"))
+    sketches = cut(map_arrow(plain, lambda batches: sketch(batches, k, bands, rows), "row long, doc_id long, n long, cls binary, keys array<long>, bits array<long>"))
     classes = cut(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
     links = find_links(spark, plain, classes, k, percent)
 
@@ -219,7 +219,7 @@ def find_links(spark, plain: DataFrame, classes: DataFrame, k: int, percent: int
     rows_wanted = wanted.select("row")
     rows_wanted = F.broadcast(rows_wanted) if wanted.count() <= BROADCAST_ROWS else rows_wanted
     texts = plain.join(rows_wanted, "row", "left_semi").select("text")
-    sets = texts.mapInArrow(lambda batches: full_sets(batches, k), "cls binary, shingles array<long>")
+    sets = map_arrow(texts, lambda batches: full_sets(batches, k), "cls binary, shingles array<long>")
     sets = cut(sets.where("cls is not null").dropDuplicates(["cls"]))
 
     links = cut(confirmed(pairs, sets, percent))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from blockloom.llm.shared import new_path, partitions
+from blockloom.llm.shared import map_arrow, new_path, partitions
 from blockloom.llm.textscan import lower_ascii, slices
 
 END_ID = 2
@@ -185,7 +185,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     n = n_files or partitions(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = plain.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    coded = ordered.mapInArrow(lambda batches: encode_partition(batches, tokenizer_path, end_id), SCHEMA)
+    coded = map_arrow(ordered, lambda batches: encode_partition(batches, tokenizer_path, end_id), SCHEMA)
     options = {"compression": "zstd", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     coded.write.options(**options).orc(path)
 
@@ -209,7 +209,7 @@ def checksums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:
-    return tokens.mapInArrow(checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(tokens, checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_and_read_back(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:

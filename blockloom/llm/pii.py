@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from blockloom.llm.shared import map_arrow
 from blockloom.llm.textscan import is_not_space, lower_ascii, scan, slices
 
 # Fixed patterns: they must match these definitions exactly.
@@ -379,4 +380,4 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined)."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(trained())
-    return plain.mapInArrow(lambda batches: scan_batches(batches, sent.value), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_arrow(plain, lambda batches: scan_batches(batches, sent.value), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from blockloom.llm.pii import Span, joined
+from blockloom.llm.shared import map_arrow
 from blockloom.llm.textscan import slices
 
 # Fixed patterns: they must match these definitions exactly.
@@ -170,4 +171,4 @@ def scan_batches(batches: Iterable[pa.RecordBatch], hard: float) -> Iterator[pa.
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hard: float = HARD) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, hardest (log10 guesses of the hardest credential value)."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(lambda batches: scan_batches(batches, hard), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, hardest double")
+    return map_arrow(plain, lambda batches: scan_batches(batches, hard), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, hardest double")

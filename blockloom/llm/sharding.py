@@ -10,7 +10,8 @@ driver, which walks the ring; the rows themselves are ranked inside their cell b
 meet the walk's intervals in a broadcast join of bounded size.  DataFrame functions only.
 
 Defined results: a null text counts as empty (size 1, crc32 0); null and repeated ids hash
-together with size and crc32 of their text, equal rows are interchangeable; an empty table
+together with size and crc32 of their text, equal rows are interchangeable and share a cell (ids are
+taken to be nearly unique; copies of a text under different ids spread over the ring); an empty table
 gives an empty result; other columns of the input are not looked at.
 """
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: UTF-8 bytes in one slice, unless a single text has more.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

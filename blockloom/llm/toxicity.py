@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from blockloom.llm.shared import cut, fold
+from blockloom.llm.shared import cut, fold, map_arrow
 
 ORDER = 7
 SYMBOL_BITS = 8
@@ -49,9 +49,9 @@ FEATURES = ("best", "best4", "best8", "mean", "excess", "log_excess", "log_words
 CALIBRATION_ROWS = 20_000
 #: Up to so many labels are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 500_000
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 #: Distinct n-grams that a counting task holds before it hands them on.
-HELD_GRAMS = 1 << 20
+HELD_GRAMS = 1 << 18
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -193,7 +193,7 @@ def with_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score_table(ratios: DataFrame) -> np.ndarray:
     """The log-ratio of each bucket: at most 2**TABLE_BITS numbers."""
-    by = ratios.mapInArrow(with_bucket, "bucket long, total long, ratio double").groupBy("bucket").agg((F.sum(F.col("total") * F.col("ratio")) / F.sum("total")).cast("float").alias("ratio"))
+    by = map_arrow(ratios, with_bucket, "bucket long, total long, ratio double").groupBy("bucket").agg((F.sum(F.col("total") * F.col("ratio")) / F.sum("total")).cast("float").alias("ratio"))
     out = np.zeros(1 << TABLE_BITS, np.float32)
     got = by.toArrow()
     out[got.column("bucket").to_numpy()] = got.column("ratio").to_numpy()
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A broadcast (table, weights, prior).  Class counts come from folds 2 to 4, the logistic scale from fold 1."""
     spark = docs.sparkSession
     rows = labelled(docs, labels, id_col, text_col, label_col)
-    counted = rows.where("fold > 1").select("text", "label").mapInArrow(count_grams, "gram long, both long")
+    counted = map_arrow(rows.where("fold > 1").select("text", "label"), count_grams, "gram long, both long")
     ordinary, toxic = F.sum(F.col("both").bitwiseAND((1 << 32) - 1)), F.sum(F.shiftright("both", 32))
     grams = cut(counted.groupBy("gram").agg(ordinary.alias("ordinary"), toxic.alias("toxic")).withColumn("total", F.col("ordinary") + F.col("toxic")))
     table = score_table(log_ratios(grams))
@@ -275,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n > calibration_rows:  # those of smallest hash, about as many
         share = min(1.0, (calibration_rows + 6 * calibration_rows**0.5) / n)
         calibration = calibration.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    seen = calibration.select("text", "label").mapInArrow(lambda batches: raw_features(batches, sent), "label int, words long, " + ", ".join(f"{x} double" for x in FEATURES)).toPandas()
+    seen = map_arrow(calibration.select("text", "label"), lambda batches: raw_features(batches, sent), "label int, words long, " + ", ".join(f"{x} double" for x in FEATURES)).toPandas()
     y = seen["label"].to_numpy(float)
     prior = float(y.mean()) if len(y) else 0.0
     seen = seen[seen["words"] > 0]
@@ -293,7 +293,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(docs, labels, id_col, text_col, label_col)
     names = ["doc_id", "held_out", "score", "predicted"]
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col).cast("long")) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(lambda batches: score_texts(batches, model, names), "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(plain, lambda batches: score_texts(batches, model, names), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_ordinary(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -306,4 +306,4 @@ def keep_ordinary(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.Recor
 def toxic_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents (columns doc_id, text and any others) that are not predicted to be toxic."""
     model = fit(docs, labels)
-    return docs.mapInArrow(lambda batches: keep_ordinary(batches, model), docs.schema)
+    return map_arrow(docs, lambda batches: keep_ordinary(batches, model), docs.schema)
