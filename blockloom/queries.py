@@ -723,7 +723,7 @@ def token_streams_roundtrip(spark, d):
 
 @query()
 def nearest_copies(spark, d):
-    return search.nearest_copies(L.padded(S.plane(spark, d)), 16)
+    return search.nearest_copies(L.padded(S.plane(spark, d)))
 
 
 @query()

@@ -154,3 +154,14 @@ def test_block_search_equals_numpy(spark):
     samples = np.random.default_rng(6).integers(0, 64, (24, 24))
     got = {(r["by"], r["bx"]): (r["dx"], r["dy"], r["sad"]) for r in nearest_copies(plane(spark, samples), 10).collect()}
     assert got == {(by, bx): nearest_copy(samples, by, bx, 10) for by in range(3) for bx in range(3)}
+
+
+def test_block_search_query_reaches_64_samples(spark):
+    from blockloom import queries
+    from blockloom.operators.search import nearest_copies
+
+    directory = "/root/testdata/sf0.001"
+    got = {(r["by"], r["bx"]): r["sad"] for r in queries.QUERIES["nearest_copies"](spark, directory).collect()}
+    want = {(r["by"], r["bx"]): r["sad"] for r in nearest_copies(queries.L.padded(queries.S.plane(spark, directory)), 64).collect()}
+    near = {(r["by"], r["bx"]): r["sad"] for r in nearest_copies(queries.L.padded(queries.S.plane(spark, directory)), 16).collect()}
+    assert got == want and got != near
