@@ -6,7 +6,8 @@ weights of a shape at the word itself, before it and after it, and those of the
 fitted by gradient ascent on the log-likelihood of a small labelled table (``training_table``).
 Decoding is Viterbi, in numpy, for all islands of a slice of documents at once: a word may carry a
 label only within REACH words of one that has a digit, an @ or a cue word (an emission of minus
-infinity elsewhere, in training too), so plain prose needs no decoding.
+infinity elsewhere, in training too), so plain prose needs no decoding.  An island whose labels reach
+its edge grows by REACH words and is decoded again.
 
 Offsets count code points, ends are exclusive.  Defined results: null text is empty and has no
 spans; null ids and repeated rows are scanned one by one; an empty table gives an empty result;
@@ -82,8 +83,6 @@ REACH = 2
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Words that announce or spell out personal data (fixed values).
 CUES = ("at", "dot", "phone", "tel", "telephone", "mobile", "call", "fax", "email", "mail", "ip", "address", "card", "visa", "mastercard", "iban", "ssn", "security", "passport", "id", "no", "number")
-#: Cue words that make their surroundings an island by themselves; the others are only seen in one.
-LOUD_CUES = ("phone", "tel", "telephone", "fax", "email", "ssn", "iban", "passport")
 PUNCTUATION = ".,;:!?\"'()[]<>"
 
 
@@ -142,7 +141,7 @@ def training_table(seed: int = 7, copies: int = 40) -> list[list[tuple[str, str]
 
 
 def loud(symbol: str) -> bool:
-    return symbol != "word" and (not symbol.startswith("cue ") or symbol[4:] in LOUD_CUES)
+    return symbol != "word"
 
 
 def allowed() -> np.ndarray:
@@ -304,41 +303,58 @@ def field_spans(words, field: Field) -> Iterator[tuple[str, int, int]]:
     if not len(loud_at):
         return
     text = np.searchsorted(words.first, loud_at, "right") - 1
-    lo = np.maximum(loud_at - REACH, words.first[text])
-    hi = np.minimum(loud_at + REACH + 1, words.first[text + 1])
-    new = np.ones(len(lo), bool)
-    new[1:] = (lo[1:] > np.maximum.accumulate(hi)[:-1]) | (text[1:] != text[:-1])
-    begin = lo[new]
-    end = np.maximum.reduceat(hi, np.flatnonzero(new))
-    own_text = text[new]
+    low, high = words.first[text], words.first[text + 1]
+    lo, hi = np.maximum(loud_at - REACH, low), np.minimum(loud_at + REACH + 1, high)
+    known: dict[tuple[int, int], list[int]] = {}
+    while True:
+        new = np.ones(len(lo), bool)
+        new[1:] = (lo[1:] > np.maximum.accumulate(hi)[:-1]) | (low[1:] != low[:-1])
+        at = np.flatnonzero(new)
+        lo, hi, low, high = lo[at], np.maximum.reduceat(hi, at), low[at], high[at]
+        islands = list(zip(lo.tolist(), hi.tolist(), strict=True))
+        fresh = np.array([k for k, x in enumerate(islands) if x not in known], np.int64)
+        known.update(zip([islands[k] for k in fresh], decode(field, symbols, lo[fresh], hi[fresh], low[fresh], high[fresh]), strict=True))
+        left = np.array([known[x][0] != 0 for x in islands]) & (lo > low)
+        right = np.array([known[x][-1] != 0 for x in islands]) & (hi < high)
+        if not (left | right).any():
+            break
+        lo, hi = np.where(left, np.maximum(lo - REACH, low), lo), np.where(right, np.minimum(hi + REACH, high), hi)
+    for a, b in islands:
+        best = known[a, b]
+        t = 0
+        while t < b - a:
+            if best[t] == 0:
+                t += 1
+                continue
+            stop = t + 1
+            while stop < b - a and LABELS[best[stop]][0] == "I":
+                stop += 1
+            yield LABELS[best[t]][2:], int(words.starts[a + t]), int(words.ends[a + stop - 1])
+            t = stop
+
+
+def decode(field: Field, symbols: dict[int, str], begin: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[list[int]]:
+    """The best labels of each island of words begin..end, in a text of the words low..high."""
     lengths = end - begin
     order = np.argsort(lengths, kind="stable")
     plain = field.parts("word")
+    out: list[list[int]] = [[]] * len(begin)
     for group in np.array_split(order, max(1, len(order) // 2000)):
         size, most = lengths[group], int(lengths[group].max())
         e = np.zeros((len(group), most, len(LABELS)))
         for i, g in enumerate(group.tolist()):
             a, b = int(begin[g]), int(end[g])
-            low, high = int(words.first[own_text[g]]), int(words.first[own_text[g] + 1])
             parts = [field.parts(symbols[k]) if k in symbols else plain for k in range(a, b)]
             for t, part in enumerate(parts):
                 e[i, t] = part[0]
-                if a + t > low:
+                if a + t > low[g]:
                     e[i, t] += (parts[t - 1] if t else field.parts(symbols.get(a - 1, "word")))[1]
-                if a + t + 1 < high:
+                if a + t + 1 < high[g]:
                     e[i, t] += (parts[t + 1] if t + 1 < len(parts) else field.parts(symbols.get(b, "word")))[2]
         best = field.viterbi(e, size)
         for i, g in enumerate(group.tolist()):
-            a, t = int(begin[g]), 0
-            while t < size[i]:
-                if best[i, t] == 0:
-                    t += 1
-                    continue
-                stop = t + 1
-                while stop < size[i] and LABELS[best[i, stop]][0] == "I":
-                    stop += 1
-                yield LABELS[best[i, t]][2:], int(words.starts[a + t]), int(words.ends[a + stop - 1])
-                t = stop
+            out[g] = best[i, : size[i]].tolist()
+    return out
 
 
 def joined(spans: Iterable[Span], kinds: tuple[str, ...]) -> str:

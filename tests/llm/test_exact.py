@@ -340,3 +340,8 @@ def brute_cost(value):
 @given(st.text(alphabet="adminroxz7", max_size=12))
 def test_programme_is_never_dearer_than_words_and_brute_force(value):
     assert secret_scan.guess_cost(value) <= brute_cost(value) + 1e-9
+
+
+def test_spelled_out_emails_need_no_digit():
+    found = spans(["please write to anna at example dot com today", "email: anna at example dot com", "anna at example dot com", "the cat sat at home and no one said so"], pii.scan_batches, pii.trained())
+    assert found == ["email:16:39", "email:7:30", "email:0:23", ""]
