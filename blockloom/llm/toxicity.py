@@ -13,8 +13,9 @@ n-gram that no labelled text has is no evidence.  The counts come from every lab
 
 Counting runs over whole texts, n-grams are combined per partition before the shuffle, and all
 Kneser-Ney sums are aggregates over the table of distinct n-grams.  What a scorer needs is one
-log-ratio for each 7-gram; it goes into a table of 2**TABLE_BITS buckets (n-grams that share a
-bucket share their count-weighted mean), so the broadcast has a fixed size whatever the corpus.
+log-ratio for each 7-gram, found by the exact n-gram (``Ratios``); an unseen one has none.  That table
+grows with the distinct n-grams, so beyond BROADCAST_GRAMS it isn't broadcast: each text's n-grams
+are joined with it by a shuffle.
 
 A document is judged by its length-normalised differences of log-likelihoods: the mean over all
 words, over its 1, 4 and 8 most toxic ones, and what words have beyond 2 and 3 nats, set against
@@ -42,7 +43,8 @@ SYMBOL_BITS = 8
 DISCOUNT = 0.75
 #: S: what the shared distribution weighs, in observations.
 SHARED_WEIGHT = 10.0
-TABLE_BITS = 22
+#: Up to so many distinct n-grams are broadcast (12 bytes each and up to 16 of the index); more are joined by a shuffle.
+BROADCAST_GRAMS = 8_000_000
 #: What a document is judged by: log-ratios of its words, normalised by how many there are.
 FEATURES = ("best", "best4", "best8", "mean", "excess", "log_excess", "log_words")
 #: The bound on the sample for the logistic fit: so many rows and, by chance, up to 5 % more.
@@ -181,29 +183,73 @@ def log_ratios(grams: DataFrame) -> DataFrame:
     return both.select("gram", "total", (log_p["toxic"] - log_p["ordinary"]).alias("ratio"))
 
 
-def bucket_of(keys: np.ndarray) -> np.ndarray:
-    return ((keys * _HASH) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+class Ratios:
+    """Exact n-grams and their log-ratios, sorted by hash, with the start of each of at least twice as many buckets."""
+
+    def __init__(self, grams: np.ndarray, ratios: np.ndarray) -> None:
+        bits = max(1, int(2 * len(grams)).bit_length())
+        hashes = grams.view(np.uint64) * _HASH  # an odd factor: no two n-grams share one
+        order = np.argsort(hashes)
+        self.shift = np.uint64(64 - bits)
+        self.hashes, self.ratios = hashes[order], ratios[order].astype(np.float32)
+        ends = np.cumsum(np.bincount((self.hashes >> self.shift).astype(np.int64), minlength=1 << bits))
+        self.start = np.concatenate([[0], ends]).astype(np.int32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The log-ratio of each n-gram, 0 for those that aren't in the table."""
+        out = np.zeros(len(keys), np.float32)
+        hashes = keys * _HASH
+        bucket = (hashes >> self.shift).astype(np.int64)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end, hashes = at[left], end[left], hashes[left]
+        while len(left):
+            hit = self.hashes[at] == hashes
+            out[left[hit]] = self.ratios[at[hit]]
+            more = ~hit & (at + 1 < end)
+            left, at, end, hashes = left[more], at[more] + 1, end[more], hashes[more]
+        return out
+
+
+def score_table(ratios: DataFrame) -> Ratios:
+    got = ratios.select("gram", F.col("ratio").cast("float").alias("ratio")).toArrow().combine_chunks()
+    return Ratios(got.column("gram").to_numpy(), got.column("ratio").to_numpy())
+
+
+def text_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(__row, gram): the distinct n-grams of each text."""
+    for rows, texts in text_slices(batches):
+        s, starts = symbols(texts)
+        key = gram_keys(s, starts)
+        found = [np.unique(key[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        names = np.repeat(rows.column("__row").to_numpy(), [len(x) for x in found])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(found).view(np.int64))], ["__row", "gram"])
 
 
-def with_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = bucket_of(b.column("gram").to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(at), b.column("total"), b.column("ratio")], ["bucket", "total", "ratio"])
+def with_own(rows: DataFrame, ratios: DataFrame | None) -> DataFrame:
+    """With a table that is not broadcast, the n-grams of a text that are in it are a column of the row."""
+    if ratios is None:
+        return rows
+    keyed = rows.withColumn("__row", F.xxhash64("text"))
+    grams = map_arrow(keyed.where("text is not null").select("__row", "text").dropDuplicates(["__row"]), text_grams, "__row long, gram long")
+    own = grams.join(ratios, "gram").groupBy("__row").agg(F.collect_list("gram").alias("__grams"), F.collect_list("ratio").alias("__ratios"))
+    return keyed.join(own, "__row", "left").drop("__row")
 
 
-def score_table(ratios: DataFrame) -> np.ndarray:
-    """The log-ratio of each bucket: at most 2**TABLE_BITS numbers."""
-    by = map_arrow(ratios, with_bucket, "bucket long, total long, ratio double").groupBy("bucket").agg((F.sum(F.col("total") * F.col("ratio")) / F.sum("total")).cast("float").alias("ratio"))
-    out = np.zeros(1 << TABLE_BITS, np.float32)
-    got = by.toArrow()
-    out[got.column("bucket").to_numpy()] = got.column("ratio").to_numpy()
-    return out
+def table_of(rows: pa.RecordBatch, sent) -> Ratios:
+    """The broadcast table, or that of the rows' own n-grams."""
+    if sent is not None:
+        return sent
+    empty = pa.array([], pa.int64()), pa.array([], pa.float32())
+    grams, ratios = (rows.column(c).flatten() if rows.num_rows else e for c, e in zip(("__grams", "__ratios"), empty, strict=True))
+    grams, first = np.unique(grams.to_numpy(), return_index=True)
+    return Ratios(grams, ratios.to_numpy()[first])
 
 
-def features(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[str], table: Ratios) -> tuple[np.ndarray, np.ndarray]:
     """Per text what FEATURES names, and its number of words."""
     s, starts = symbols(texts)
-    ratio = table[bucket_of(gram_keys(s, starts))]
+    ratio = table.of(gram_keys(s, starts))
     ratio[starts[:-1]] = 0
     sums = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
     begins = np.flatnonzero((s[:-1] == 0) & (s[1:] != 0)) + 1
@@ -240,7 +286,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float =
 def score_texts(batches: Iterable[pa.RecordBatch], model, names: list[str]) -> Iterator[pa.RecordBatch]:
     table, weights, prior = model.value
     for rows, texts in text_slices(batches):
-        x, n = features(texts, table)
+        x, n = features(texts, table_of(rows, table))
         score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -50, 50))), prior)
         own = {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
         yield pa.RecordBatch.from_arrays([own[c] if c in own else rows.column(c) for c in names], names)
@@ -249,7 +295,7 @@ def score_texts(batches: Iterable[pa.RecordBatch], model, names: list[str]) -> I
 def raw_features(batches: Iterable[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     names = ["label", "words", *FEATURES]
     for rows, texts in text_slices(batches):
-        x, n = features(texts, table.value)
+        x, n = features(texts, table_of(rows, table.value))
         yield pa.RecordBatch.from_arrays([rows.column("label").cast(pa.int32()), pa.array(n, pa.int64()), *(pa.array(x[:, j]) for j in range(len(FEATURES)))], names)
 
 
@@ -262,20 +308,22 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration_rows: int = CALIBRATION_ROWS):
-    """A broadcast (table, weights, prior).  Class counts come from folds 2 to 4, the logistic scale from fold 1."""
+    """A broadcast (table, weights, prior), and the log-ratios if they are too many for it (its table is None then).  Class counts come from folds 2 to 4, the logistic scale from fold 1."""
     spark = docs.sparkSession
     rows = labelled(docs, labels, id_col, text_col, label_col)
     counted = map_arrow(rows.where("fold > 1").select("text", "label"), count_grams, "gram long, both long")
     ordinary, toxic = F.sum(F.col("both").bitwiseAND((1 << 32) - 1)), F.sum(F.shiftright("both", 32))
     grams = cut(counted.groupBy("gram").agg(ordinary.alias("ordinary"), toxic.alias("toxic")).withColumn("total", F.col("ordinary") + F.col("toxic")))
-    table = score_table(log_ratios(grams))
+    ratios = log_ratios(grams).select("gram", F.col("ratio").cast("float").alias("ratio"))
+    far = cut(ratios) if grams.count() > BROADCAST_GRAMS else None
+    table = score_table(ratios) if far is None else None
     sent = spark.sparkContext.broadcast(table)
     calibration = rows.where("fold = 1").select("doc_id", "text", "label")
     n = calibration.select("doc_id").count()
     if n > calibration_rows:  # those of smallest hash, about as many
         share = min(1.0, (calibration_rows + 6 * calibration_rows**0.5) / n)
         calibration = calibration.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    seen = map_arrow(calibration.select("text", "label"), lambda batches: raw_features(batches, sent), "label int, words long, " + ", ".join(f"{x} double" for x in FEATURES)).toPandas()
+    seen = map_arrow(with_own(calibration.select("text", "label"), far), lambda batches: raw_features(batches, sent), "label int, words long, " + ", ".join(f"{x} double" for x in FEATURES)).toPandas()
     y = seen["label"].to_numpy(float)
     prior = float(y.mean()) if len(y) else 0.0
     seen = seen[seen["words"] > 0]
@@ -285,25 +333,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     else:
         odds = min(max(prior, 1e-6), 1 - 1e-6)
         weights = np.append(np.zeros(len(FEATURES)), np.log(odds / (1 - odds)))
-    return spark.sparkContext.broadcast((table, weights, prior))
+    return spark.sparkContext.broadcast((table, weights, prior)), far
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted."""
-    model = fit(docs, labels, id_col, text_col, label_col)
+    model, far = fit(docs, labels, id_col, text_col, label_col)
     names = ["doc_id", "held_out", "score", "predicted"]
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col).cast("long")) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    return map_arrow(plain, lambda batches: score_texts(batches, model, names), "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(with_own(plain, far), lambda batches: score_texts(batches, model, names), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_ordinary(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def keep_ordinary(batches: Iterable[pa.RecordBatch], model, names: list[str]) -> Iterator[pa.RecordBatch]:
     table, weights, prior = model.value
     for rows, texts in text_slices(batches):
-        x, n = features(texts, table)
-        yield rows.filter(pa.array(np.where(n > 0, x @ weights[:-1] + weights[-1] < 0, prior < 0.5)))
+        x, n = features(texts, table_of(rows, table))
+        yield rows.select(names).filter(pa.array(np.where(n > 0, x @ weights[:-1] + weights[-1] < 0, prior < 0.5)))
 
 
 def toxic_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents (columns doc_id, text and any others) that are not predicted to be toxic."""
-    model = fit(docs, labels)
-    return map_arrow(docs, lambda batches: keep_ordinary(batches, model), docs.schema)
+    model, far = fit(docs, labels)
+    names = docs.columns
+    return map_arrow(with_own(docs, far), lambda batches: keep_ordinary(batches, model, names), docs.schema)

@@ -93,3 +93,24 @@ def test_log_ratios_are_proper(spark):
     ratio = {r["gram"]: r["ratio"] for r in toxicity.log_ratios(grams).collect()}
     key = lambda w: int.from_bytes(w.encode(), "big")
     assert ratio[key("abd")] > 0 > ratio[key("abc")]
+
+
+def test_unseen_grams_have_no_ratio():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(1, 1 << 56, 300_000, dtype=np.int64))
+    seen, unseen = keys[::2], keys[1::2]
+    table = toxicity.Ratios(seen, np.arange(1, len(seen) + 1, dtype=np.float32))
+    assert (table.of(seen.view(np.uint64)) == np.arange(1, len(seen) + 1)).all()
+    assert not table.of(unseen.view(np.uint64)).any()
+    assert not toxicity.Ratios(seen[:0], np.zeros(0, np.float32)).of(unseen.view(np.uint64)).any()
+
+
+def test_shuffled_ratios_give_the_same_scores(spark, monkeypatch, odd):
+    rows, known = documents(1, 300)
+    docs = spark.createDataFrame(rows, SCHEMA).unionByName(odd)
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    scored = lambda: sorted(str((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"])) for r in toxicity.toxicity(docs, labels).collect())
+    near, kept = scored(), sorted(map(str, toxicity.toxic_out(docs, labels).collect()))
+    monkeypatch.setattr(toxicity, "BROADCAST_GRAMS", 0)
+    assert scored() == near
+    assert sorted(map(str, toxicity.toxic_out(docs, labels).collect())) == kept
