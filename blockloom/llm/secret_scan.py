@@ -8,13 +8,14 @@ brute-force spans, in powers of ten of guesses, found by dynamic programming ove
 
 Offsets count code points, ends are exclusive.  Defined results: null text is empty and has no
 spans; null ids and repeated rows are scanned one by one; an empty table gives an empty result;
-whole texts and whole values are looked at whatever their length (a value costs time in proportion
-to its length); other columns are not looked at.
+whole texts and whole values are looked at whatever their length (a value of n characters costs time
+n log n at most); other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -35,11 +36,16 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "guess")
 
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|bearer|(?:api|access|private|auth)[_-]?key)["']?\s{0,4}(?:is\s|=>|:=|[:=])\s{0,4}["']?([^\s"',;<>]{6,})""", re.I | re.A)
+#: A credential word, also with a part of a name after it, an assignment and a value; after "is" or a bare "bearer"
+#: the value needs a digit or a sign, or prose would match.
+CONTEXT = re.compile(
+    r"""(?:(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|bearer|(?:api|access|private|auth)[_-]?key)"""
+    r"""(?:[_-](?:access|api|key|token|value|id|code|hash|text|string)){0,3}["']?(?:\s*+(?:=>|:=|[:=])|\s++is\s(?=\s*+["']?[^\s"',;<>]*[0-9!#$%&*+/=@^_~]))|bearer\s(?=\s*+[^\s"',;<>]*[0-9+/=_]))\s*+["']?([^\s"',;<>]{6,})""",
+    re.I | re.A,
+)
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "bearer", "key")
 #: Reported from 10**10 guesses on.
 HARD = 10.0
-LONGEST_WORD = 24
 SEGMENT = math.log10(2)
 #: Common parts of passwords, most common first (fixed values).
 COMMON_WORDS = tuple(
@@ -51,6 +57,7 @@ COMMON_WORDS = tuple(
     please enter new old temp temporary company home office one two three four five""".split()
 )
 WORD_RANK = {w: k + 1 for k, w in enumerate(COMMON_WORDS)}
+WORD_SIZES = sorted({len(w) for w in COMMON_WORDS})
 LEET = str.maketrans("013457@$!", "oleastasi")
 ROWS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
 
@@ -62,10 +69,13 @@ def neighbours() -> dict[str, frozenset[str]]:
 
 
 NEIGHBOURS = neighbours()
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
-YEAR = re.compile(r"(?:19|20)\d\d")
-REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
-DATE_COST, YEAR_COST = math.log10(365 * 120), math.log10(120)
+_YEAR, _MONTH, _DAY, _SIGN = r"(?:19|20)[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])", r"[-/._]?"
+#: Patterns of dates and years, and what each costs; each matches one length at most from a place.
+DATES = (
+    (re.compile(_YEAR + _SIGN + _MONTH + _SIGN + _DAY), math.log10(365 * 120)),
+    (re.compile(_DAY + _SIGN + _MONTH + _SIGN + _YEAR), math.log10(365 * 120)),
+    (re.compile(_YEAR), math.log10(120)),
+)
 
 
 def char_cost(c: str) -> float:
@@ -84,52 +94,103 @@ def word_cost(part: str) -> float | None:
     return math.log10(rank + 1) + extra
 
 
-def runs(value: str, follows) -> list[int]:
-    """For each position the end of the run that goes through it, each step accepted by ``follows``."""
-    n = len(value)
-    out = [n] * n
-    for k in range(n - 2, -1, -1):
-        out[k] = out[k + 1] if follows(value[k], value[k + 1]) else k + 1
-    return out
+class Chains:
+    """The cheapest start of segments that are chains of steps: ``least`` steps or more, each ``stride`` characters.
+
+    A chain of n steps is charged for the next number of the form 2**j + least - 1, so its length costs
+    one of a few values.  For each of them the cheapest start is a minimum over 2**j places that are
+    ``stride`` apart, made of two minima over half as many; a value costs time n log n, however long its chains.
+    """
+
+    def __init__(self, stride: int, least: int):
+        self.stride, self.least = stride, least
+        self.lows: list[dict[int, float]] = []
+        self.whole: dict[int, float] = {}  # by residue: over all starts of the chain that goes on
+
+    def end(self) -> None:
+        if self.whole:
+            self.lows, self.whole = [], {}
+
+    def cheapest(self, best: list[float], end: int, steps: int, weight: float) -> float:
+        """The least of best[start] + weight * log10(charged steps) over chains to ``end``, of which the longest has ``steps`` steps."""
+        last = end - self.stride * self.least
+        starts, row = steps - self.least + 1, last % self.stride
+        self.whole[row] = low = min(self.whole.get(row, math.inf), best[last])
+        here, j, out = best[last], 0, math.inf
+        while True:
+            if len(self.lows) == j:
+                self.lows.append({})
+            self.lows[j][last] = here
+            if 1 << j >= starts:
+                return min(out, low + weight * LENGTHS[self.least][j])
+            out = min(out, here + weight * LENGTHS[self.least][j])
+            here = min(here, self.lows[j].get(last - (self.stride << j), math.inf))
+            j += 1
+
+
+#: By the least number of steps: log10 of what a chain in class j is charged for.
+LENGTHS = {least: [math.log10((1 << j) + least - 1) for j in range(40)] for least in (2, 3)}
+
+
+def charged(steps: int, least: int) -> float:
+    """log10 of the steps that a chain of so many is charged for."""
+    return LENGTHS[least][(steps - least).bit_length() if steps > least else 0]
+
+
+WALK_COST, RUN_COST = math.log10(47 * 4), math.log10(62)
+LONGEST_UNIT = 8
 
 
 def guess_cost(value: str) -> float:
-    """log10 of the guesses for a value: the cheapest segmentation."""
+    """log10 of the guesses for a value: the cheapest segmentation, over all segments of all kinds.
+
+    Segments: common words; dates and years; walks over neighbouring keys, and runs of
+    rising or falling code points, of 3 characters or more; a unit of 1 to 8 characters twice or more (one
+    character three times or more); brute-force spans.
+    """
     n = len(value)
     best = [0.0] + [math.inf] * n
-    low = value.lower()
-    walk = runs(low, lambda a, b: b in NEIGHBOURS.get(a, ()))
-    rise = runs(value, lambda a, b: ord(b) == ord(a) + 1)
-    fall = runs(value, lambda a, b: ord(b) == ord(a) - 1)
-    repeats: dict[int, list[tuple[int, float]]] = {}
-    for m in REPEAT.finditer(value):
-        unit, times = m.group(1), len(m.group()) // len(m.group(1))
-        if len(m.group()) >= 3:
-            repeats.setdefault(m.start(), []).append((m.end(), min(sum(map(char_cost, unit)), word_cost(unit) or math.inf) + math.log10(times)))
-
-    def reach(end: int, cost: float) -> None:
-        if cost < best[end]:
-            best[end] = cost
-
+    low = "".join(x if len(x := c.lower()) == 1 else c for c in value)
+    leet = low.translate(LEET)
+    spent = [0.0, *itertools.accumulate(map(char_cost, value))]
+    steps = (
+        (lambda k: low[k] in NEIGHBOURS.get(low[k - 1], ()), WALK_COST, 2.0),
+        (lambda k: ord(value[k]) == ord(value[k - 1]) + 1, RUN_COST, 1.0),
+        (lambda k: ord(value[k]) == ord(value[k - 1]) - 1, RUN_COST, 1.0),
+    )
+    lines = [(follows, cost, weight, Chains(1, 3)) for follows, cost, weight in steps]
+    line_from = [0] * len(lines)
+    repeats = [(unit, Chains(unit, 3 if unit == 1 else 2)) for unit in range(1, LONGEST_UNIT + 1)]
+    repeat_from = [0] * len(repeats)
+    ahead: dict[int, float] = {}  # the cheapest segment so far that ends at a later place
     open_brute = math.inf  # the cheapest way to position k with a brute-force span that goes on
     for k in range(n):
-        open_brute = min(open_brute, best[k] + SEGMENT) + char_cost(value[k])
-        reach(k + 1, open_brute)
         here = best[k] + SEGMENT
-        for end in range(k + 3, min(n, k + LONGEST_WORD) + 1):
-            if (cost := word_cost(value[k:end])) is not None:
-                reach(end, here + cost)
-        for pattern, cost in ((DATE, DATE_COST), (YEAR, YEAR_COST)):
-            if m := pattern.match(value, k):
-                reach(m.end(), here + cost)
-        for ends, start in ((walk, math.log10(47 * 4)), (rise, math.log10(62)), (fall, math.log10(62))):
-            for end in range(k + 3, ends[k] + 1):
-                reach(end, here + start + math.log10(end - k) * (2 if ends is walk else 1))
-                if end - k > LONGEST_WORD:
-                    reach(ends[k], here + start + math.log10(ends[k] - k) * (2 if ends is walk else 1))
-                    break
-        for end, cost in repeats.get(k, ()):
-            reach(end, here + cost)
+        for size in WORD_SIZES:
+            if (low[k : k + size] in WORD_RANK or leet[k : k + size] in WORD_RANK) and (cost := word_cost(value[k : k + size])) is not None:
+                ahead[k + size] = min(ahead.get(k + size, math.inf), here + cost)
+        if "0" <= value[k] <= "3":
+            for pattern, cost in DATES:
+                if m := pattern.match(value, k):
+                    ahead[m.end()] = min(ahead.get(m.end(), math.inf), here + cost)
+        end = k + 1
+        open_brute = min(open_brute, here) + char_cost(value[k])
+        cheapest = min(open_brute, ahead.pop(end, math.inf))
+        for i, (follows, cost, weight, chains) in enumerate(lines):
+            if k and not follows(k):
+                line_from[i] = k
+                chains.end()
+            elif (length := end - line_from[i]) >= 3:
+                cheapest = min(cheapest, SEGMENT + cost + chains.cheapest(best, end, length, weight))
+        for i, (unit, chains) in enumerate(repeats):
+            if k >= unit and value[k] != value[k - unit]:
+                repeat_from[i] = k - unit + 1
+                chains.end()
+            elif (times := (end - repeat_from[i]) // unit) >= chains.least:
+                word = word_cost(value[end - unit : end]) if unit >= 3 else None
+                cost = spent[end] - spent[end - unit] if word is None else min(word, spent[end] - spent[end - unit])
+                cheapest = min(cheapest, SEGMENT + cost + chains.cheapest(best, end, times, 1.0))
+        best[end] = cheapest
     return best[n]
 
 
