@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -322,24 +323,113 @@ def test_guess_costs_rank_values():
     assert cost("passwordpassword") < cost("pqzkvjxwpqzmvjxw")
 
 
+def segment_cost(value, a, b):
+    """The cheapest kind of one segment, each kind tried by its definition."""
+    part = value[a:b]
+    n, low, brute = len(part), part.lower(), sum(map(secret_scan.char_cost, part))
+    out = [brute]
+    if (w := secret_scan.word_cost(part)) is not None:
+        out.append(w)
+    out += [cost for pattern, cost in secret_scan.DATES if (m := pattern.match(value, a)) and m.end() == b]
+    if n >= 3:
+        if all(y in secret_scan.NEIGHBOURS.get(x, ()) for x, y in zip(low, low[1:], strict=False)):
+            out.append(secret_scan.WALK_COST + 2 * secret_scan.charged(n, 3))
+        for step in (1, -1):
+            if all(ord(y) == ord(x) + step for x, y in zip(part, part[1:], strict=False)):
+                out.append(secret_scan.RUN_COST + secret_scan.charged(n, 3))
+    for size in range(1, 9):
+        least, times = 3 if size == 1 else 2, n // size
+        if n % size == 0 and times >= least and part == part[:size] * times:
+            word = secret_scan.word_cost(part[:size]) if size >= 3 else None
+            cost = sum(map(secret_scan.char_cost, part[:size]))
+            out.append(min(cost, cost if word is None else word) + secret_scan.charged(times, least))
+    return secret_scan.SEGMENT + min(out)
+
+
 def brute_cost(value):
-    """Every segmentation of a short value."""
-    n = len(value)
-    best = [0.0] + [1e9] * n
-    for a in range(n):
-        for b in range(a + 1, n + 1):
-            part = value[a:b]
-            options = [sum(map(secret_scan.char_cost, part))]
-            if len(part) >= 3 and (w := secret_scan.word_cost(part)) is not None:
-                options.append(w)
-            best[b] = min(best[b], best[a] + secret_scan.SEGMENT + min(options))
-    return best[n]
-
-
-@settings(max_examples=80, deadline=None)
-@given(st.text(alphabet="adminroxz7", max_size=12))
-def test_programme_is_never_dearer_than_words_and_brute_force(value):
-    assert secret_scan.guess_cost(value) <= brute_cost(value) + 1e-9
+    """Every segmentation of a value into segments of every kind."""
+    best = [0.0]
+    for b in range(1, len(value) + 1):
+        best.append(min(best[a] + segment_cost(value, a, b) for a in range(b)))
+    return best[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(alphabet="ab", max_size=20), st.text(alphabet="qweas", max_size=16), st.lists(st.sampled_from(["a", "ab", "abc", "admin", "P4ss", "password", "2019", "01", "-", "12.", "rewq", "zyx", "7", "é", "İ"]), max_size=7).map("".join)))
+def test_guess_cost_is_the_least_over_all_segmentations(value):
+    assert abs(secret_scan.guess_cost(value) - brute_cost(value)) < 1e-9
+
+
+def test_a_short_repeat_hides_no_longer_one():
+    assert secret_scan.guess_cost("xaabcabcabcabc") < 9 and secret_scan.guess_cost("aabababab") < 6
+
+
+def within(seconds, call, *args):
+    start = time.time()
+    out = call(*args)
+    assert time.time() - start < seconds
+    return out
+
+
+def test_long_values_and_digit_runs_take_time_in_proportion():
+    within(20, secret_scan.guess_cost, "as" * 10_000)
+    within(20, secret_scan.guess_cost, "a" * 20_000)
+    run = "1" * 1_000_000
+    assert within(20, pii.base_spans, run + ".2.3 and 1.2.3.4") == [("ip", 1_000_009, 1_000_016)]
+    assert within(20, pii.base_spans, "0" * 1_000_000 + ".1.2.3") == [("ip", 0, 1_000_006)]
+    assert len(within(20, pii.base_spans, "1.2.3.4." * 50_000)) == 50_000
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["password", "ToKeN", "api_key", "apikey", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEF0123456789", "deadbeef", "0a", "A", "/+", "é", "K", "\n", "xyzxyzxyzxyz"]), max_size=12).map("".join))
+def test_secret_base_spans_are_those_of_the_patterns(text):
+    """The leftmost match from every place, by the definition, with no search of the library's."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    value_chars, low = set(letters + "+/_.=-"), text.translate(LOWER)
+
+    def while_in(at, chars):
+        while at < len(text) and text[at] in chars:
+            at += 1
+        return at
+
+    def assign(at):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, at):
+                k = at + len(word)
+                k = while_in(k + (text[k : k + 1] in ("'", '"')), " ")
+                if text[k : k + 1] not in (":", "="):
+                    return None
+                k = while_in(k + 1, " ")
+                k += text[k : k + 1] in ("'", '"')
+                end = while_in(k, value_chars)
+                return (end, end - k >= 12) if end > k else None
+        return None
+
+    def access(at):
+        end = while_in(at + 4, set(letters[:26] + letters[52:]))
+        return (end, end - at >= 18) if text.startswith("AKIA", at) and end > at + 4 else None
+
+    def digits(at):
+        end = while_in(at, set("0123456789abcdef"))
+        return (end, end - at >= 16) if end > at else None
+
+    want = []
+    for kind, match in (("assign", assign), ("access", access), ("hex", digits)):
+        at = 0
+        while at < len(text):
+            if got := match(at):
+                want += [(kind, at, got[0])] * got[1]
+                at = got[0]
+            else:
+                at += 1
+    assert sorted(secret_scan.base_spans(text, text.lower())) == sorted(want)
+
+
+def test_credential_contexts():
+    values = lambda t: [t[a:b] for a, b, _ in secret_scan.credential_values(t, t.lower())]
+    assert values("Authorization: Bearer q8Zk9fWx2LmP") == ["q8Zk9fWx2LmP"]
+    assert values("SECRET_KEY      =       'kd93Kdkq8Zm'") == ["kd93Kdkq8Zm"]
+    assert values("a password is required by the bearer of bonds") == []
 
 
 def test_spelled_out_emails_need_no_digit():
