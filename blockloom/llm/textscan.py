@@ -116,6 +116,14 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+def grams_at(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The same hashes at some words only, each of which has k - 1 after it."""
+    out = hashes[at] + np.uint64(k)
+    for j in range(1, k):
+        out = out * _BASE + hashes[at + j]
+    return mixed(out)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for slices of the batches with about ``limit`` bytes of text; null texts are empty."""
     for batch in batches:

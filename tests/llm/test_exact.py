@@ -153,6 +153,42 @@ def test_decontamination_against_brute_force(spark, block_words):
     assert sorted(r["doc_id"] for r in clean.collect()) == [r["doc_id"] for r in got if not r["contaminated"]]
 
 
+def matched(texts, pieces):
+    """(n_words, n_hit, n_items, digest, contaminated) of texts against pieces, without Spark."""
+    block = decontam.Block([(i, t.encode()) for i, t in pieces])
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    out = []
+    for rows, data, offsets in decontam.slices([batch]):
+        words = scan(data, offsets, decontam.is_alphanumeric(), lower_ascii())
+        found = [[] for _ in range(len(rows))]
+        for t, item, lo, hi in block.matches(words):
+            found[t].append({"item": block.ids[item], "lo": lo, "hi": hi})
+        for t, spans in enumerate(found):
+            items, hit = sorted({x["item"] for x in spans}), decontam.covered(spans)
+            out.append((int(words.first[t + 1] - words.first[t]), hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("a a a b c".split()), max_size=40).map(" ".join), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("a a a b c".split()), max_size=30).map(" ".join), min_size=1, max_size=5), st.integers(10, 20))
+def test_repeated_words_are_matched_as_brute_force_does(texts, items, piece_words):
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(items))]), pa.array(items)], ["item", "text"])
+    pieces = [(r["item"], r["text"]) for b in decontam.cut_pieces([batch], piece_words) for r in b.to_pylist()]
+    assert all(len(t.split()) <= piece_words for _, t in pieces)
+    assert matched(texts, pieces) == brute_hits(texts, list(enumerate(items)))
+
+
+def test_repeated_words_take_time_in_proportion():
+    got = within(20, matched, ["the " * 100_000], [("1", "the " * 20_000), ("2", "x " * 9 + "the " * 20)])
+    assert got[0][:3] == (100_000, 100_000, 2)
+
+
+def test_benchmark_blocks_are_bounded(spark):
+    items = [(1, "\n".join(prose(5, 900).split())), (2, prose(6, 30))]
+    held = list(decontam.blocks(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 150, piece_words=100))
+    assert len(held) > 5 and all(sum(len(t.split()) for _, t in b) <= 250 for b in held)
+
+
 # ---- tokens
 
 
