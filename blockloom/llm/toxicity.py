@@ -1,26 +1,27 @@
-"""Toxicity by class-conditional Kneser-Ney character models with a shared backoff.
+"""Toxicity by class-conditional Kneser-Ney character models with shared backoff counts.
 
 Text is lower-cased, letters are symbols of an alphabet of 255, everything else is one blank; a history doesn't reach beyond its word.
-For both classes c the probability of a symbol w after its six predecessors h is
+With N(hw) the counts of both classes together, N_c(hw) those of class c, and T(h) the number of different symbols that follow
+h, the probability of a symbol w after its six predecessors h is, for both classes c,
 
-    p_c(w | h) = (max(N_c(hw) - D, 0) + (D * T_c(h) + S) * p(w | h)) / (N_c(h) + S)
+    p_c(w | h) = (1 - g(h)) * q_c(w | h) + g(h) * p(w | h'),    g(h) = D * T(h) / N(h),
+    q_c(w | h) = (N_c(hw) + S * r(w | h)) / (N_c(h) + S),       r(w | h) = max(N(hw) - D, 0) / (N(h) - D * T(h)),
 
-with N_c the class's counts, T_c the number of different symbols that follow h in the class, and
-p(w | h) one interpolated Kneser-Ney distribution, made of the counts and continuation counts of
-both classes together and shared by them, which enters with S extra observations (p_c = p where
-the class has not seen h).  A rare expression that neither class knows costs both the same: an
-n-gram that no labelled text has is no evidence.  The counts come from every labelled row.
+with h' the history less its first symbol and p(w | h') the interpolated Kneser-Ney distribution of the
+continuation counts of both classes together (p_c(w | h) = p(w | h') where nobody has seen h).  So the classes share
+their backoff counts: a rare expression that no labelled text has costs both the same, whatever they know of its history,
+and one that is known only to one class is held against the pooled distribution r, which enters with S
+observations.  The counts come from every labelled row that is not held out.
 
-Counting runs over whole texts, n-grams are combined per partition before the shuffle, and all
-Kneser-Ney sums are aggregates over the table of distinct n-grams.  What a scorer needs is one
-log-ratio for each 7-gram, found by the exact n-gram (``Ratios``); an unseen one has none.  That table
-grows with the distinct n-grams, so beyond BROADCAST_GRAMS it isn't broadcast: each text's n-grams
-are joined with it by a shuffle.
+Counting runs over whole texts, n-grams are combined per partition before the shuffle, and all Kneser-Ney sums are
+aggregates over the table of distinct n-grams.  What a scorer needs of it is log p_toxic - log p_ordinary of the
+7-grams that were seen (``Ratios``, found exactly); that of all others is 0 by the formula, not by default.  The table grows
+with the distinct n-grams, so beyond BROADCAST_GRAMS it isn't broadcast: each text's n-grams are joined with it by a shuffle.
 
-A document is judged by its length-normalised differences of log-likelihoods: the mean over all
-words, over its 1, 4 and 8 most toxic ones, and what words have beyond 2 and 3 nats, set against
-the number of words.  A logistic fit over labelled rows that the counts have not seen (about
-CALIBRATION_ROWS of them) puts that on a probability scale.
+A toxic document is ordinary prose with toxic expressions: each word is toxic with a chance of EXPRESSIONS.  With d_w the
+difference of a word's two log-likelihoods, the document's is the sum of log(1 - E + E * exp(d_w)), normalised by the
+square root of its number of words.  A logistic fit of that one number puts it on a probability scale (toxic rows count
+MISS_COST times); it is made on a sample of labelled rows (about CALIBRATION_ROWS), scored by class counts that leave the sample out.
 
 Defined results: texts that are null, empty or without letters get the share of toxic labels as
 score; labels that are null or not 0/1, or belong to no document, are ignored, of repeated labels
@@ -43,10 +44,12 @@ SYMBOL_BITS = 8
 DISCOUNT = 0.75
 #: S: what the shared distribution weighs, in observations.
 SHARED_WEIGHT = 10.0
+#: E: the chance that a word of a toxic document is a toxic expression.
+EXPRESSIONS = 0.01
 #: Up to so many distinct n-grams are broadcast (12 bytes each and up to 16 of the index); more are joined by a shuffle.
 BROADCAST_GRAMS = 8_000_000
-#: What a document is judged by: log-ratios of its words, normalised by how many there are.
-FEATURES = ("best", "best4", "best8", "mean", "excess", "log_excess", "log_words")
+#: A toxic document that is missed weighs as much as so many ordinary ones that are flagged.
+MISS_COST = 3.0
 #: The bound on the sample for the logistic fit: so many rows and, by chance, up to 5 % more.
 CALIBRATION_ROWS = 20_000
 #: Up to so many labels are broadcast; more are joined by a shuffle.
@@ -71,11 +74,11 @@ _SYMBOLS: list[np.ndarray] = []
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts with blanks in a row made one, and the place at which each text starts (a blank)."""
+    """Symbols of all texts, each between two blanks, with blanks in a row made one; the place at which each text starts (a blank)."""
     if not _SYMBOLS:
         _SYMBOLS.append(symbol_table())
-    raw = np.frombuffer("\0".join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    raw = np.frombuffer("".join(f"\0{t}\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])])
     s = _SYMBOLS[0][raw]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
@@ -94,7 +97,7 @@ def gram_keys(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
     last_blank = np.maximum.accumulate(np.where(s == 0, places, -1))
     began = np.concatenate([[-1], last_blank[:-1]])[:n]  # the blank before a symbol's word, also for the blank after it
     inside = places - began
-    for back in range(ORDER):
+    for back in range(min(ORDER, n)):
         shifted = s[: n - back].astype(np.uint64) << np.uint64(SYMBOL_BITS * back)
         if back:
             shifted[inside[back:] <= back] = 0
@@ -119,30 +122,28 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) ->
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    sums = np.zeros((len(keys), 2), np.int64)
     counts = np.concatenate([c for _, c in parts])
-    for j in range(2):
-        sums[:, j] = np.bincount(back, counts[:, j], len(keys))
-    return keys, sums
+    return keys, np.stack([np.bincount(back, counts[:, j], len(keys)).astype(np.int64) for j in range(counts.shape[1])], axis=1)
 
 
 def count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, both) with the task's sums over its labelled texts: ordinary ones in the low 32 bits, toxic ones above."""
+    """Rows (gram, rest, sample) with the task's sums over its labelled texts, those of the sample apart: ordinary ones in the low 32 bits, toxic ones above."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
     def out() -> pa.RecordBatch:
         keys, sums = parts[0]
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[:, 0] | (sums[:, 1] << 32))], ["gram", "both"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(sums[:, j] | (sums[:, j + 1] << 32)) for j in (0, 2))], ["gram", "rest", "sample"])
 
     for rows, texts in text_slices(batches):
         s, starts = symbols(texts)
         key = gram_keys(s, starts)
-        label = np.repeat(rows.column("label").to_numpy(zero_copy_only=False), np.diff(starts))
-        for c in (0, 1):
-            keys, n = np.unique(key[(label == c) & (key != 0)], return_counts=True)
+        kind = rows.column("label").to_numpy(zero_copy_only=False) + 2 * rows.column("sampled").to_numpy(zero_copy_only=False)
+        kind = np.repeat(kind, np.diff(starts))
+        for c in range(4):
+            keys, n = np.unique(key[(kind == c) & (key != 0)], return_counts=True)
             if len(keys):
-                counts = np.zeros((len(keys), 2), np.int64)
+                counts = np.zeros((len(keys), 4), np.int64)
                 counts[:, c] = n
                 parts.append((keys, counts))
                 held += len(keys)
@@ -172,15 +173,26 @@ def shorter(grams: DataFrame, order: int, n: str) -> DataFrame:
     return both.select("gram", p.alias("p"))
 
 
-def log_ratios(grams: DataFrame) -> DataFrame:
-    """(gram, total, ratio): log p_toxic - log p_ordinary of every 7-gram."""
-    shared = shorter(grams, ORDER, "total")
-    history = F.shiftrightunsigned("gram", SYMBOL_BITS)
-    classes = ("ordinary", "toxic")
-    of = grams.groupBy(history.alias("history")).agg(*(F.sum(c).alias(f"n_{c}") for c in classes), *(F.sum((F.col(c) > 0).cast("int")).alias(f"t_{c}") for c in classes))
-    both = grams.withColumn("history", history).join(of, "history").join(shared, "gram")
-    log_p = {c: F.log((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + (DISCOUNT * F.col(f"t_{c}") + SHARED_WEIGHT) * F.col("p")) / (F.col(f"n_{c}") + SHARED_WEIGHT)) for c in classes}
-    return both.select("gram", "total", (log_p["toxic"] - log_p["ordinary"]).alias("ratio"))
+LOW = (1 << (SYMBOL_BITS * (ORDER - 1))) - 1
+
+
+def backoff(grams: DataFrame) -> DataFrame:
+    """(low, p_low): p(w | h') of the 7-grams' last six symbols."""
+    below = grams.groupBy(F.col("gram").bitwiseAND(LOW).alias("gram")).agg(F.count("*").alias("c"))
+    return shorter(cut(below), ORDER - 1, "c").select(F.col("gram").alias("low"), F.col("p").alias("p_low"))
+
+
+def log_ratios(grams: DataFrame, lower: DataFrame) -> DataFrame:
+    """(gram, ratio): log p_toxic - log p_ordinary of every 7-gram with counts (gram, ordinary, toxic)."""
+    n, history, low = F.col("ordinary") + F.col("toxic"), F.shiftrightunsigned("gram", SYMBOL_BITS), F.col("gram").bitwiseAND(LOW)
+    grams = grams.where(n > 0)
+    of = grams.groupBy(history.alias("history")).agg(F.sum("ordinary").alias("n_ordinary"), F.sum("toxic").alias("n_toxic"), F.count("*").alias("types"))
+    both = grams.withColumns({"history": history, "low": low}).join(of, "history").join(lower, "low")
+    total = F.col("n_ordinary") + F.col("n_toxic")
+    back = DISCOUNT * F.col("types") / total
+    pooled = (n - DISCOUNT) / (total - DISCOUNT * F.col("types"))
+    log_p = {c: F.log((1 - back) * (F.col(c) + SHARED_WEIGHT * pooled) / (F.col(f"n_{c}") + SHARED_WEIGHT) + back * F.col("p_low")) for c in ("ordinary", "toxic")}
+    return both.select("gram", (log_p["toxic"] - log_p["ordinary"]).cast("float").alias("ratio"))
 
 
 class Ratios:
@@ -231,7 +243,7 @@ def with_own(rows: DataFrame, ratios: DataFrame | None) -> DataFrame:
     if ratios is None:
         return rows
     keyed = rows.withColumn("__row", F.xxhash64("text"))
-    grams = map_arrow(keyed.where("text is not null").select("__row", "text").dropDuplicates(["__row"]), text_grams, "__row long, gram long")
+    grams = map_arrow(keyed.where("text is not null").select("__row", "text").distinct(), text_grams, "__row long, gram long")
     own = grams.join(ratios, "gram").groupBy("__row").agg(F.collect_list("gram").alias("__grams"), F.collect_list("ratio").alias("__ratios"))
     return keyed.join(own, "__row", "left").drop("__row")
 
@@ -246,27 +258,19 @@ def table_of(rows: pa.RecordBatch, sent) -> Ratios:
     return Ratios(grams, ratios.to_numpy()[first])
 
 
-def features(texts: list[str], table: Ratios) -> tuple[np.ndarray, np.ndarray]:
-    """Per text what FEATURES names, and its number of words."""
+def judged(texts: list[str], table: Ratios) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the length-normalised difference of its log-likelihoods, and its number of words."""
     s, starts = symbols(texts)
     ratio = table.of(gram_keys(s, starts))
     ratio[starts[:-1]] = 0
     sums = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
     begins = np.flatnonzero((s[:-1] == 0) & (s[1:] != 0)) + 1
     ends = np.flatnonzero((s[1:] == 0) & (s[:-1] != 0)) + 1  # the blank after a word is scored with it
-    if len(s) and s[-1]:
-        ends = np.append(ends, len(s))
     first = np.searchsorted(begins, starts)
-    word = sums[np.minimum(ends + 1, len(s))] - sums[begins]
+    word = np.log1p(EXPRESSIONS * np.expm1(np.clip(sums[ends + 1] - sums[begins], -50, 50)))
     n = np.diff(first)
-    out = np.zeros((len(texts), len(FEATURES)))
-    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        if b > a:
-            x = word[a:b]
-            best = np.sort(np.partition(x, len(x) - 8)[-8:] if len(x) > 8 else x)[::-1]
-            over2, over3 = x[x > 2], x[x > 3]
-            out[k] = best[0], best[:4].mean(), best.mean(), x.mean(), (over2.sum() - 2 * len(over2)) / np.sqrt(b - a), np.log1p(over3.sum() - 3 * len(over3)), np.log1p(b - a)
-    return out, n
+    total = np.concatenate([[0.0], np.cumsum(word)])
+    return (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(n, 1)), n
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> np.ndarray:
@@ -286,17 +290,16 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float =
 def score_texts(batches: Iterable[pa.RecordBatch], model, names: list[str]) -> Iterator[pa.RecordBatch]:
     table, weights, prior = model.value
     for rows, texts in text_slices(batches):
-        x, n = features(texts, table_of(rows, table))
-        score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -50, 50))), prior)
+        x, n = judged(texts, table_of(rows, table))
+        score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(x * weights[0] + weights[1], -50, 50))), prior)
         own = {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
         yield pa.RecordBatch.from_arrays([own[c] if c in own else rows.column(c) for c in names], names)
 
 
-def raw_features(batches: Iterable[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
-    names = ["label", "words", *FEATURES]
+def raw_scores(batches: Iterable[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     for rows, texts in text_slices(batches):
-        x, n = features(texts, table_of(rows, table.value))
-        yield pa.RecordBatch.from_arrays([rows.column("label").cast(pa.int32()), pa.array(n, pa.int64()), *(pa.array(x[:, j]) for j in range(len(FEATURES)))], names)
+        x, n = judged(texts, table_of(rows, table.value))
+        yield pa.RecordBatch.from_arrays([rows.column("label").cast(pa.int32()), pa.array(n, pa.int64()), pa.array(x)], ["label", "words", "difference"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -307,32 +310,45 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return plain.join(F.broadcast(known) if known.count() <= BROADCAST_LABELS else known, "doc_id")
 
 
+def sent_ratios(grams: DataFrame, lower: DataFrame):
+    """The broadcast table of n-grams (None if there are too many), and the log-ratios if they are too many for it."""
+    ratios = log_ratios(grams, lower)
+    far = cut(ratios) if grams.count() > BROADCAST_GRAMS else None
+    return (score_table(ratios) if far is None else None), far
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration_rows: int = CALIBRATION_ROWS):
-    """A broadcast (table, weights, prior), and the log-ratios if they are too many for it (its table is None then).  Class counts come from folds 2 to 4, the logistic scale from fold 1."""
+    """A broadcast (table, weights, prior), and the log-ratios if they are too many for it (its table is None then)."""
     spark = docs.sparkSession
     rows = labelled(docs, labels, id_col, text_col, label_col)
-    counted = map_arrow(rows.where("fold > 1").select("text", "label"), count_grams, "gram long, both long")
-    ordinary, toxic = F.sum(F.col("both").bitwiseAND((1 << 32) - 1)), F.sum(F.shiftright("both", 32))
-    grams = cut(counted.groupBy("gram").agg(ordinary.alias("ordinary"), toxic.alias("toxic")).withColumn("total", F.col("ordinary") + F.col("toxic")))
-    ratios = log_ratios(grams).select("gram", F.col("ratio").cast("float").alias("ratio"))
-    far = cut(ratios) if grams.count() > BROADCAST_GRAMS else None
-    table = score_table(ratios) if far is None else None
-    sent = spark.sparkContext.broadcast(table)
-    calibration = rows.where("fold = 1").select("doc_id", "text", "label")
-    n = calibration.select("doc_id").count()
+    n = rows.where("fold = 1").select("doc_id").count()
+    sampled = F.col("fold") == 1
     if n > calibration_rows:  # those of smallest hash, about as many
         share = min(1.0, (calibration_rows + 6 * calibration_rows**0.5) / n)
-        calibration = calibration.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    seen = map_arrow(with_own(calibration.select("text", "label"), far), lambda batches: raw_features(batches, sent), "label int, words long, " + ", ".join(f"{x} double" for x in FEATURES)).toPandas()
+        sampled &= F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))
+    rows = rows.withColumn("sampled", sampled.cast("int"))
+    counted = map_arrow(rows.select("text", "label", "sampled"), count_grams, "gram long, rest long, sample long")
+    ordinary, toxic = (lambda c: F.sum(F.col(c).bitwiseAND((1 << 32) - 1))), (lambda c: F.sum(F.shiftright(c, 32)))
+    sums = counted.groupBy("gram").agg(ordinary("rest").alias("ordinary"), toxic("rest").alias("toxic"), ordinary("sample").alias("more_ordinary"), toxic("sample").alias("more_toxic"))
+    grams = cut(sums)
+    lower = cut(backoff(grams))
+
+    table, far = sent_ratios(grams.select("gram", "ordinary", "toxic"), lower)
+    sent = spark.sparkContext.broadcast(table)
+    seen = map_arrow(with_own(rows.where("sampled = 1").select("text", "label"), far), lambda batches: raw_scores(batches, sent), "label int, words long, difference double").toPandas()
+    sent.unpersist()
     y = seen["label"].to_numpy(float)
     prior = float(y.mean()) if len(y) else 0.0
     seen = seen[seen["words"] > 0]
     y = seen["label"].to_numpy(float)
     if len(set(y)) == 2:
-        weights = logistic_fit(seen[list(FEATURES)].to_numpy(float), y)
+        weights = logistic_fit(seen[["difference"]].to_numpy(float), y) + [0.0, np.log(MISS_COST)]
     else:
         odds = min(max(prior, 1e-6), 1 - 1e-6)
-        weights = np.append(np.zeros(len(FEATURES)), np.log(odds / (1 - odds)))
+        weights = np.array([0.0, np.log(odds / (1 - odds))])
+
+    every = grams.select("gram", (F.col("ordinary") + F.col("more_ordinary")).alias("ordinary"), (F.col("toxic") + F.col("more_toxic")).alias("toxic"))
+    table, far = sent_ratios(every, lower)
     return spark.sparkContext.broadcast((table, weights, prior)), far
 
 
@@ -347,8 +363,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_ordinary(batches: Iterable[pa.RecordBatch], model, names: list[str]) -> Iterator[pa.RecordBatch]:
     table, weights, prior = model.value
     for rows, texts in text_slices(batches):
-        x, n = features(texts, table_of(rows, table))
-        yield rows.select(names).filter(pa.array(np.where(n > 0, x @ weights[:-1] + weights[-1] < 0, prior < 0.5)))
+        x, n = judged(texts, table_of(rows, table))
+        yield rows.select(names).filter(pa.array(np.where(n > 0, x * weights[0] + weights[1] < 0, prior < 0.5)))
 
 
 def toxic_out(docs: DataFrame, labels: DataFrame) -> DataFrame:

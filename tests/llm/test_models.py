@@ -73,26 +73,94 @@ def test_grams_stay_in_their_word():
     s, starts = toxicity.symbols(["ab  c", "d"])
     keys = toxicity.gram_keys(s, starts).tolist()
     o = ord
-    assert s.tolist() == [0, o("a"), o("b"), 0, o("c"), 0, o("d")] and starts.tolist() == [0, 5, 7]
-    assert keys == [0, o("a"), o("a") << 8 | o("b"), (o("a") << 8 | o("b")) << 8, o("c"), 0, o("d")]
-
-
-def test_log_ratios_are_proper(spark):
-    """For a history that a class knows, the class's probabilities of all seen symbols add up to at most 1."""
+    assert s.tolist() == [0, o("a"), o("b"), 0, o("c"), 0, 0, o("d"), 0] and starts.tolist() == [0, 6, 9]
+    assert keys == [0, o("a"), o("a") << 8 | o("b"), (o("a") << 8 | o("b")) << 8, o("c"), o("c") << 8, 0, o("d"), o("d") << 8]
+
+
+class PlainModel:
+    """The docstring's formula on strings, for any symbol after any history, with every recursion spelled out."""
+
+    def __init__(self, rows):
+        self.counts = [{}, {}]
+        for text, label in rows:
+            for word in self.words(text):
+                for k in range(1, len(word)):
+                    gram = word[max(0, k - 6) : k + 1].rjust(7, "_")
+                    self.counts[label][gram] = self.counts[label].get(gram, 0) + 1
+        both = {g: self.counts[0].get(g, 0) + self.counts[1].get(g, 0) for g in {*self.counts[0], *self.counts[1]}}
+        self.tables = {7: both}
+        for order in range(6, 0, -1):
+            self.tables[order] = {}
+            for g in self.tables[order + 1]:
+                self.tables[order][g[1:]] = self.tables[order].get(g[1:], 0) + 1
+
+    @staticmethod
+    def words(text):
+        return ["_" + w + "_" for w in "".join(c if c.isalpha() else " " for c in text.lower()).split()]
+
+    def shared(self, gram):
+        table, h = self.tables[len(gram)], gram[:-1]
+        if len(gram) == 1:
+            return (max(table.get(gram, 0) - 0.75, 0) + 0.75 * len(table) / 256) / sum(table.values())
+        own = [n for g, n in table.items() if g[:-1] == h]
+        if not own:
+            return self.shared(gram[1:])
+        return (max(table.get(gram, 0) - 0.75, 0) + 0.75 * len(own) * self.shared(gram[1:])) / sum(own)
+
+    def p(self, c, gram, s=toxicity.SHARED_WEIGHT):
+        own = {g: n for g, n in self.tables[7].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return self.shared(gram[1:])
+        total, back = sum(own.values()), 0.75 * len(own) / sum(own.values())
+        pooled = max(own.get(gram, 0) - 0.75, 0) / (total - 0.75 * len(own))
+        q = (self.counts[c].get(gram, 0) + s * pooled) / (sum(self.counts[c].get(g, 0) for g in own) + s)
+        return (1 - back) * q + back * self.shared(gram[1:])
+
+    def difference(self, text):
+        words = self.words(text)
+        total = 0.0
+        for word in words:
+            grams = [word[max(0, k - 6) : k + 1].rjust(7, "_") for k in range(1, len(word))]
+            d = sum(np.log(self.p(1, g)) for g in grams) - sum(np.log(self.p(0, g)) for g in grams)
+            total += np.log(1 - toxicity.EXPRESSIONS + toxicity.EXPRESSIONS * np.exp(d))
+        return total / max(1, len(words)) ** 0.5
+
+
+LABELLED = [("abc abd abe abc xyz the theory of everything", 0), ("abd abd abq these", 1), ("thesis antithesis, ABC!", 0), ("xyz xyq abqab", 1), ("abq", 1)]
+SCORED = ["abc", "abq abd", "the theories of abqab", "unknown wörter xyzabc", "x", "", "42", "Antithesis thesauri and everything else, abe", "a"]
+
+
+def test_scores_are_those_of_a_plain_model(spark):
     import pyarrow as pa
 
-    rows = [("abc abd abe abc xyz", 0), ("abd abd abq", 1)]
-    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([y for _, y in rows], pa.int32())], ["text", "label"])
-    both = [r for b in toxicity.count_grams([batch]) for r in b.to_pylist()]
-    grams = spark.createDataFrame([(r["gram"], r["both"] & 0xFFFFFFFF, r["both"] >> 32) for r in both], "gram long, ordinary long, toxic long").selectExpr("*", "ordinary + toxic AS total")
-    p = toxicity.shorter(grams, toxicity.ORDER, "total").collect()
-    by_history = {}
-    for r in p:
-        by_history[r["gram"] >> 8] = by_history.get(r["gram"] >> 8, 0) + r["p"]
-    assert all(0 < x <= 1 + 1e-9 for x in by_history.values())
-    ratio = {r["gram"]: r["ratio"] for r in toxicity.log_ratios(grams).collect()}
-    key = lambda w: int.from_bytes(w.encode(), "big")
-    assert ratio[key("abd")] > 0 > ratio[key("abc")]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in LABELLED]), pa.array([y for _, y in LABELLED], pa.int32()), pa.array([0, 1, 0, 0, 1], pa.int32())], ["text", "label", "sampled"])
+    rows = [r for b in toxicity.count_grams([batch]) for r in b.to_pylist()]
+    counts = [(r["gram"], *(sum((r[c] >> shift) & 0xFFFFFFFF for c in ("rest", "sample")) for shift in (0, 32))) for r in rows]
+    grams = spark.createDataFrame(counts, "gram long, ordinary long, toxic long")
+    table = toxicity.score_table(toxicity.log_ratios(grams, toxicity.backoff(grams)))
+    plain = PlainModel(LABELLED)
+    assert sorted(map(sum, (plain.counts[0].values(), plain.counts[1].values()))) == sorted((sum(c[1] for c in counts), sum(c[2] for c in counts)))
+    got, n = toxicity.judged(SCORED, table)
+    assert got == pytest.approx([plain.difference(t) for t in SCORED], abs=1e-5)
+    assert n.tolist() == [len(plain.words(t)) for t in SCORED]
+
+
+def test_the_plain_model_is_a_distribution():
+    plain = PlainModel(LABELLED)
+    letters = [chr(k) for k in range(256 + 0x4E00 - 1, 0x4E00 - 1, -1)]  # 256 symbols, whichever they are
+    known = {g[-1] for g in plain.tables[1]}
+    alphabet = [*known, *letters[: 256 - len(known)]]
+    for history in ("____ab", "__the_"[:6], "______", "qqqqqq"):
+        for c in (0, 1):
+            assert sum(plain.p(c, history + w) for w in alphabet) == pytest.approx(1)
+
+
+def test_a_table_of_one_short_text(spark):
+    docs = spark.createDataFrame([(1, "a", None, None, None)], SCHEMA)
+    got = toxicity.toxicity(docs, spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == 1 and 0 <= got[0]["score"] <= 1
+    for text in ("", "a", "ab", "é"):
+        assert len(toxicity.gram_keys(*toxicity.symbols([text]))) == len(toxicity.symbols([text])[0])
 
 
 def test_unseen_grams_have_no_ratio():
