@@ -34,6 +34,8 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0
 #: Up to so many sources, one row for each is broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 ROWS_PER_BUCKET = 20_000
+#: A row's place in its source's reading order: so many bits of an MD5 of its id, source and text, which SQL engines share.
+HASH_BITS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -96,12 +98,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")).alias("source_key"),
         words(F.col(text_col)).alias("size"),
+        F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_md5"),
     )
-    sizes = cut(sizes.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "source_key"), 1)))
+    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "source_key", "text_md5")
+    sizes = cut(sizes.withColumn("h", F.conv(F.substring(F.md5(name.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")).drop("text_md5"))
     per_source, n_sources = targets(sizes, max_epochs, weights)
     rows = sizes.count()
     buckets = max(-(-rows // ROWS_PER_BUCKET), 4 * partitions(spark))
-    sizes = sizes.withColumn("bucket", F.expr(f"h div {(1 << 63) // buckets + 1}"))
+    sizes = sizes.withColumn("bucket", F.expr(f"h div {(1 << HASH_BITS) // buckets + 1}"))
     per_bucket = sizes.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("before_bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).drop("bucket_size")
@@ -130,6 +134,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """The rows of mix(), range-sorted by their first position; rows that the mix leaves out follow in hash order."""
-    first = F.when(F.size("positions") > 0, F.get("positions", F.lit(0))).otherwise(1.0 + F.col("h") / float(1 << 63))
+    first = F.when(F.size("positions") > 0, F.get("positions", F.lit(0))).otherwise(1.0 + F.col("h") / float(1 << HASH_BITS))
     n = partitions(mixed.sparkSession)
     return mixed.withColumn("first_position", first).repartitionByRange(n, "first_position", "doc_id").sortWithinPartitions("first_position", "doc_id").drop("h")

@@ -262,6 +262,31 @@ def test_search_against_brute_force(spark, n, hot):
         assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(order)]
 
 
+def test_rows_of_a_query_id_never_push_out_others(spark, monkeypatch):
+    """Ids on many rows, in one class and over several; classes with many askers."""
+    monkeypatch.setattr(knn, "ASKERS", 4)
+    monkeypatch.setattr(knn, "LEAST_BLOCK", 64)
+    rng = np.random.default_rng(8)
+    v = rng.integers(-40, 40, (260, 4)) / 64
+    v[60:100] = v[0]  # a class of many ids, id 0 among them
+    ids = np.arange(260)
+    ids[100:130] = 0  # an id with 31 vectors
+    ids[130:160], v[130:160] = 20, v[20]  # an id 31 times in its class
+    ids[200:] = ids[200:] // 3 * 3
+    v[200:] = v[200:][np.arange(60) // 3 * 3]
+    v[0] = v[60]
+    rows = [(int(i), [float(x) for x in y]) for i, y in zip(ids, v, strict=True)]
+    q = np.floor(64 * v).astype(int)
+    got = {}
+    for r in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    for i in got:
+        mine = {tuple(x) for x, j in zip(q.tolist(), ids, strict=True) if j == i}
+        order = sorted((-int(np.dot(x, q[j])), int(ids[j])) for x in mine for j in range(len(ids)) if ids[j] != i)[:20]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(order)], i
+
+
 def test_small_blocks_are_merged(spark, monkeypatch):
     monkeypatch.setattr(knn, "LEAST_BLOCK", 16)
     monkeypatch.setattr(knn, "MOST_BLOCK", 16)
