@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Each symbol (letter, or one blank for everything else) has a random vector of +1 and -1 in
+Each symbol (any letter in lower case, or one blank for everything else) has a random vector of its own, of +1 and -1 in
 DIMENSIONS dimensions.  A trigram's vector binds them: the first symbol's vector rotated by two
 places, the second's by one and the third's as it is, multiplied component by component.  A text's
 vector bundles (adds) its trigrams' vectors; a language's prototype bundles the unit vectors of its
@@ -8,7 +8,7 @@ training texts.  A text gets the language whose prototype, less the mean of all
 largest cosine with the text's unit vector, less the same mean.
 
 Training takes about FIT_ROWS labelled rows outside fold 0 (a bounded sample, chosen by a hash of
-the id); its sums are added per task and then per language and dimension, so what reaches the
+id and text); its sums are added per task and then per language and dimension, so what reaches the
 driver is one vector for each language.  Whole texts count, in training and in prediction.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from blockloom.llm.shared import fold, map_arrow
-from blockloom.llm.textscan import slices
+from blockloom.llm.textscan import mixed, slices
 
 DIMENSIONS = 1024
 #: The bound on the training sample: about so many rows.
@@ -41,22 +41,37 @@ UNKNOWN = "und"
 
 @functools.cache
 def symbol_table() -> np.ndarray:
-    """Code point to symbol: 0 for all but letters; letters beyond Latin-1 share 96 symbols that have no letter there."""
-    out = np.zeros(0x110000, np.uint8)
-    for c in range(0x33480):
+    """Code point to symbol: 0 for all but letters, for those the code point of the lower-case letter."""
+    out = np.zeros(0x110000, np.int32)
+    for c in range(0x110000):
         if chr(c).isalpha():
-            low = ord(chr(c).lower()[0])
-            out[c] = low if low < 256 else 1 + low % 96
+            out[c] = ord(chr(c).lower()[0])
     return out
 
 
 @functools.cache
 def symbol_vectors() -> np.ndarray:
+    """Those of the blank and the letters of Latin-1."""
     return (np.random.default_rng(40961).integers(0, 2, (256, DIMENSIONS), np.int8) * 2 - 1).astype(np.int8)
 
 
+def vectors_of(symbols: np.ndarray) -> np.ndarray:
+    """The vectors of any symbols; beyond Latin-1 they are bits of a 64-bit mix of the code point."""
+    out = symbol_vectors()[symbols & 255]
+    wide = np.flatnonzero(symbols > 255)
+    if len(wide):
+        words = DIMENSIONS // 64
+        bits = mixed(mixed(symbols[wide].astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64)) + np.uint64(40961))
+        out[wide] = np.unpackbits(bits.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
+    return out
+
+
+def bound(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    return np.roll(vectors_of(first), 2, axis=1) * np.roll(vectors_of(second), 1, axis=1) * vectors_of(third)
+
+
 class Grams:
-    """Vectors of trigrams, made when first seen.  Codes: three symbols of 8 bits."""
+    """Vectors of trigrams of Latin-1, made when first seen.  Codes: three symbols of 8 bits."""
 
     def __init__(self) -> None:
         self.row = np.zeros(1 << 24, np.int32)  # 1 + place; pages that no trigram touches stay unmapped
@@ -65,8 +80,7 @@ class Grams:
 
     @staticmethod
     def bind(codes: np.ndarray) -> np.ndarray:
-        v = symbol_vectors()
-        return np.roll(v[codes >> 16], 2, axis=1) * np.roll(v[(codes >> 8) & 255], 1, axis=1) * v[codes & 255]
+        return bound(codes >> 16, (codes >> 8) & 255, codes & 255)
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         at = self.row[codes]
@@ -92,15 +106,21 @@ def grams() -> Grams:
 def bundle(text: str) -> np.ndarray | None:
     """The unit vector of a text; None if it has no letter."""
     s = symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    s = np.concatenate([[0], s, [0]]).astype(np.int32)
+    s = np.concatenate([[0], s, [0]]).astype(np.int64)
     s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
     if not s.any():
         return None
     s = np.concatenate([s, [0]]) if len(s) < 3 else s
-    codes, n = np.unique((s[:-2] << 16) | (s[1:-1] << 8) | s[2:], return_counts=True)
+    codes, n = np.unique((s[:-2] << 42) | (s[1:-1] << 21) | s[2:], return_counts=True)
     out = np.zeros(DIMENSIONS, np.float32)
-    for k in range(0, len(codes), 8192):
-        out += n[k : k + 8192].astype(np.float32) @ grams().of(codes[k : k + 8192]).astype(np.float32)
+    three = codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF
+    narrow = (three[0] | three[1] | three[2]) < 256
+    latin = ((three[0] << 16) | (three[1] << 8) | three[2])[narrow]
+    for k in range(0, len(latin), 8192):
+        out += n[narrow][k : k + 8192].astype(np.float32) @ grams().of(latin[k : k + 8192]).astype(np.float32)
+    first, second, third = (x[~narrow] for x in three)
+    for k in range(0, len(first), 1024):
+        out += n[~narrow][k : k + 1024].astype(np.float32) @ bound(first[k : k + 1024], second[k : k + 1024], third[k : k + 1024]).astype(np.float32)
     length = float(np.linalg.norm(out))
     return out / length if length else out
 
@@ -152,7 +172,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col).cast("long")) != 0))
     n = known.select(id_col).count()
     if n > fit_rows:
-        known = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 40)) < int(fit_rows / n * (1 << 40)))
+        known = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(1 << 40)) < int(fit_rows / n * (1 << 40)))
     sums = map_arrow(known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), training_sums, "lang string, vector array<double>")
     by_place = sums.select("lang", F.posexplode("vector").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x"))
     vectors: dict[str, np.ndarray] = {}
