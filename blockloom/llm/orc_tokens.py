@@ -15,6 +15,7 @@ table gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -85,11 +86,25 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeStringAr
     return words, np.searchsorted(place, offsets), odd
 
 
+#: The rules of a tokenizer file under which a text's ids are those of its words (fixed values).
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 class Encoder:
     """Encodes texts with a tokenizer file of the ``tokenizers`` library, each distinct word once.
 
-    The tokenizer lower-cases, turns white space into single blanks and cuts there, so the ids of
-    a text are the ids of its words in order.  The library encodes the words that the cache hasn't;
+    A file with WORD_RULES, a BPE model with word ends and no added tokens but those in <| |> lower-cases, turns white space into
+    single blanks and cuts there, so the ids of a text are the ids of its words in order; texts are encoded as a whole with any other file.  The library encodes the words that the cache hasn't;
     words of letters alone skip its normalizer and its regular expression, which leave them as they are.
     """
 
@@ -98,6 +113,11 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.cache, self.cache_words = Tokenizer.from_file(path), {}, cache_words
+        rules = json.loads(self.tokenizer.to_str())
+        added = all(x["content"].startswith("<|") and not x["normalized"] and not x["lstrip"] and not x["rstrip"] for x in rules["added_tokens"])
+        self.by_words = added and rules["model"].get("end_of_word_suffix") == "</w>" and {k: rules[k] for k in WORD_RULES} == WORD_RULES
+        if not self.by_words:
+            return
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
@@ -142,6 +162,8 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text; ``data``: UTF-8 bytes, ``offsets``: where texts start in it, and its end."""
+        if not self.by_words:
+            return [self.direct(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         words, first, odd = split_words(data, offsets)
         whole = {int(k): self.direct(data[offsets[k] : offsets[k + 1]].tobytes().decode()) for k in np.flatnonzero(odd)}
         if whole:
