@@ -43,6 +43,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+
+
 def position(demand: Column, knots: Sequence[tuple[float, float]]) -> Column:
     """The time at which a schedule has used up the fraction ``demand`` of its integral."""
     parts, total = [], sum((w0 + w1) / 2 * (t1 - t0) for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False))
@@ -90,13 +94,13 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weights: Sequence[in
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, whole_documents: bool = False) -> DataFrame:
-    """Per row: doc_id, text_crc32, size, source_size, target, taken, positions (one for each reading, ascending)."""
+    """Per row: doc_id, text_crc32, source_key, size, source_size, target, taken, positions (one for each reading, ascending)."""
     spark = docs.sparkSession
     sizes = docs.select(
         F.col(id_col).alias("doc_id"),
         text_crc32(F.col(text_col)).alias("text_crc32"),
         F.col(source_col).alias("source"),
-        F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")).alias("source_key"),
+        source_key(F.col(source_col)).alias("source_key"),
         words(F.col(text_col)).alias("size"),
         F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_md5"),
     )
@@ -129,7 +133,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     timed = F.lit(None).cast("array<double>")
     for k, knots in enumerate(schedules):
         timed = F.when(F.col("sid") % len(schedules) == k, positions(readings, knots)).otherwise(timed)
-    return out.withColumn("positions", timed).select("doc_id", "text_crc32", "size", "source_size", "target", (F.col("epochs") * size + F.col("extra")).alias("taken"), "positions", "h")
+    return out.withColumn("positions", timed).select("doc_id", "text_crc32", "source_key", "size", "source_size", "target", (F.col("epochs") * size + F.col("extra")).alias("taken"), "positions", "h")
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:

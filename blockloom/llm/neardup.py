@@ -14,7 +14,12 @@ What keeps it linear with large groups:
 * Buckets that still hold several components go through further rounds, in which the members
   outside a bucket's largest component are compared with all members of other components.  The
   rounds end when no bucket holds two members of different components that were not compared, so
-  no link between two members of a bucket is lost and no bucket is capped.
+  no link between two members of a bucket is lost and no bucket is capped.  New links join the components
+  found so far, as nodes of a smaller graph.
+* Where that would be too many comparisons (different texts with much boilerplate in common), the members of
+  open buckets are dealt anew, once, by an exact prefix filter: of a set of n shingles, ordered by how many members have
+  them, the n - t n + 1 rarest are the keys.  Sets that are similar enough share one of them, so no link is
+  lost, and what many members have in common is the key of few.
 
 Pairs carry a parity sketch of their sets (PARITY_BITS bits; a shingle flips one).  Two sketches
 differ in at most as many bits as the sets have different shingles, so a pair whose sketches differ
@@ -48,6 +53,8 @@ MISS = 1e-6
 PARITY_BITS = 1024
 #: Up to so many classes, their row ids are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A shingle of more members than this may count as frequent.
+FREQUENT = 8
 #: Comparisons in a further round, as a multiple of the rows in shared buckets; more wait for the next round.
 ROUND_FACTOR = 100
 
@@ -131,7 +138,7 @@ def full_sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 
 def row_key(id_col: str, text_col: str):
-    """Stands for a row's id and text, in both readings of the documents."""
+    """Together with the id it stands for a row's id and text, in both readings of the documents."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
@@ -154,6 +161,36 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("cls", "comp")
 
 
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``comp`` (cls, comp) after further links (a, b): a search among the components' names."""
+    own = comp.select("cls", F.col("comp").alias("was"))
+    name = lambda df, c: df.join(own, df[c] == own["cls"], "left").withColumn(c, F.coalesce("was", c)).drop("cls", "was")
+    edges = name(name(links.select("a", "b"), "a"), "b").where("a != b").distinct()
+    top = cut(components(edges))
+    new = links.select(F.col("a").alias("cls")).union(links.select("b")).distinct().join(own, "cls", "left_anti")
+    every = own.union(new.select("cls", F.col("cls").alias("was")))
+    return cut(every.join(top.select(F.col("cls").alias("was"), "comp"), "was", "left").select("cls", F.coalesce("comp", "was").alias("comp")))
+
+
+def prefix_keys(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, cls) of the rarest shingles of each class, as many as a link with any other must share one of; keys of one class are left out.
+
+    Only shingles of more than a number of members count as frequent; it is doubled until few enough are left to be broadcast.
+    """
+    spread = cut(sets.join(members, "cls", "left_semi").select("cls", F.explode("shingles").alias("key")))
+    counts = cut(spread.groupBy("key").agg(F.count("*").alias("members")))
+    least = FREQUENT
+    while counts.where(F.col("members") > least).count() > BROADCAST_ROWS:
+        least *= 2
+    frequent = counts.where(F.col("members") > least)
+    ranked = spread.join(F.broadcast(frequent), "key", "left").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("members", F.lit(0)).alias("members"), "key"))).alias("keys"))
+    size = F.size("keys")
+    keep = size - F.ceil(size * F.lit(percent) / 100).cast("int") + 1
+    keys = ranked.select("cls", F.explode(F.slice("keys", F.lit(1), keep)).alias("x")).select(F.col("x.key").alias("key"), "cls")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return keys.join(shared, "key", "left_semi")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
@@ -164,7 +201,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int | None = None, rows: int | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, and row (a hash of id and text).
+    """One row per input row: doc_id, n_shingles, component_id, kept, row (a hash of id and text), stays.
+
+    ``stays`` holds for one (doc_id, row) of each group: that of the smallest id and hash, null ids last; and for all rows with empty sets.
 
     Links are pairs with ``100 * shared >= percent * union`` distinct k-word shingles.
     """
@@ -173,21 +212,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         bands, rows = bands_for(percent)
     plain = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = cut(map_arrow(plain, lambda batches: sketch(batches, k, bands, rows), "row long, doc_id long, n long, cls binary, keys array<long>, bits array<long>"))
-    classes = cut(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    classes = cut(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")).alias("chosen"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
     links = find_links(spark, plain, classes, k, percent)
 
     members = sketches.where("cls is not null").select("row", "doc_id", "n", "cls")
     if links is None:
-        lowest = classes.select("cls", F.col("lowest").alias("component_id"))
+        lowest = classes.select("cls", F.col("lowest").alias("component_id"), "chosen")
     else:
-        named = classes.join(links, "cls", "left").select("cls", "lowest", F.coalesce("comp", "cls").alias("comp"))
+        named = classes.join(links, "cls", "left").select("cls", "lowest", "chosen", F.coalesce("comp", "cls").alias("comp"))
         named = cut(named)
-        least = cut(named.groupBy("comp").agg(F.min("lowest").alias("component_id")))
-        lowest = cut(named.join(least, "comp").select("cls", "component_id"))
-    linked = members.join(lowest, "cls").select("row", "doc_id", "n", "component_id")
-    alone = sketches.where("cls is null").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"))
+        least = cut(named.groupBy("comp").agg(F.min("lowest").alias("component_id"), F.min("chosen").alias("chosen")))
+        lowest = cut(named.select("cls", "comp").join(least, "comp").select("cls", "component_id", "chosen"))
+    stays = F.col("doc_id").eqNullSafe(F.col("chosen.id")) & (F.col("row") == F.col("chosen.row"))
+    linked = members.join(lowest, "cls").select("row", "doc_id", "n", "component_id", stays.alias("stays"))
+    alone = sketches.where("cls is null").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "row")
+    return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "row", "stays")
 
 
 def find_links(spark, plain: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
@@ -222,11 +262,10 @@ def find_links(spark, plain: DataFrame, classes: DataFrame, k: int, percent: int
     sets = map_arrow(texts, lambda batches: full_sets(batches, k), "cls binary, shingles array<long>")
     sets = cut(sets.where("cls is not null").dropDuplicates(["cls"]))
 
-    links = cut(confirmed(pairs, sets, percent))
+    comp = components(cut(confirmed(pairs, sets, percent)))
     done = hits.limit(0).select("key", "cls")
-    turn = 0
+    turn, dealt = 0, False
     while True:
-        comp = components(links)
         placed = cut(hits.join(comp, "cls", "left").select("key", "cls", "n", F.coalesce("comp", "cls").alias("comp"), *bits))
         left = placed.join(done, ["key", "cls"], "left_anti") if turn else placed
         counts = left.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("open"), F.count("*").alias("comps")).where("comps > 1")
@@ -234,6 +273,12 @@ def find_links(spark, plain: DataFrame, classes: DataFrame, k: int, percent: int
         work = open_buckets.agg(F.sum(F.col("outside") * F.col("open"))).first()[0]
         if not work:
             return comp
+        if not dealt and work > ROUND_FACTOR * n_hits:
+            members = placed.join(open_buckets.select("key"), "key", "left_semi").select("cls").distinct()
+            keys = prefix_keys(cut(members), sets, percent)
+            hits = cut(keys.join(hits.drop("key").dropDuplicates(["cls"]), "cls").select("key", "cls", "n", *bits))
+            n_hits, dealt = max(n_hits, hits.count()), True
+            continue
         # a bucket whose members are all connected stays so
         hits = cut(hits.join(open_buckets.select("key"), "key", "left_semi"))
         placed = placed.join(open_buckets.select("key"), "key", "left_semi")
@@ -244,6 +289,8 @@ def find_links(spark, plain: DataFrame, classes: DataFrame, k: int, percent: int
         more = placed.join(asking, "key").where((F.col("comp") != F.col("pc")) & alike("n", "pn", "p"))
         more = more.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
         more = cut(more)
-        links = cut(links.union(confirmed(more, sets, percent)))
+        links = cut(confirmed(more, sets, percent))
+        if links.limit(1).count():
+            comp = joined(comp, links)
         pairs = cut(pairs.union(more))
         done = cut(done.union(asking.select("key", F.col("p").alias("cls"))))

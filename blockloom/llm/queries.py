@@ -62,7 +62,7 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm.neardup import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85).drop("row")
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85).drop("row", "stays")
 
 
 def op10_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,12 +39,34 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL[0]
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The session's own folder in the shared one; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/blockloom-{spark.sparkContext.applicationId}"
+    if path not in SESSIONS:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        SESSIONS.add(path)
+    return path
+
+
+SESSIONS: set[str] = set()
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+class Written(threading.local):
+    """Tables that cut() wrote in this thread, in order, and those that the result of a pipeline's last stage reads."""
+
+    def __init__(self) -> None:
+        self.tables: list[str] = []
+        self.held: list[str] = []
 
 
-#: Tables that cut() wrote, in order.
-WRITTEN: list[str] = []
+WRITTEN = Written()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -51,7 +74,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
-    WRITTEN.append(path)
+    WRITTEN.tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -43,5 +43,5 @@ def clashing(spark, odd):
     """The same rows with more columns, named like those that operators make."""
     from pyspark.sql import functions as F
 
-    names = ("shard", "slot", "size", "cell", "rank", "row", "n", "cls", "keys", "label", "fold", "score", "h", "found", "positions", "ids", "at", "held_out", "found_", "total", "text_crc32", "n_words")
+    names = ("shard", "slot", "size", "cell", "rank", "row", "n", "cls", "keys", "label", "fold", "score", "h", "found", "positions", "ids", "at", "held_out", "found_", "total", "text_crc32", "n_words", "__row", "__id", "__doc", "__own", "__crc", "source_key", "stays")
     return odd.select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))

@@ -96,6 +96,21 @@ def test_further_rounds_find_what_stars_miss(spark):
     assert [r["component_id"] for r in got.orderBy("doc_id").collect()] == want
 
 
+def test_boilerplate_is_dealt_by_rare_shingles(spark, monkeypatch):
+    """Many different texts in one bucket: all share half of their words, some are copies of each other."""
+    monkeypatch.setattr(neardup, "ROUND_FACTOR", 2)
+    boiler = prose(77, 120)
+    texts = [boiler + " " + prose(3000 + k, 40) for k in range(400)] + [boiler]
+    texts += [edited(texts[k], random.Random(k), 2) for k in range(0, 400, 10)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    dealt = []
+    keys = neardup.prefix_keys
+    monkeypatch.setattr(neardup, "prefix_keys", lambda *a: dealt.append(1) or keys(*a))
+    got = neardup.near_duplicates(docs, 3, 85, bands=30, rows=1).orderBy("doc_id").collect()
+    roots, _ = components(texts, 3, 85)
+    assert dealt and [r["component_id"] for r in got] == roots
+
+
 def test_circulant_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
@@ -207,6 +222,7 @@ ALPHABET = "ab AB.,'  \n\t-_1²éÉßﬁΣσİ日\xa0\x85\x1cªµ!<|>s"
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=ALPHABET, max_size=40), min_size=1, max_size=8))
 def test_word_by_word_is_exact(tokenizer, texts):
+    assert orc_tokens.encoder(tokenizer[0]).by_words
     path, plain = tokenizer
     got = orc_tokens.encoder(path).encode_texts(texts)
     assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
@@ -219,6 +235,17 @@ def test_special_tokens_and_full_cache(tokenizer):
         assert [g.tolist() for g in small.encode_texts(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_other_tokenizer_files_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, plain = orc_tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Hello  world.\n It's 42!", "", "É é <|endoftext|> 日本", "a b"]
+    assert not coder.by_words
+    assert [g.tolist() for g in coder.encode_texts(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_files_round_trip(spark, tokenizer, tmp_path):
     path, plain = tokenizer
     texts = {k: prose(k, k % 50) for k in range(300)}

@@ -39,6 +39,22 @@ def test_gram_vectors_bind_rotated_letters():
     assert langid.bundle("1 2 !") is None and langid.bundle("") is None and abs(np.linalg.norm(langid.bundle("abc")) - 1) < 1e-5
 
 
+def test_letters_beyond_latin_have_vectors_of_their_own():
+    letters = np.array([ord(c) for c in "αβγабвאבجд日本語ａ中"] + [0x100 + 96 * k for k in range(20)], np.int64)
+    v = langid.vectors_of(letters).astype(int)
+    assert set(v.ravel().tolist()) == {-1, 1}
+    cosines = v @ v.T / langid.DIMENSIONS
+    assert np.abs(cosines - np.eye(len(letters))).max() < 0.2
+    bundle = {t: langid.bundle(t) for t in ("αβγδ εζηθ", "абвг дежз", "日本語の文章", "Αβγδ Εζηθ")}
+    assert abs(bundle["αβγδ εζηθ"] @ bundle["Αβγδ Εζηθ"] - 1) < 1e-5
+    assert abs(bundle["αβγδ εζηθ"] @ bundle["абвг дежз"]) < 0.3
+
+
+def test_language_ties_go_by_code_point():
+    same = langid.bundle("some words").astype(float)
+    assert langid.Profiles({"b": same, "a": same}).predict("some words")[0] == "a"
+
+
 def documents(seed, n):
     rng = random.Random(seed)
     rows, labels = [], []

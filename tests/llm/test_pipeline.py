@@ -41,3 +41,21 @@ def test_planted_cases(spark, tmp_path):
     want = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
     texts = {r["doc_id"]: r["text"] for r in want}
     assert all(texts[r["doc_id"]] == r["text"] for r in final)
+
+
+def test_equal_rows_are_told_apart_by_all_columns(spark, tmp_path):
+    """Rows that differ in source or language only: one is chosen, always the same; none gets another's positions."""
+    import corpus_pipeline
+    from collections import Counter
+
+    same, other = prose(1, 60), prose(2, 60)
+    rows = [(1, same, "fr", "b", 1), (1, same, "en", "a", 1), (1, same, "en", "b", 1), (None, other, "en", "a", 1), (None, other, "de", "a", 1), (5, "", "en", "a", 1), (5, "", "en", "a", 1), (None, None, "x", None, 1)]
+    stages = dict(corpus_pipeline.STAGES)
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, SCHEMA).repartition(3)
+        kept = sorted(map(tuple, stages["near_dedup"](spark, docs, str(tmp_path)).collect()), key=str)
+        assert kept == sorted([(1, same, "en", "a", 1), (None, other, "de", "a", 1), (5, "", "en", "a", 1), (5, "", "en", "a", 1), (None, None, "x", None, 1)], key=str)
+    docs = spark.createDataFrame([(k, prose(k, 50), "en", f"s{k % 3}", 1) for k in range(60)] + [(9, prose(9, 50), "de", "s1", 1), (9, prose(9, 50), "de", "s0", 1)], SCHEMA)
+    got = [Counter(map(tuple, stages["mix_sources"](spark, docs.repartition(n), str(tmp_path)).collect())) for n in (2, 5)]
+    assert got[0] == got[1] and max(got[0].values()) <= 3
+    assert {r[3] for r in got[0] if r[0] == 9} <= {"s0", "s1"}
