@@ -76,7 +76,10 @@ class GlobalLz:
     chain_depth: int = 32
     short_match_max_distance: int = 128
     max_length: int = 255
+    nice_length: int = 255
     bias_permille: int = 990
+    optimal_matches: int = 4
+    optimal_literals: int = 128
 
 
 @dataclass(frozen=True)

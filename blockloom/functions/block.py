@@ -129,11 +129,41 @@ def forward_dct(block: Column) -> Column:
     return bound(F.array(*[literal(r) for r in dct_basis()]), both)
 
 
+# Fixed values of the inverse transform, in 13-bit fixed point: the rotation of coefficients 2 and 6, and the odd part's
+# factors of each of 7, 5, 3 and 1 and of the pairs and the sum of all that its factorisation multiplies.
+ROTATION = (4433, 6270, -15137)
+ODD_SINGLE = (2446, 16819, 25172, 12299)
+ODD_PAIRS = (((0, 3), -7373), ((1, 2), -20995), ((0, 2), -16069), ((1, 3), -3196))
+ODD_ALL = 9633
+FIXED_BITS, KEPT_BITS = 13, 2
+
+
+def inverse_basis() -> np.ndarray:
+    """Row k: what a coefficient of 1 at k adds to each of the eight outputs, times 2**13.
+
+    The butterflies are linear and exact, so the whole factorisation is one integer matrix.
+    """
+    odd = np.diag(ODD_SINGLE) + ODD_ALL
+    for pair, factor in ODD_PAIRS:
+        odd[np.ix_(pair, pair)] += factor
+    both, second, sixth = ROTATION
+    out = np.zeros((8, 8), np.int64)
+    one = 1 << FIXED_BITS
+    for k, even in ((0, (one, one, one, one)), (4, (one, -one, -one, one)), (2, (both + second, both, -both, -both - second)), (6, (both, both + sixth, -both - sixth, -both))):
+        out[k] = even + even[::-1]
+    for column, k in enumerate((7, 5, 3, 1)):
+        half = odd[::-1, column]
+        out[k] = np.concatenate([half, -half[::-1]])
+    return out
+
+
 def inverse_dct(blocks: np.ndarray) -> np.ndarray:
-    """Blocks of coefficients (n, 64) back to samples, in double precision and rounded."""
-    basis = np.array([[np.cos(np.pi * k * (2 * n + 1) / 16) * (1 if k else 1 / np.sqrt(2)) for n in range(8)] for k in range(8)]) / 2
-    coefficients = blocks.reshape(-1, 8, 8).astype(float)
-    return np.rint(np.einsum("ky,nkl,lx->nyx", basis, coefficients, basis)).astype(np.int32).reshape(-1, 64)
+    """Blocks of coefficients (n, 64) back to samples: lines, then columns, each pass rounded once."""
+    basis, half = inverse_basis(), lambda bits: 1 << bits - 1
+    first = FIXED_BITS - KEPT_BITS
+    last = FIXED_BITS + KEPT_BITS + 3
+    lines = (np.einsum("nyk,kx->nyx", blocks.reshape(-1, 8, 8).astype(np.int64), basis) + half(first)) >> first
+    return ((np.einsum("nkx,ky->nyx", lines, basis) + half(last)) >> last).astype(np.int32).reshape(-1, 64)
 
 
 def band(place: Column, low_end: int = LOW_END, mid_end: int = MID_END) -> Column:

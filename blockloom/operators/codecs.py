@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from blockloom.config import GlobalLz, TileLz
+from blockloom.operators import lanes as many
+from blockloom.operators.lz import Damaged, common, literals, lz_compress, lz_decompress, lz_expand, lz_global, lz_optimal, lz_tokens  # noqa: F401
 
 # ---- range asymmetric numeral systems, 12-bit totals
 
@@ -24,10 +25,6 @@ LOWER = 1 << 16
 LANES = 8
 
 
-class Damaged(ValueError):
-    """A stream that can't be decoded."""
-
-
 def model(counts: Iterable[int]) -> np.ndarray:
     """Frequencies that add up to 4096, each at least 1: scaled with rounding; what is too much is
     taken one by one in symbol order, what lacks goes to the first largest."""
@@ -150,6 +147,32 @@ def adaptive_decode(data: bytes) -> bytes:
     return bytes(rans_decode(data[1036 : 1036 + size], count, freq))
 
 
+def adaptive_encode_many(streams: list[bytes]) -> list[bytes]:
+    """adaptive_encode() of each stream, all at once."""
+    out: list[bytes] = []
+    for part in many.batches([len(x) for x in streams]):
+        data = [np.frombuffer(streams[k], np.uint8) for k in part]
+        freqs = many.models(np.stack([np.bincount(x, minlength=256) + 1 for x in data]))
+        coded = many.encode_many(data, freqs)
+        out += [struct.pack("<I", 1024) + f.astype("<u4").tobytes() + struct.pack("<II", len(x), len(c)) + c for x, f, c in zip(data, freqs, coded, strict=True)]
+    return out
+
+
+def adaptive_decode_many(streams: list[bytes]) -> list[bytes | None]:
+    """adaptive_decode() of each stream, all at once; None for damaged ones."""
+    out: list[bytes | None] = []
+    for part in many.batches([struct.unpack_from("<I", x, 1028)[0] if len(x) >= 1036 else 0 for x in streams]):
+        some = [streams[k] if len(streams[k]) >= 1036 and streams[k][:4] == b"\0\4\0\0" else b"" for k in part]
+        plain = b"\x10\0\0\0" * 256
+        freqs = np.stack([np.frombuffer(x[4:1028] if x else plain, "<u4") for x in some]).astype(np.int64)
+        heads = [struct.unpack_from("<II", x, 1028) if x else (0, 0) for x in some]
+        whole = (freqs.sum(axis=1) == TOTAL) & np.array([bool(x) and size <= len(x) - 1036 for x, (_, size) in zip(some, heads, strict=True)])
+        freqs[~whole] = 16
+        got = many.decode_many([x[1036 : 1036 + size] if ok else b"" for x, (_, size), ok in zip(some, heads, whole, strict=True)], np.array([n if ok else 0 for (n, _), ok in zip(heads, whole, strict=True)]), freqs)
+        out += [x.astype(np.uint8).tobytes() if ok and x is not None else None for x, ok in zip(got, whole, strict=True)]
+    return out
+
+
 def shared_encode(data: bytes, freq: np.ndarray) -> bytes:
     payload = rans_encode(data, freq)
     return struct.pack("<II", len(data), len(payload)) + payload
@@ -164,193 +187,16 @@ def shared_decode(data: bytes, freq: np.ndarray) -> bytes:
     return bytes(rans_decode(data[8 : 8 + size], count, freq))
 
 
-def lz_model() -> np.ndarray:
-    """A fixed model for LZ bytes: tags and short numbers are frequent, the rest falls off."""
-    k = np.arange(256)
-    return model(np.where(k < 2, 640, np.maximum(4, 400 // (k + 1))))
-
-
-# ---- Lempel-Ziv: 0, n, n literals; 1, length, distance (two bytes)
-
-
-def literals(out: bytearray, data: bytes, start: int, end: int) -> None:
-    for at in range(start, end, 255):
-        part = data[at : min(at + 255, end)]
-        out += bytes((0, len(part))) + part
+#: Of the fixed model for LZ bytes: what is added to 1 for the bytes from .. to (fixed values).
+LZ_WEIGHTS = ((0, 0, 1024), (1, 1, 768), (2, 16, 192), (17, 63, 64), (64, 127, 24), (128, 255, 8), (0, 7, 128))
 
 
-def match_length(data: bytes, ref: int, pos: int, most: int = 255) -> int:
-    most = min(most, len(data) - pos)
-    n = 0
-    while n + 16 <= most and data[ref + n : ref + n + 16] == data[pos + n : pos + n + 16]:
-        n += 16
-    while n < most and data[ref + n] == data[pos + n]:
-        n += 1
-    return n
-
-
-def lz_compress(data: bytes, params: TileLz = TileLz()) -> bytes:
-    """Greedy by default, with one probe per position and none inside matches; chains and lazy matching by ``params``."""
-    if not data:
-        return b""
-    if len(data) < 3:
-        return bytes((0, len(data))) + data
-    if params.chain_depth <= 0 and not params.lazy:
-        return lz_greedy(data, params.window)
-    depth = max(params.chain_depth, 1)
-    heads: dict[int, int] = {}
-    prev: dict[int, int] = {}
-
-    def slot(p: int) -> int:
-        return ((data[p] << 16 | data[p + 1] << 8 | data[p + 2]) * 0x1E35A7BD & 0xFFFFFFFF) >> 16
-
-    def enter(p: int) -> None:
-        if p + 3 <= len(data):
-            h = slot(p)
-            prev[p] = heads.get(h, -1)
-            heads[h] = p
-
-    def best(p: int) -> tuple[int, int]:
-        length, distance = 0, 0
-        if p + 3 > len(data):
-            return length, distance
-        ref = heads.get(slot(p), -1)
-        for _ in range(depth):
-            if ref < 0 or p - ref > params.window:
-                break
-            if data[ref : ref + 3] == data[p : p + 3]:
-                n = match_length(data, ref, p)
-                if n > length or n == length and p - ref < distance:
-                    length, distance = n, p - ref
-                    if n >= params.nice_length:
-                        break
-            ref = prev.get(ref, -1)
-        return length, distance
-
-    out, pos, pending = bytearray(), 0, 0
-    while pos < len(data):
-        length, distance = best(pos)
-        enter(pos)
-        if length < 3:
-            pos += 1
-            continue
-        if params.lazy and pos + 1 < len(data) and best(pos + 1)[0] > length + 1:
-            pos += 1
-            continue
-        literals(out, data, pending, pos)
-        out += struct.pack("<BBH", 1, length, distance & 0xFFFF)
-        for p in range(pos + 1, pos + length):
-            enter(p)
-        pos = pending = pos + length
-    literals(out, data, pending, len(data))
-    return bytes(out)
-
-
-def lz_greedy(data: bytes, window: int) -> bytes:
-    """One probe at each position outside matches; the hashes of all positions are computed at once."""
-    v = np.frombuffer(data, np.uint8).astype(np.uint32)
-    hashes = (((v[:-2] << 16 | v[1:-1] << 8 | v[2:]) * np.uint32(0x1E35A7BD)) >> np.uint32(16)).tolist()
-    heads: dict[int, int] = {}
-    out, pos, pending, last = bytearray(), 0, 0, len(data) - 3
-    while pos <= last:
-        h = hashes[pos]
-        ref = heads.get(h, -1)
-        heads[h] = pos
-        if ref < 0 or pos - ref > window or data[ref : ref + 3] != data[pos : pos + 3]:
-            pos += 1
-            continue
-        length = match_length(data, ref, pos)
-        literals(out, data, pending, pos)
-        out += struct.pack("<BBH", 1, length, pos - ref & 0xFFFF)
-        pos = pending = pos + length
-    literals(out, data, pending, len(data))
-    return bytes(out)
-
-
-def lz_optimal(data: bytes, params: GlobalLz = GlobalLz(), literal_cost: int = 272, match_cost: int = 1024) -> bytes:
-    """Cheapest parse by dynamic programming over positions; costs in 256ths of a byte, then tokens."""
-    n = len(data)
-    heads: dict[bytes, list[int]] = {}
-    found: list[list[tuple[int, int]]] = []
-    for p in range(n):
-        here = heads.setdefault(data[p : p + 3], []) if p + 3 <= n else []
-        options = []
-        for ref in reversed(here[-params.chain_depth :]):
-            if p - ref > params.window:
-                break
-            length = match_length(data, ref, p, params.max_length)
-            if length > 3 or p - ref <= params.short_match_max_distance:
-                options.append((length, p - ref))
-        found.append(options)
-        here.append(p)
-    inf = (1 << 60, 0)
-    best, step = [inf] * (n + 1), [(0, 0)] * (n + 1)
-    best[n] = (0, 0)
-    for p in range(n - 1, -1, -1):
-        cost, tokens = best[p + 1]
-        best[p], step[p] = (cost + literal_cost, tokens + 1), (1, 0)
-        for length, distance in found[p]:
-            for use in {length, max(3, length - 1), 3}:
-                cost, tokens = best[p + use]
-                if (cost + match_cost, tokens + 1) < best[p]:
-                    best[p], step[p] = (cost + match_cost, tokens + 1), (use, distance)
-    out, pos, pending = bytearray(), 0, 0
-    while pos < n:
-        length, distance = step[pos]
-        if distance:
-            literals(out, data, pending, pos)
-            out += struct.pack("<BBH", 1, length, distance)
-            pending = pos + length
-        pos += length
-    literals(out, data, pending, n)
-    return bytes(out)
-
-
-def lz_tokens(data: bytes, strict: bool = True) -> Iterator[tuple[int, int, int, bytes]]:
-    """(tag, length, distance, literals); a damaged stream ends early, or is an error if ``strict``."""
-    pos = 0
-    while pos < len(data):
-        tag = data[pos]
-        if tag == 0 and pos + 1 < len(data) and pos + 2 + data[pos + 1] <= len(data):
-            n = data[pos + 1]
-            if n:
-                yield 0, n, 0, data[pos + 2 : pos + 2 + n]
-            pos += 2 + n
-        elif tag == 1 and pos + 4 <= len(data):
-            yield 1, data[pos + 1], data[pos + 2] | data[pos + 3] << 8, b""
-            pos += 4
-        elif strict:
-            raise Damaged(f"byte {pos}")
-        else:
-            return
-
-
-def lz_expand(tokens: Iterable[tuple[int, int, int, bytes]], strict: bool = True, size: int | None = None) -> bytes:
-    out = bytearray()
-    for tag, length, distance, plain in tokens:
-        if size is not None and len(out) >= size:
-            break
-        if tag == 0:
-            out += plain
-        elif not 0 < distance <= len(out):
-            if strict:
-                raise Damaged("distance beyond the start")
-            break
-        else:
-            start = len(out) - distance
-            while length > 0:  # an overlapping match repeats its own output
-                part = out[start : start + min(length, len(out) - start)]
-                out += part
-                length -= len(part)
-    if size is not None:
-        out = out[:size]
-        if strict and len(out) != size:
-            raise Damaged("too short")
-    return bytes(out)
-
-
-def lz_decompress(data: bytes, size: int | None = None, strict: bool = True) -> bytes:
-    return lz_expand(lz_tokens(data, strict), strict, size)
+def lz_model() -> np.ndarray:
+    """The fixed model for LZ bytes: tags and short numbers are frequent."""
+    counts = np.ones(256, np.int64)
+    for first, last, weight in LZ_WEIGHTS:
+        counts[first : last + 1] += weight
+    return model(counts)
 
 
 def token_streams(data: bytes, compact: bool = True) -> dict[str, bytes]:
@@ -383,7 +229,7 @@ def rebuilt(streams: dict[str, bytes], compact: bool = True) -> bytes:
 
 def pack_bits(values: Iterable[int], bits: int) -> bytes:
     """Least significant bits first."""
-    v = np.asarray(list(values), np.int64)
+    v = values.astype(np.int64) if isinstance(values, np.ndarray) else np.asarray(list(values), np.int64)
     if bits <= 0 or not len(v):
         return b""
     return np.packbits((v[:, None] >> np.arange(bits) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
@@ -611,6 +457,20 @@ def tokens_decode(data: bytes, symbols: int = 76) -> list[tuple[int, int, int]]:
 # ---- inverse prediction
 
 
+def guess(kind: int, a: int, b: int, c: int) -> int:
+    """What a predictor expects after its left, upper and upper-left neighbours."""
+    if kind < 3:
+        return (0, a, b)[kind]
+    if kind == 3:
+        return int((a + b) / 2)
+    if kind == 4:
+        near = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+        return (a, b, c)[near.index(min(near))]
+    if kind == 5:
+        return sorted((a, b, a + b - c))[1]
+    return int((3 * a + b if kind == 6 else a + 3 * b) / 4)
+
+
 def unfilter(residuals: np.ndarray, filters: np.ndarray) -> np.ndarray:
     """Samples of a plane from its residuals and each line's predictor, line by line."""
     h, w = residuals.shape
@@ -626,16 +486,7 @@ def unfilter(residuals: np.ndarray, filters: np.ndarray) -> np.ndarray:
             a = c = 0
             line = []
             for v, b in zip(r.tolist(), up.tolist(), strict=True):
-                if kind == 3:
-                    p = int((a + b) / 2)
-                elif kind == 4:
-                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    p = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                elif kind == 5:
-                    p = min(a, b) if c >= max(a, b) else max(a, b) if c <= min(a, b) else a + b - c
-                else:
-                    p = int((3 * a + b if kind == 6 else a + 3 * b) / 4)
-                a, c = v + p, b
+                a, c = v + guess(kind, a, b, c), b
                 line.append(a)
             out[y] = line
     return out
@@ -645,7 +496,7 @@ def lz_row_cost(values: bytes, window: int = 256, literal: int = 1, match: int =
     """Greedy cost of a line: its longest earlier repeat of three or more costs ``match``, any other byte ``literal``."""
     part, cost, pos = values[:window], 0, 0
     while pos < len(part):
-        best = max((match_length(part, ref, pos) for ref in range(pos)), default=0)
+        best = max((common(part, ref, pos) for ref in range(pos)), default=0)
         cost += match if best >= 3 else literal
         pos += best if best >= 3 else 1
     return cost
@@ -670,6 +521,18 @@ def map_streams(streams: DataFrame, function: Callable[[bytes], bytes | None], k
     return streams.select(key, F.col(content)).mapInArrow(each, f"{key} {dict(streams.dtypes)[key]}, {out} binary")
 
 
+def map_batches(streams: DataFrame, function: Callable[[list[bytes]], list[bytes | None]], key: str = "stream_id", content: str = "content", out: str = "coded") -> DataFrame:
+    """map_streams() with a function of all streams of a batch."""
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            got = iter(function([bytes(x) for x in raw if x is not None]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else next(got) for x in raw], pa.binary())], [key, out])
+
+    return streams.select(key, F.col(content)).mapInArrow(each, f"{key} {dict(streams.dtypes)[key]}, {out} binary")
+
+
 def map_numbers(streams: DataFrame, function: Callable[[bytes], int], key: str = "stream_id", content: str = "content", out: str = "n") -> DataFrame:
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockloom.config import ANIME, PHOTO, UI, ChromaGate, NaturalGate
 from blockloom.functions import block as B, pixel as P, text as T
-from blockloom.operators import analytics as A, blocks as K, codecs as C, planes as L, search
+from blockloom.operators import analytics as A, blocks as K, codecs as C, planes as L, search, streams
 from blockloom.plans import lossless
 from blockloom.sources import adapters as S
 from blockloom.sources import container, logs, synthetic
@@ -46,25 +47,17 @@ RESIDUALS = f"{CELLS}, resid AS (" + " UNION ALL ".join(f"SELECT image_id, y, x,
 COST = "CASE WHEN abs(r) = 0 THEN {zero} WHEN abs(r) <= 1 THEN 4 WHEN abs(r) <= 3 THEN 6 WHEN abs(r) <= 7 THEN 8 WHEN abs(r) <= 15 THEN 10 WHEN abs(r) <= 31 THEN 12 WHEN abs(r) <= 63 THEN 14 WHEN abs(r) <= 127 THEN 16 ELSE 20 END"
 RGB = f"""{PLANE}, rgb AS (SELECT y // 3 AS y, x, max(CASE WHEN y % 3 = 0 THEN v END) AS r, max(CASE WHEN y % 3 = 1 THEN v END) AS g, max(CASE WHEN y % 3 = 2 THEN v END) AS b
   FROM plane GROUP BY y // 3, x HAVING count(*) = 3)"""
-BLOCKED = f"{PLANE}, blk AS (SELECT image_id, y // 8 AS by_, x // 8 AS bx, (y % 8) * 8 + x % 8 AS p, v FROM plane WHERE y < (SELECT (max(y) + 1) // 8 * 8 FROM plane))"
+PADDED = f"""{PLANE}, tall AS (SELECT * FROM plane UNION ALL SELECT p.image_id, p.y + k, p.x, p.v FROM plane p, (SELECT max(y) AS last FROM plane), (SELECT unnest(range(1, 8)) AS k) WHERE p.y = last AND k <= (8 - (last + 1) % 8) % 8)"""
+BLOCKED = f"{PADDED}, blk AS (SELECT image_id, y // 8 AS by_, x // 8 AS bx, (y % 8) * 8 + x % 8 AS p, v FROM tall)"
 ARRAYS = f"{BLOCKED}, arr AS (SELECT image_id, by_, bx, list(v ORDER BY p) AS b FROM blk GROUP BY image_id, by_, bx)"
 RUNS_LOG = """runlog AS (SELECT l_orderkey * 8 + l_linenumber AS image_id, l_returnflag AS category, l_linestatus AS codec, CAST(floor(l_extendedprice) AS BIGINT) AS size, CAST(l_quantity AS DOUBLE) AS ms FROM lineitem)"""
 BYTES = """bytes AS (SELECT doc_id AS stream_id, CAST(i AS BIGINT) AS pos, CAST(('0x' || substr(h, CAST(2 * i + 1 AS INT), 2)) AS BIGINT) AS b
   FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents), LATERAL (SELECT unnest(range(length(h) // 2)) AS i))"""
 
 
-def stream_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stream_id, pos, b) of the documents' bytes: read as Latin-1, each byte is one character."""
-    chars = F.split(F.decode("content", "ISO-8859-1"), "")
-    places = S.byte_streams(spark, sf_dir).select("stream_id", F.posexplode(chars).alias("pos", "c"))
-    return places.select("stream_id", F.col("pos").cast("long").alias("pos"), F.ascii("c").cast("long").alias("b"))
-
-
 def whole_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of the lines that make up whole ones."""
-    plane = S.plane(spark, sf_dir)
-    lines = plane.agg(((F.max("y") + 1) / 8).cast("long") * 8)
-    return L.as_blocks(plane.join(F.broadcast(lines.toDF("lines")), F.col("y") < F.col("lines")).drop("lines"))
+    """Blocks of the padded plane."""
+    return L.as_blocks(L.padded(S.plane(spark, sf_dir)))
 
 
 def patterned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,12 +218,12 @@ def palette_extract(spark, d):
 
 
 @query(f"""WITH {ARRAYS}, cand AS (SELECT a.by_, a.bx, min(k) AS candidate FROM arr a JOIN (VALUES (0, 0, -1), (1, -1, 0), (2, -1, -1), (3, -1, 1)) o(k, dy, dx) ON true JOIN arr s ON s.by_ = a.by_ + dy AND s.bx = a.bx + dx AND s.b = a.b GROUP BY a.by_, a.bx)
-SELECT 'e' AS image_id, by_ AS by, bx, CAST(candidate AS BIGINT) AS candidate FROM cand""".replace("v FROM plane WHERE", "CASE WHEN (y // 8 + x // 8) % 3 = 0 THEN 0 ELSE v END AS v FROM plane WHERE"))
+SELECT 'e' AS image_id, by_ AS by, bx, CAST(candidate AS BIGINT) AS candidate FROM cand""".replace("v FROM tall)", "CASE WHEN (y // 8 + x // 8) % 3 = 0 THEN 0 ELSE v END AS v FROM tall)"))
 def block_copy_match(spark, d):
     return K.copy_matches(patterned(spark, d))
 
 
-@query(f"""WITH {PLANE}, qd AS (SELECT y // 4 AS qy, x // 4 AS qx, list(CASE WHEN (y // 8 + x // 8) % 3 = 0 THEN 0 ELSE v END ORDER BY y, x) AS c FROM plane WHERE y < (SELECT (max(y) + 1) // 8 * 8 FROM plane) GROUP BY y // 4, x // 4),
+@query(f"""WITH {PADDED}, qd AS (SELECT y // 4 AS qy, x // 4 AS qx, list(CASE WHEN (y // 8 + x // 8) % 3 = 0 THEN 0 ELSE v END ORDER BY y, x) AS c FROM tall GROUP BY y // 4, x // 4),
 o(k, dx, dy) AS (VALUES {', '.join(f'({k}, {x // 4}, {y // 4})' for k, (x, y) in enumerate(K.QUADRANT_VECTORS))}),
 m AS (SELECT a.qy, a.qx, min(k) AS k FROM qd a JOIN o ON true JOIN qd s ON s.qy = a.qy + dy AND s.qx = a.qx + dx AND s.c = a.c GROUP BY a.qy, a.qx)
 SELECT 'e' AS image_id, qy // 2 AS by, qx // 2 AS bx, array_to_string(list(k ORDER BY qy, qx), ',') AS tile4 FROM m GROUP BY qy // 2, qx // 2 HAVING count(*) = 4""")
@@ -393,19 +386,19 @@ def wrapper_gate(spark, d):
 
 @query(f"WITH {BYTES}, t AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY stream_id ORDER BY pos) AS p FROM bytes) SELECT stream_id, CAST(sum((((b - p) % 256 + 256) % 256) * (pos % 97 + 1)) AS BIGINT) AS delta, CAST(sum(b * (pos % 97 + 1)) AS BIGINT) AS restored FROM t GROUP BY stream_id")
 def delta_roundtrip(spark, d):
-    both = L.undelta(L.delta(stream_bytes(spark, d)))
-    return both.groupBy("stream_id").agg(F.sum(F.col("d") * (F.col("pos") % 97 + 1)).alias("delta"), F.sum(F.col("restored") * (F.col("pos") % 97 + 1)).alias("restored"))
+    both = lambda x: [(streams.weighted(y := streams.delta(x), 97), streams.weighted(streams.undelta(y), 97))] if len(x) else []
+    return streams.map_rows(S.byte_streams(spark, d), both, ["delta", "restored"])
 
 
 @query(f"WITH {BYTES}, c AS (SELECT stream_id, b, count(*) AS n FROM bytes GROUP BY ALL) SELECT stream_id, CAST(sum(n) AS BIGINT) AS total, CAST(round((sum(n) * log2(sum(n)) - sum(n * log2(n))) * 64) AS BIGINT) AS bits_x64 FROM c GROUP BY stream_id")
 def byte_entropy(spark, d):
-    counts = stream_bytes(spark, d).groupBy("stream_id", "b").agg(F.count("*").alias("n"))
-    return A.entropy_bits(counts, "stream_id")
+    return A.entropy_bits(streams.map_rows(S.byte_streams(spark, d), streams.counts, ["b", "n"]), "stream_id")
 
 
 @query(f"WITH {BYTES}, c AS (SELECT b AS sym, count(*) AS n FROM bytes GROUP BY b), s AS (SELECT CAST(i AS BIGINT) AS sym, coalesce(n, 0) + 1 AS n FROM (SELECT unnest(range(256)) AS i) LEFT JOIN c ON c.sym = i), f AS (SELECT sym, n, greatest(1, (n * 4096 + CAST(sum(n) OVER () AS BIGINT) // 2) // CAST(sum(n) OVER () AS BIGINT)) AS freq FROM s) SELECT sym, n, freq, CAST(coalesce(sum(freq) OVER (ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo FROM f")
 def cdf_prefix(spark, d):
-    counts = A.histogram(stream_bytes(spark, d).withColumn("k", F.lit(0)), "k", "b")
+    seen = spark.range(256).select(F.lit(0).alias("k"), F.col("id").alias("sym")).join(F.broadcast(streams.total_counts(S.byte_streams(spark, d))), F.col("sym") == F.col("b"), "left")
+    counts = seen.select("k", "sym", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
     return counts.join(A.scaled_frequencies(counts, "k"), ["k", "sym"]).select("sym", "n", "freq", "lo")
 
 
@@ -430,12 +423,8 @@ def rle_statistics(spark, d):
 
 @query(f"WITH {BYTES}, t AS (SELECT stream_id, pos, b, CASE WHEN b % 8 > 5 THEN 0 ELSE b % 8 END AS context FROM bytes) SELECT stream_id, context, count(*) AS n, CAST(sum(b * (k % 89 + 1)) AS BIGINT) AS weighted FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, context ORDER BY pos) AS k FROM t) GROUP BY ALL")
 def context_split(spark, d):
-    from pyspark.sql import Window
-
-    kind = F.col("b") % 8
-    parts = stream_bytes(spark, d).withColumn("context", F.when(kind > 5, 0).otherwise(kind))
-    numbered = parts.withColumn("k", F.row_number().over(Window.partitionBy("stream_id", "context").orderBy("pos")))
-    return numbered.groupBy("stream_id", "context").agg(F.count("*").alias("n"), F.sum(F.col("b") * (F.col("k") % 89 + 1)).alias("weighted"))
+    parts = lambda x: ((k, len(part), streams.weighted(part, 89, 1)) for k, part in streams.contexts(x))
+    return streams.map_rows(S.byte_streams(spark, d), parts, ["context", "n", "weighted"])
 
 
 @query(f"WITH {RESIDUALS}, u AS (SELECT y, (CASE WHEN r >= 0 THEN 2 * r ELSE -2 * r - 1 END) >> 8 AS hi FROM resid WHERE f = 0), z AS (SELECT y, (CASE WHEN r >= 0 THEN 2 * r ELSE -2 * r - 1 END) >> 8 AS hi FROM resid WHERE f = 4) SELECT y, count(*) AS n, CAST(sum(CASE WHEN hi = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, sum(CASE WHEN hi = 0 THEN 1 ELSE 0 END) >= 0.75 * count(*) AS sparse FROM z GROUP BY y")
@@ -628,18 +617,12 @@ def log_regex_parse(spark, d):
 # ---- codecs and whole plans
 
 
-def short_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole byte streams of the benchmark items."""
-    return S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("stream_id"), F.col("text").cast("binary").alias("content"))
-
-
 def same_bytes(streams: DataFrame, function) -> DataFrame:
     """MD5 of what a codec gives back; the SQL has that of the input."""
     back = C.map_streams(streams, function, out="back")
     return back.select("stream_id", F.md5("back").alias("digest"), F.octet_length("back").cast("long").alias("n"))
 
 
-_SAME_ITEMS = "SELECT item_id AS stream_id, md5(text) AS digest, CAST(strlen(text) AS BIGINT) AS n FROM benchmark"
 _SAME_DOCUMENTS = "SELECT doc_id AS stream_id, md5(text) AS digest, CAST(strlen(text) AS BIGINT) AS n FROM documents"
 
 
@@ -653,29 +636,33 @@ def lz_token_roundtrip(spark, d):
     return same_bytes(S.byte_streams(spark, d), lambda x: C.lz_decompress(C.rebuilt(C.token_streams(C.lz_compress(x))), len(x)))
 
 
-@query(_SAME_ITEMS)
+@query(_SAME_DOCUMENTS)
 def lz_optimal_roundtrip(spark, d):
-    return same_bytes(short_streams(spark, d), lambda x: C.lz_decompress(C.lz_optimal(x), len(x)))
+    return same_bytes(S.byte_streams(spark, d), lambda x: C.lz_decompress(C.lz_optimal(x), len(x)))
 
 
 @query(_SAME_DOCUMENTS)
 def rans_roundtrip(spark, d):
-    return same_bytes(S.byte_streams(spark, d), lambda x: C.adaptive_decode(C.adaptive_encode(x)))
+    back = C.map_batches(S.byte_streams(spark, d), lambda x: C.adaptive_decode_many(C.adaptive_encode_many(x)), out="back")
+    return back.select("stream_id", F.md5("back").alias("digest"), F.octet_length("back").cast("long").alias("n"))
 
 
-@query(_SAME_ITEMS)
+@query(_SAME_DOCUMENTS)
 def shared_model_roundtrip(spark, d):
-    return same_bytes(short_streams(spark, d), lambda x: C.lz_decompress(C.shared_decode(C.shared_encode(C.lz_compress(x), C.lz_model()), C.lz_model()), len(x)))
+    return same_bytes(S.byte_streams(spark, d), lambda x: C.lz_decompress(C.shared_decode(C.shared_encode(C.lz_compress(x), C.lz_model()), C.lz_model()), len(x)))
 
 
-@query(_SAME_ITEMS)
+@query(_SAME_DOCUMENTS)
 def wrapper_roundtrip(spark, d):
-    return same_bytes(short_streams(spark, d), lambda x: C.unwrapped(C.smallest(x, 0xA9), 0xA9))
+    return same_bytes(S.byte_streams(spark, d), lambda x: C.unwrapped(C.smallest(x, 0xA9), 0xA9))
 
 
-@query(_SAME_ITEMS)
+@query(_SAME_DOCUMENTS)
 def bit_pack_roundtrip(spark, d):
-    return same_bytes(short_streams(spark, d), lambda x: bytes(C.unpack_bits(C.pack_bits(x, 8), 8, len(x))))
+    """Low three and high five bits packed apart."""
+    low, high = (lambda x: C.unpack_bits(C.pack_bits(x & 7, 3), 3, len(x))), (lambda x: C.unpack_bits(C.pack_bits(x >> 3, 5), 5, len(x)))
+    both = lambda x: (np.array(high(x), np.uint8) << 3 | np.array(low(x), np.uint8)).tobytes()
+    return same_bytes(S.byte_streams(spark, d), lambda x: both(np.frombuffer(x, np.uint8)) if x else b"")
 
 
 def through_restarts(data: bytes, interval: int = 64) -> bytes:
@@ -686,9 +673,9 @@ def through_restarts(data: bytes, interval: int = 64) -> bytes:
     return b"".join(bytes(C.decode_part(coded, p, min(interval, len(data) - p.token), freq)) for p in points)
 
 
-@query(_SAME_ITEMS)
+@query(_SAME_DOCUMENTS)
 def restart_point_roundtrip(spark, d):
-    return same_bytes(short_streams(spark, d), through_restarts)
+    return same_bytes(S.byte_streams(spark, d), through_restarts)
 
 
 @query(f"WITH {PLANE} SELECT y, CAST(sum(v * (x + 1)) AS BIGINT) AS weighted FROM plane GROUP BY y")
@@ -699,7 +686,7 @@ def lossless_plane_roundtrip(spark, d):
 
 @query(f"WITH {PLANE} SELECT y, CAST(sum(v * (x + 1)) AS BIGINT) AS weighted FROM plane GROUP BY y")
 def natural_route_roundtrip(spark, d):
-    code = lambda samples: lossless.natural_encode(samples, lossless.PRESETS["balanced"])
+    code = lambda samples: lossless.with_size(samples, lossless.NATURAL, lossless.natural_encode(samples, lossless.PRESETS["balanced"]))
     back = lossless.decode_planes(lossless.encode_planes(S.plane(spark, d), code=code))
     return back.select("y", F.aggregate(F.transform("row", lambda v, x: v.cast("long") * (x + 1)), F.lit(0).cast("long"), lambda s, v: s + v).alias("weighted"))
 
@@ -707,18 +694,18 @@ def natural_route_roundtrip(spark, d):
 @query(f"WITH {PLANE} SELECT y, CAST(sum((v // 8) * (x + 1)) AS BIGINT) AS weighted FROM plane GROUP BY y")
 def screen_route_roundtrip(spark, d):
     coarse = S.plane(spark, d).withColumn("row", F.transform("row", lambda v: P.quotient(v, 8).cast("int")))
-    back = lossless.decode_planes(lossless.encode_planes(coarse, code=lossless.screen_encode))
+    back = lossless.decode_planes(lossless.encode_planes(coarse, code=lambda x: lossless.with_size(x, lossless.SCREEN, lossless.screen_encode(x))))
     return back.select("y", F.aggregate(F.transform("row", lambda v, x: v.cast("long") * (x + 1)), F.lit(0).cast("long"), lambda s, v: s + v).alias("weighted"))
 
 
-@query(_SAME_ITEMS)
+@query(_SAME_DOCUMENTS)
 def separate_streams_roundtrip(spark, d):
-    return same_bytes(short_streams(spark, d), lambda x: C.streams_decode(C.streams_encode(x)))
+    return same_bytes(S.byte_streams(spark, d), lambda x: C.streams_decode(C.streams_encode(x)))
 
 
-@query(_SAME_ITEMS)
+@query(_SAME_DOCUMENTS)
 def token_streams_roundtrip(spark, d):
-    return same_bytes(short_streams(spark, d), lambda x: C.token_streams_decode(C.token_streams_encode(x), len(x)))
+    return same_bytes(S.byte_streams(spark, d), lambda x: C.token_streams_decode(C.token_streams_encode(x), len(x)))
 
 
 @query()
@@ -750,15 +737,13 @@ def low_byte_modes(spark, d):
     """Bytes of each way to code the low bytes of a band."""
 
     def sizes(table):
-        import numpy as np
         import pyarrow as pa
 
         order = np.argsort(table.column("y").to_numpy())
         rows = table.column("row").to_pylist()
         samples = np.array([rows[k] for k in order], np.int64)
-        filters = lossless.row_filters(samples, "sad")
-        residuals = np.stack([samples[y] - lossless.predictions(samples[max(0, y - 1) : y + 1], int(f))[-1] for y, f in enumerate(filters)])
-        got = lossless.lo_candidates((lossless.fold(residuals) & 255).astype(np.uint8), filters)
+        _, filters, lines = lossless.tile_parts(lossless.M.padded(samples), lossless.PRESETS["balanced"])
+        got = lossless.lo_candidates([x & 255 for x in lines], filters)
         return pa.table({"mode": pa.array([m for m, _ in got], pa.int64()), "n_bytes": pa.array([len(p) for _, p in got], pa.int64())})
 
     bands = S.plane(spark, d).withColumn("band", F.expr("y div 512"))
@@ -792,8 +777,6 @@ def image_compare(spark, d):
     from blockloom.plans import images
 
     def each(batches):
-        import numpy as np
-
         for b in batches:
             out = []
             for seed in b.column("id").to_pylist():

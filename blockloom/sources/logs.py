@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Fixed patterns of a result line: with decode times, and the older form with speed-ups.
-NUMBER = r"([0-9.]+)"
-WITH_TIMES = rf"^\s*(\S+)\s+{NUMBER}\s+{NUMBER}\s+([+\-][0-9]+)%\s+{NUMBER}ms\s+{NUMBER}ms([A-Za-z]+)\s*$"
-WITH_FACTORS = rf"^\s*(\S+)\s+{NUMBER}\s+{NUMBER}\s+([+\-][0-9]+)%\s+{NUMBER}x\s+{NUMBER}x([A-Za-z]+)\s*$"
+# Fixed pattern of a result line: with decode times, or in the older form with speed-ups.
+NUMBER = r"[0-9.]+"
+TIMES_OR_FACTORS = rf"(?:{NUMBER}ms\s+{NUMBER}ms|{NUMBER}x\s+{NUMBER}x)"
+RESULT = rf"^\s*\S+\s+{NUMBER}\s+{NUMBER}\s+[+\-][0-9]+%\s+{TIMES_OR_FACTORS}[A-Za-z]+\s*$"
 
 
 def benchmark_rows(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One row for each line of either form (the newer is tried first); other lines are dropped, missing figures are 0."""
-    new = F.col(column).rlike(WITH_TIMES)
-    some = lines.where(new | F.col(column).rlike(WITH_FACTORS))
-    part = lambda k: F.when(new, F.regexp_extract(column, WITH_TIMES, k)).otherwise(F.regexp_extract(column, WITH_FACTORS, k))
-    num = lambda k: F.coalesce(part(k).try_cast("double"), F.lit(0.0))
-    raw = some.select(part(1).alias("image"), part(7).alias("category"), num(2).alias("png_kb"), num(3).alias("own_kb"), part(4).cast("long").alias("size_change_percent"), new.alias("timed"), num(5).alias("first"), num(6).alias("second"))
+    """One row for each line of either form; other lines are dropped, missing figures are 0.
+
+    One pattern decides, then a line is cut at its blanks and the units off its fields.
+    """
+    fields = lines.where(F.col(column).rlike(RESULT)).select(F.split(F.trim(F.regexp_replace(column, r"\s+", " ")), " ").alias("f"))
+    field = lambda k: F.get("f", F.lit(k))
+    parts = fields.select("f", F.endswith(field(4), F.lit("ms")).alias("timed"), F.regexp_extract(field(5), r"^[0-9.]+", 0).alias("second"))
+    unit = F.when(F.col("timed"), 2).otherwise(1)
+    num = lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0))
+    raw = parts.select(field(0).alias("image"), F.substring(field(5), F.length("second") + unit + 1, F.lit(1 << 30)).alias("category"), num(field(1)).alias("png_kb"), num(field(2)).alias("own_kb"), F.rtrim(field(3), F.lit("%")).cast("long").alias("size_change_percent"), "timed", num(F.substring(field(4), F.lit(1), F.length(field(4)) - unit)).alias("first"), num(F.col("second")).alias("second"))
     timed = F.col("timed")
     png, own = F.when(timed, F.col("first")).otherwise(0.0), F.when(timed, F.col("second")).otherwise(0.0)
     speed = F.when((png > 0) & (own > 0), png / own).otherwise(F.when(timed, 0.0).otherwise(F.col("second")))
