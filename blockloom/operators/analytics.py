@@ -150,3 +150,27 @@ def exactly(df: DataFrame, n: int) -> DataFrame:
     """The one count of the rows, or an error if it isn't ``n``."""
     counted = df.agg(F.count("*").alias("rows"))
     return counted.select(F.when(F.col("rows") == n, F.col("rows")).otherwise(F.raise_error(F.concat(F.lit(f"{n} rows expected, got "), F.col("rows").cast("string")))).alias("rows"))
+
+
+def bits_per_block(n_bytes: Column, blocks: Column) -> Column:
+    return F.coalesce(F.try_divide(8.0 * n_bytes, blocks), F.lit(0.0))
+
+
+def mean_run(blocks: Column, runs: Column) -> Column:
+    return F.coalesce(F.try_divide(blocks.cast("double"), runs), F.lit(0.0))
+
+
+def savings(raw: Column, coded: Column) -> Column:
+    """Percent of the raw bytes that coding saves; 0 of nothing."""
+    return F.coalesce(100.0 * (1.0 - F.try_divide(coded, raw)), F.lit(0.0))
+
+
+def scaled_mean(total: Column, count: Column, fallback: Column, scale: int) -> Column:
+    """Mean of a sum that is kept times ``scale``; where nothing was counted, over the fallback count."""
+    return F.coalesce(F.try_divide(total.cast("double"), F.when(count > 0, count).otherwise(fallback)) / scale, F.lit(0.0))
+
+
+def reasons(df: DataFrame, mode: str, reason: str, names: list[str], size: str, taken: str = "taken") -> DataFrame:
+    """Per mode the candidates, how many had each outcome, and the mean size of those not taken."""
+    each = [F.count_if(F.col(reason) == n).alias(n) for n in names]
+    return df.groupBy(mode).agg(F.count("*").alias("n"), *each, F.avg(F.when(F.col(reason) != taken, F.col(size))).alias("mean_rejected"))

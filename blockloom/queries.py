@@ -291,12 +291,6 @@ def cfl_fit(spark, d):
     return K.cfl_fit(luma, chroma, ["bi"]).select("bi", "alpha_q8", "beta")
 
 
-@query()
-def cfl_adoption(spark, d):
-    blocks = S.blocks(spark, d)
-    return K.cfl_fit(blocks.where("bi % 2 = 0"), blocks.where("bi % 2 = 1").withColumn("bi", F.col("bi") - 1), ["bi"])
-
-
 @query(f"""WITH {PLANE}, perm AS (SELECT unnest([{','.join(map(str, B.zigzag_order()))}]) AS x, unnest(range(64)) AS z) SELECT y AS bi, CAST(sum(v * (z + 1)) AS BIGINT) AS weighted, CAST(sum(CASE WHEN z BETWEEN 1 AND 15 THEN v ELSE 0 END) AS BIGINT) AS low,
 CAST(sum(CASE WHEN z BETWEEN 16 AND 31 THEN v ELSE 0 END) AS BIGINT) AS mid, CAST(sum(CASE WHEN z > 31 THEN v ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN z > 0 THEN abs(v) ELSE 0 END) AS BIGINT) AS activity FROM plane JOIN perm USING (x) GROUP BY y""")
 def zigzag_bands(spark, d):
@@ -454,11 +448,6 @@ def pattern_source(spark, d):
     return synthetic.pattern(spark, 320, 64)
 
 
-@query()
-def gradient_source(spark, d):
-    return synthetic.waves(spark, 192, 108)
-
-
 @query("SELECT p_partkey, p_name, CAST(CASE lower(p_type) WHEN 'small' THEN 0 WHEN 'large' THEN 1 ELSE -1 END AS BIGINT) AS kind, replace(p_name, '_', chr(92) || '_') AS escaped, regexp_replace(regexp_extract('out/run_' || p_name || '.v2.csv', '([^/]*)$', 1), '[.][^.]*$', '') AS stem FROM part")
 def names_and_paths(spark, d):
     part = S.table(spark, d, "part")

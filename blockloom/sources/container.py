@@ -165,3 +165,12 @@ def accounting(chunks: DataFrame, key: str, known: tuple[str, ...]) -> DataFrame
     """Bytes of each known kind of chunk, and of the others."""
     own = [F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0)).alias(k.lower()) for k in known]
     return chunks.groupBy(key).agg(*own, F.sum(F.when(~F.col("kind").isin(*known), F.col("size")).otherwise(0)).alias("unknown"))
+
+
+#: The streams of a lossless tile in the order of its eight sizes (one of them counts samples, not bytes).
+TILE_STREAMS = ("filter_ids", "lo", "hi", "pixels", "block_types", "palette", "copy", "tile4")
+
+
+def tile_accounting(tiles: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """The bytes of each stream inside a lossless tile, and of the whole."""
+    return tiles.select(key, *(little(F.col(content), 4 * k, 4).alias(n) for k, n in enumerate(TILE_STREAMS)), F.octet_length(content).cast("long").alias("tile_bytes"))

@@ -1,15 +1,18 @@
 """Round trips, malformed streams, fixed byte strings."""
 
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from blockloom.config import PRESETS, TileLz
-from blockloom.operators import codecs as C
-from blockloom.plans import images, lossless
-from blockloom.sources import container as K
+from blockloom.config import PRESETS, GlobalLz, RouteGates, TileLz
+from blockloom.operators import codecs as C, lz
+from blockloom.operators.lz import Damaged
+from blockloom.plans import images, lossless, modes
+from blockloom.sources import container as K, png
 
 STREAMS = [b"", b"a", b"ab", b"aaaaaaaa", bytes(range(256)), bytes(random.Random(1).choices(range(3), k=3000)), b"\0" * 100 + b"\1" + b"\0" * 50]
 
@@ -98,17 +101,17 @@ def test_planes(shape, preset):
     rng = np.random.default_rng(shape[0])
     for samples in (rng.integers(0, 256, shape), np.full(shape, 7), np.add.outer(np.arange(shape[0]), np.arange(shape[1])) - 200, rng.integers(0, 4, shape)):
         assert np.array_equal(lossless.decode_band(lossless.encode_band(samples, PRESETS[preset])), samples)
-        assert np.array_equal(lossless.natural_decode(lossless.natural_encode(samples.astype(np.int64), PRESETS[preset])), samples)
+        assert np.array_equal(lossless.natural_decode(lossless.natural_encode(samples.astype(np.int64), PRESETS[preset]), *shape), samples)
 
 
 def test_every_low_byte_mode():
     rng = np.random.default_rng(5)
     lo = np.tile(np.cumsum(rng.integers(0, 3, (20, 64)), axis=1).astype(np.uint8), (4, 1))
     filters = rng.integers(0, 8, 80)
-    got = lossless.lo_candidates(lo, filters)
+    got = lossless.lo_candidates(list(lo), filters)
     assert [m for m, _ in got] == list(range(9))
     for mode, payload in got:
-        assert np.array_equal(lossless.lo_decode(bytes((mode,)) + payload, filters, *lo.shape), lo), mode
+        assert np.array_equal(lossless.lo_decode(bytes((mode,)) + payload, filters, [64] * 80), lo.ravel()), mode
 
 
 def test_images():
@@ -155,3 +158,131 @@ def test_nearest_copy():
     samples[16:24, 8:16] = samples[3:11, 13:21]
     assert nearest_copy(samples, 2, 1) == (5, -13, 0)
     assert nearest_copy(samples, 0, 0) == (0, 0, -1)
+
+
+# ---- all streams at once, searches, blocks
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=300), max_size=12))
+def test_many_streams_are_coded_as_one_by_one(streams):
+    coded = C.adaptive_encode_many(streams)
+    assert coded == [C.adaptive_encode(x) for x in streams]
+    assert C.adaptive_decode_many(coded) == streams
+
+
+def test_damaged_streams_among_many():
+    good = C.adaptive_encode_many([b"abc" * 50, b"x" * 9])
+    assert C.adaptive_decode_many([good[0][:-3], b"", good[1], good[0][:1000], good[0]]) == [None, None, b"x" * 9, None, b"abc" * 50]
+
+
+def test_range_coder_bytes_by_hand():
+    """Two symbols of equal weight, one lane: x = 65536; 'b' then 'a' from the back."""
+    freq = np.zeros(256, np.int64)
+    freq[97] = freq[98] = 2048
+    x = 65536
+    for symbol in reversed(b"ab"):
+        low = 0 if symbol == 97 else 2048
+        x = (x // 2048 << 12) + x % 2048 + low
+    assert C.rans_encode(b"ab", freq, 1) == x.to_bytes(4, "big")
+    assert C.rans_decode(C.rans_encode(b"ab", freq, 1), 2, freq, 1) == [97, 98]
+
+
+def test_lz_bytes_by_hand():
+    assert C.lz_compress(b"abcabcabcabd") == b"\0\x03abc\1\x08\x03\0\0\1d"
+    assert C.lz_compress(b"ab") == b"\0\2ab" and C.lz_compress(b"") == b""
+    assert C.type_runs([0] * 66 + [3]) == bytes((63 << 2, 1 << 2, 3))
+    assert C.pack_bits([1, 2, 3, 4, 5], 3) == bytes((0b11010001, 0b1011000))
+    assert C.lz_model().sum() == 4096 and C.lz_model().argmax() == 0
+
+
+def best_match(data, p, depth, window, nice, near):
+    slots, length, distance, seen = lz.slots_of(np.frombuffer(data, np.uint8)), 0, 0, 0
+    for r in range(p - 1, -1, -1):
+        if p >= len(slots) or slots[r] != slots[p]:
+            continue
+        seen += 1
+        if seen > depth or p - r > window:
+            break
+        n = 0
+        while n < min(255, len(data) - p) and data[r + n] == data[p + n]:
+            n += 1
+        if n > length and (n > 3 or n == 3 and (near is None or p - r <= near)):
+            length, distance = n, p - r
+        if length >= nice:
+            break
+    return length, distance
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=3, max_size=120).map(lambda x: bytes(b % 3 + 97 for b in x)), st.sampled_from([2, 8]), st.sampled_from([10, 1000]), st.sampled_from([None, 6]))
+def test_chained_search_is_exhaustive_in_its_chain(data, depth, window, near):
+    length, distance = lz.Matcher(data).best(depth, window, 16, near)
+    assert list(zip(length.tolist(), distance.tolist(), strict=True)) == [best_match(data, p, depth, window, 16, near) for p in range(len(data))]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=90).map(lambda x: bytes(b % 3 + 97 for b in x)))
+def test_optimal_parse_takes_the_fewest_bytes(data):
+    coded = C.lz_optimal(data)
+    assert C.lz_decompress(coded, len(data)) == data
+    assert C.lz_decompress(C.lz_global(data, lazy=True), len(data)) == data and C.lz_decompress(C.lz_global(data), len(data)) == data
+    if len(data) >= 3:
+        length, _ = lz.candidates(lz.Matcher(data), GlobalLz())
+        best = [0] + [1 << 30] * len(data)
+        for p in range(len(data)):
+            for n, cost in [(k, 2 + k) for k in range(1, len(data) - p + 1)] + [(n, 4) for n in length[p].tolist() if n]:
+                best[p + n] = min(best[p + n], best[p] + cost)
+        assert len(coded) == best[-1]
+
+
+def kinds_of(samples):
+    return lossless.tile_parts(modes.padded(samples), lossless.PRESETS["balanced"])[0].kinds
+
+
+def four_kinds():
+    rng = np.random.default_rng(4)
+    out = np.full((64, 72), 200)
+    out[8:40:9], out[:, 20:24], out[48:52, :30] = 30, 90, 7
+    out[30:50, 30:60] = rng.integers(0, 256, (20, 30))
+    return out
+
+
+@pytest.mark.parametrize("samples", [four_kinds(), np.zeros((1, 1), int), np.random.default_rng(1).integers(-300, 300, (13, 21)), np.tile(np.arange(9) * 7, (17, 3))])
+def test_all_routes_give_the_samples_back(samples):
+    samples = samples.astype(np.int64)
+    open_gates = RouteGates(screen_min_pixels=1, natural_min_pixels=1, natural_min_unique=1)
+    for preset in lossless.PRESETS.values():
+        assert (lossless.decode_band(lossless.encode_band(samples, preset, open_gates)) == samples).all()
+        for _, payload in lossless.natural_modes(samples, preset):
+            assert (lossless.natural_decode(payload, *samples.shape) == samples).all()
+    tile = lossless.tile_encode(samples, lossless.PRESETS["balanced"])
+    assert (lossless.tile_decode(tile, *samples.shape) == samples).all()
+    assert sum(lossless.tile_sizes(tile)) - lossless.tile_sizes(tile)[3] + 32 == len(tile)
+
+
+def test_blocks_of_all_kinds_are_coded():
+    samples = four_kinds()
+    assert set(np.unique(kinds_of(samples))) == {0, 1, 2, 3}
+    plain = np.full(kinds_of(samples).shape, 0)
+    assert len(lossless.tile_encode(samples, lossless.PRESETS["balanced"])) < len(C.adaptive_encode(samples.astype(np.uint8).tobytes()))
+    assert plain.shape == (8, 9)
+
+
+def test_png_depths_and_damage():
+    rng = np.random.default_rng(2)
+    rgb = rng.integers(0, 256, (9, 7, 3)).astype(np.uint8)
+    for k in range(5):
+        assert (png.read_png(png.write_png(rgb, [k])) == rgb).all()
+    whole = png.write_png(rgb)
+    chunk = lambda kind, x: struct.pack(">I", len(x)) + kind + x + struct.pack(">I", zlib.crc32(kind + x))
+    made = lambda head, raw, more=b"": png.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", *head)) + more + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    assert png.read_png(made((3, 1, 1, 0, 0, 0, 0), b"\0\xa0")).tolist() == [[[255] * 3, [0] * 3, [255] * 3]]
+    assert png.read_png(made((2, 1, 4, 3, 0, 0, 0), b"\0\x10", chunk(b"PLTE", bytes(range(6))))).tolist() == [[[3, 4, 5], [0, 1, 2]]]
+    assert png.read_png(made((1, 1, 16, 4, 0, 0, 0), b"\0\x12\x34\xff\xff")).tolist() == [[[0x12] * 3]]
+    assert png.read_png(made((1, 1, 8, 6, 0, 0, 0), b"\0\1\2\3\4")).tolist() == [[[1, 2, 3]]]
+    passes = b"".join(b"\0" + rgb[y, x0::dx].tobytes() for x0, y0, dx, dy in png.PASSES for y in range(y0, 9, dy) if len(rgb[y, x0::dx]))
+    assert (png.read_png(made((7, 9, 8, 2, 0, 0, 1), passes)) == rgb).all()
+    for bad in (b"", whole[:-20], whole.replace(b"IHDR", b"IHDX"), made((1, 1, 8, 2, 0, 0, 0), b"\0"), made((1, 1, 8, 2, 0, 0, 0), b"\7\1\2\3")):
+        with pytest.raises((Damaged, struct.error)):
+            png.read_png(bad)
