@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blockloom.config import ANIME, PHOTO, ModeParams
@@ -126,22 +127,61 @@ def chosen_mode(tile4: Column, copy: Column, pal: Column, filt: Column) -> Colum
     return F.when((tile4 <= copy) & (tile4 <= pal) & (tile4 <= filt), 3).when((copy <= pal) & (copy <= filt), 2).when(pal <= filt, 1).otherwise(0)
 
 
+#: Lines of blocks in a part of an image that one task walks through.
+WALKED_LINES = 64
+MODE_COSTS = ("filter_bits", "palette_bits", "copy_bits", "tile4_bits")
+
+
+def walked(bits: list[tuple[int, ...]], last: int) -> list[int]:
+    """The modes of blocks in order, from their costs by mode; the mode of the block before is favoured by 4."""
+    out = []
+    for own in bits:
+        if own[2] < NEVER:
+            last = 2
+        else:
+            less = [cost - 4 * (mode == last and cost < NEVER) for mode, cost in enumerate(own)]
+            last = min((3, 2, 1, 0), key=less.__getitem__)  # ties go to the first
+        out.append(last)
+    return out
+
+
 def modes(costs: DataFrame, profile: int) -> DataFrame:
-    """The mode of each block.  The photo profile favours the mode of the block before by 4, a recursion that is folded line by line of blocks per image."""
+    """The mode of each block.
+
+    The photo profile favours the mode of the block before, a recursion in raster order.  Parts of an image are walked from
+    each of the four modes that may come before; one row for each part then tells which it was, and parts are walked with that.
+    """
     t, c, p, f = (F.col(x) for x in ("tile4_bits", "copy_bits", "palette_bits", "filter_bits"))
     if profile != PHOTO:
         return costs.withColumn("mode", F.when(c < NEVER, 2).otherwise(chosen_mode(t, c, p, f)))
-    ordered = costs.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("by", "bx", "tile4_bits", "copy_bits", "palette_bits", "filter_bits"))).alias("blocks"))
-    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        less = lambda cost, mode: cost - F.when((s["last"] == mode) & (cost < NEVER), 4).otherwise(0)
-        mode = F.when(x["copy_bits"] < NEVER, 2).otherwise(chosen_mode(less(x["tile4_bits"], 3), less(x["copy_bits"], 2), less(x["palette_bits"], 1), less(x["filter_bits"], 0)))
-        return F.struct(mode.alias("last"), F.concat(s["out"], F.array(mode)).alias("out"))
-
-    folded = ordered.select("image_id", F.explode(F.arrays_zip(F.col("blocks"), F.aggregate("blocks", start, step)["out"].alias("mode"))).alias("e"))
-    decided = folded.select("image_id", F.col("e.blocks.by").alias("by"), F.col("e.blocks.bx").alias("bx"), F.col("e.mode").alias("mode"))
-    return costs.join(decided, list(KEY))
+    parts = costs.select(*KEY, quotient(F.col("by"), WALKED_LINES).alias("part"), *(F.col(x).cast("long").alias(x) for x in MODE_COSTS))
+
+    def in_order(table: pa.Table) -> pa.Table:
+        return table.sort_by([("by", "ascending"), ("bx", "ascending")])
+
+    def bits(table: pa.Table) -> list[tuple[int, ...]]:
+        return list(zip(*(table.column(x).to_pylist() for x in MODE_COSTS), strict=True))
+
+    def ends(table: pa.Table) -> pa.Table:
+        own = bits(in_order(table))
+        return pa.table({"image_id": table.column("image_id").slice(0, 1), "part": table.column("part").slice(0, 1), **{f"after{k}": pa.array([walked(own, k)[-1]], pa.int32()) for k in range(4)}})
+
+    def starts(table: pa.Table) -> pa.Table:
+        table, last, out = table.sort_by("part"), 0, []
+        for after in zip(*(table.column(f"after{k}").to_pylist() for k in range(4)), strict=True):
+            out.append(last)
+            last = after[last]
+        return pa.table({"image_id": table.column("image_id"), "part": table.column("part"), "start": pa.array(out, pa.int32())})
+
+    def decided(table: pa.Table) -> pa.Table:
+        table = in_order(table)
+        return pa.table({**{k: table.column(k) for k in KEY}, "mode": pa.array(walked(bits(table), table.column("start")[0].as_py()), pa.int32())})
+
+    key = f"image_id {dict(costs.dtypes)['image_id']}"
+    first = parts.groupBy("image_id", "part").applyInArrow(ends, f"{key}, part long, " + ", ".join(f"after{k} int" for k in range(4)))
+    first = first.groupBy("image_id").applyInArrow(starts, f"{key}, part long, start int")
+    got = parts.join(first, ["image_id", "part"]).groupBy("image_id", "part").applyInArrow(decided, f"{key}, by long, bx long, mode int")
+    return costs.join(got, list(KEY))
 
 
 def filter_block_buckets(decided: DataFrame) -> DataFrame:

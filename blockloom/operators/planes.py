@@ -7,6 +7,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from blockloom.functions.pixel import PREDICTORS, clamp, high_byte, fold_sign, low_byte, prediction, quotient, residual_cost
 
 
+#: Places of an order that make a band: windows run inside bands, and one row for each band carries over what came before.
+BAND = 4096
+
+
+def band_of(order: str) -> Column:
+    return quotient(F.col(order), BAND)
+
+
+def with_last(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds the value of the row before, in the order of whole numbers ``order``; null for the first row of its keys."""
+    banded = df.withColumn("__band", band_of(order))
+    inside = Window.partitionBy(*keys, "__band").orderBy(order)
+    ends = banded.groupBy(*keys, "__band").agg(F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("end"))
+    ends = ends.select(*keys, "__band", F.lag("end").over(Window.partitionBy(*keys).orderBy("__band")).alias("__carried"))
+    both = banded.withColumns({name: F.lag(value).over(inside), "__nth": F.row_number().over(inside)}).join(ends, [*keys, "__band"])
+    return both.withColumn(name, F.when(F.col("__nth") == 1, F.col("__carried.v")).otherwise(F.col(name))).drop("__band", "__nth", "__carried")
+
+
+def with_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """Adds the sum of a value over the rows of the same keys up to and with each row."""
+    banded = df.withColumns({"__band": band_of(order), "__value": value})
+    upto = Window.partitionBy(*keys, "__band").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    before = banded.groupBy(*keys, "__band").agg(F.sum("__value").alias("all")).select(*keys, "__band", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("__before"))
+    both = banded.withColumn(name, F.sum("__value").over(upto)).join(before, [*keys, "__band"])
+    return both.withColumn(name, F.col(name) + F.col("__before")).drop("__band", "__value", "__before")
+
+
 def shifted(row: Column) -> Column:
     """A line moved right by one sample; zero comes in."""
     return F.concat(F.array(F.lit(0)), F.slice(row, F.lit(1), F.greatest(F.size(row) - 1, F.lit(0))))
@@ -85,13 +113,12 @@ def undelta(stream: DataFrame, key: str = "stream_id", pos: str = "pos", value:
 
 def dc_differences(blocks: DataFrame, key: str = "image_id", order: str = "bi", value: str = "dc", kind: str = "kind") -> DataFrame:
     """Each transformed block's first coefficient less that of the transformed block before it."""
-    w = Window.partitionBy(key).orderBy(order)
-    return blocks.where(F.col(kind) == 0).withColumn("diff", F.col(value) - F.lag(value, 1, 0).over(w))
+    last = with_last(blocks.where(F.col(kind) == 0), [key], order, value, "__last")
+    return last.withColumn("diff", F.col(value) - F.coalesce("__last", F.lit(0))).drop("__last")
 
 
 def dc_restored(differences: DataFrame, key: str = "image_id", order: str = "bi") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return differences.withColumn("restored", F.sum("diff").over(w))
+    return with_total(differences, [key], order, F.col("diff"), "restored")
 
 
 def runs(stream: DataFrame, key: str, pos: str, value: str, longest: int | None = None) -> DataFrame:
@@ -114,9 +141,8 @@ def run_statistics(all_runs: DataFrame, short: int = 2, long: int = 16) -> DataF
 
 def row_predictors(lines: DataFrame) -> DataFrame:
     """(image_id, y, p, cost) of byte lines under none, left, up and average; up is the last non-empty line; distances are circular."""
-    filled = lines.where(F.size("row") > 0).withColumn("nth", F.row_number().over(Window.partitionBy("image_id").orderBy("y")))
-    above = filled.select("image_id", (F.col("nth") + 1).alias("nth"), F.col("row").alias("above"))
-    both = filled.join(above, ["image_id", "nth"], "left").withColumn("above", F.coalesce("above", F.transform("row", lambda _: F.lit(0))))
+    filled = with_last(lines.where(F.size("row") > 0), ["image_id"], "y", "row", "above")
+    both = filled.withColumn("above", F.coalesce("above", F.transform("row", lambda _: F.lit(0))))
     cells = F.arrays_zip(F.col("row").alias("v"), shifted(F.col("row")).alias("a"), F.col("above").alias("b"))
     each = both.select("image_id", "y", F.explode(cells).alias("n")).select("image_id", "y", F.col("n.v"), F.coalesce("n.a", F.lit(0)).alias("a"), F.coalesce("n.b", F.lit(0)).alias("b")).where("v is not null")
     costs = []
@@ -139,11 +165,11 @@ def flat_or_edge(cells: DataFrame, limit: int = 16) -> DataFrame:
 
 def ordinals(blocks: DataFrame, key: str = "image_id", order: str = "bi", kind: str = "kind") -> DataFrame:
     """The running index of each block among those of its kind."""
-    return blocks.withColumn("ordinal", F.row_number().over(Window.partitionBy(key, kind).orderBy(order)) - 1)
+    return with_total(blocks, [key, kind], order, F.lit(1), "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
 
 
 def same_as_last(blocks: DataFrame, value: str, key: str = "image_id", order: str = "bi") -> DataFrame:
-    return blocks.withColumn("reused", F.coalesce(F.col(value) == F.lag(value).over(Window.partitionBy(key).orderBy(order)), F.lit(False)))
+    return with_last(blocks, [key], order, value, "__last").withColumn("reused", F.coalesce(F.col(value) == F.col("__last"), F.lit(False))).drop("__last")
 
 
 def preflight(plane: DataFrame, width: int, height: int, cap: int = 192) -> DataFrame:
