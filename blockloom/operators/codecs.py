@@ -438,12 +438,18 @@ def tokens_encode(tokens: list[tuple[int, int, int]], symbols: int = 76) -> byte
     return struct.pack("<III", len(types), len(payload), len(raw)) + freq.astype("<u2").tobytes() + payload + raw
 
 
-def tokens_decode(data: bytes, symbols: int = 76) -> list[tuple[int, int, int]]:
+def token_types(data: bytes, symbols: int = 76) -> tuple[int, bytes, np.ndarray]:
+    """The number of tokens, the coded types and their model."""
     count, size, _ = struct.unpack_from("<III", data)
     freq = np.frombuffer(data, "<u2", symbols, 12).astype(np.int64)
-    at = 12 + 2 * symbols
-    types = rans_decode(data[at : at + size], count, freq)
-    out, pos = [], at + size
+    return count, data[12 + 2 * symbols : 12 + 2 * symbols + size], freq
+
+
+def tokens_decode(data: bytes, symbols: int = 76, types: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """``types``: those of the tokens, if they have been decoded from restart points."""
+    count, payload, freq = token_types(data, symbols)
+    types = rans_decode(payload, count, freq) if types is None else types
+    out, pos = [], 12 + 2 * symbols + len(payload)
     for t in types:
         if t > 64:
             n, r = struct.unpack_from("<BH", data, pos)

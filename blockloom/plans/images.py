@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 
 from blockloom.config import PRESETS
-from blockloom.functions.block import BASE_LUMA, chroma_quality, dct_basis, inverse_dct, quant_table, zigzag_order
+from blockloom.functions.block import chroma_quality, quant_table
 from blockloom.operators import codecs as C
 from blockloom.plans.lossless import decode_band, encode_band
+from blockloom.plans.lossy import Lossy, decode_plane, encode_plane, transform  # noqa: F401
 from blockloom.sources import container as K
 
-assert len(BASE_LUMA) == 64
 PLANES = ("PLN0", "PLN1", "PLN2")
-ZIGZAG = np.array(zigzag_order())
-BASIS = np.array(dct_basis())
 
 
 def to_ycocg(rgb: np.ndarray) -> list[np.ndarray]:
@@ -47,80 +43,6 @@ def encode_lossless(rgb: np.ndarray, preset: str = "balanced") -> bytes:
     return K.pack(K.header(rgb.shape[1], rgb.shape[0]), chunks)
 
 
-def tiles(plane: np.ndarray) -> np.ndarray:
-    """Blocks (n, 64) of a plane padded by its edges."""
-    h, w = plane.shape
-    p = np.pad(plane, ((0, -h % 8), (0, -w % 8)), mode="edge")
-    return p.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).swapaxes(1, 2).reshape(-1, 64)
-
-
-def untiled(blocks: np.ndarray, h: int, w: int) -> np.ndarray:
-    rows, cols = -(-h // 8), -(-w // 8)
-    return blocks.reshape(rows, cols, 8, 8).swapaxes(1, 2).reshape(rows * 8, cols * 8)[:h, :w]
-
-
-def transform(blocks: np.ndarray) -> np.ndarray:
-    """Two integer passes, each rounded at 13 bits."""
-    x = blocks.reshape(-1, 8, 8)
-    rows = (np.einsum("kn,byn->byk", BASIS, x) + 4096) >> 13
-    return ((np.einsum("ky,byx->bkx", BASIS, rows) + 4096) >> 13).reshape(-1, 64)
-
-
-def block_tokens(q: np.ndarray) -> list[tuple[int, int, int]]:
-    """Tokens of a block's later coefficients in zigzag order."""
-    out, run = [], 0
-    last = int(np.flatnonzero(q)[-1]) if q.any() else -1
-    for v in q[: last + 1].tolist():
-        if v == 0:
-            run += 1
-            continue
-        out += [(run, 0, 0), value_token(v)]
-        run = 0
-    return [*out, (63, 0, 0)]
-
-
-def value_token(v: int) -> tuple[int, int, int]:
-    size = min(11, abs(v).bit_length())
-    return (64, 0, 0) if v == 0 else (64 + size, (v < 0) << size | abs(v) - (1 << size - 1), size + 1)
-
-
-def token_value(token: tuple[int, int, int]) -> int:
-    size = token[0] - 64
-    if size <= 0:
-        return 0
-    magnitude = (1 << size - 1) + (token[1] & (1 << size) - 1)
-    return -magnitude if token[1] >> size & 1 else magnitude
-
-
-def encode_lossy_plane(plane: np.ndarray, table: list[int]) -> bytes:
-    """Transform, quantise, DC differences and zero runs, range-coded."""
-    c = transform(tiles(plane) - 128)[:, ZIGZAG]
-    q = np.array(table)[ZIGZAG]
-    k = np.sign(c) * ((np.abs(c) + q // 2) // q)
-    dc = C.tokens_encode([value_token(int(v)) for v in np.diff(k[:, 0], prepend=0)])
-    ac = C.tokens_encode([t for row in k[:, 1:] for t in block_tokens(row)])
-    return struct.pack("<IIII", *plane.shape, len(dc), len(ac)) + dc + ac
-
-
-def decode_lossy_plane(data: bytes, table: list[int]) -> np.ndarray:
-    h, w, n_dc, n_ac = struct.unpack_from("<IIII", data)
-    dc = np.cumsum([token_value(t) for t in C.tokens_decode(data[16 : 16 + n_dc])])
-    k = np.zeros((len(dc), 64), np.int64)
-    k[:, 0] = dc
-    block, place = 0, 1
-    for t in C.tokens_decode(data[16 + n_dc : 16 + n_dc + n_ac]):
-        if t[0] == 63:
-            block, place = block + 1, 1
-        elif t[0] < 63:
-            place += t[0]
-        else:
-            k[block, place] = token_value(t)
-            place += 1
-    raster = np.zeros_like(k)
-    raster[:, ZIGZAG] = k * np.array(table)[ZIGZAG]
-    return np.clip(untiled(inverse_dct(raster) + 128, h, w), 0, 255).astype(np.int64)
-
-
 def halve(plane: np.ndarray) -> np.ndarray:
     p = np.pad(plane, ((0, plane.shape[0] % 2), (0, plane.shape[1] % 2)), mode="edge")
     return (p[::2, ::2] + p[1::2, ::2] + p[::2, 1::2] + p[1::2, 1::2]) >> 2
@@ -138,13 +60,16 @@ def enlarge(plane: np.ndarray, h: int, w: int) -> np.ndarray:
     return np.floor(top * (1 - fy) + low * fy + 0.5).astype(np.int64)
 
 
-def encode_lossy(rgb: np.ndarray, quality: int = 75, subsample: bool = False) -> bytes:
+def encode_lossy(rgb: np.ndarray, quality: int = 75, subsample: bool = False, options: Lossy = Lossy()) -> bytes:
+    """Luma, then chroma planes, which may be told from the decoded luma."""
     luma, chroma = quant_table(quality), quant_table(chroma_quality(quality), True)
     y, cb, cr = to_ycbcr(rgb)
+    coded = [encode_plane(y, luma, options)]
+    reference = decode_plane(coded[0], luma)
     if subsample:
-        cb, cr = halve(cb), halve(cr)
-    chunks = [("QMAT", K.quant_chunk(quality, [luma, chroma, chroma]))]
-    chunks += [(n, encode_lossy_plane(p, t)) for n, p, t in zip(PLANES, (y, cb, cr), (luma, chroma, chroma), strict=True)]
+        cb, cr, reference = halve(cb), halve(cr), halve(reference)
+    coded += [encode_plane(p, chroma, options, reference) for p in (cb, cr)]
+    chunks = [("QMAT", K.quant_chunk(quality, [luma, chroma, chroma])), *zip(PLANES, coded, strict=True)]
     return K.pack(K.header(rgb.shape[1], rgb.shape[0], lossless=False, quality=quality, colorspace=0, subsampling=int(subsample)), chunks)
 
 
@@ -160,7 +85,10 @@ def decode(data: bytes) -> np.ndarray:
     if quant is None:
         raise C.Damaged("no quantiser tables")
     _, tables = K.parse_quant_chunk(quant)
-    y, cb, cr = (decode_lossy_plane(p, t) for p, t in zip(parts, tables * 3, strict=False))
+    tables = tables * 3 if len(tables) == 1 else tables
+    y = decode_plane(parts[0], tables[0])
+    reference = halve(y) if head["subsampling"] else y
+    cb, cr = (decode_plane(p, t, reference) for p, t in zip(parts[1:], tables[1:], strict=False))
     if head["subsampling"]:
         cb, cr = enlarge(cb, *y.shape), enlarge(cr, *y.shape)
     return from_ycbcr(y, cb, cr)
@@ -173,3 +101,18 @@ def info(data: bytes) -> dict[str, int]:
 def psnr(a: np.ndarray, b: np.ndarray, exact: float = 99.0) -> float:
     error = float(np.mean((a.astype(float) - b.astype(float)) ** 2))
     return exact if error == 0 else 10 * np.log10(255**2 / error)
+
+
+def quality_rows(rgb: np.ndarray, qualities: tuple[int, ...] = (50, 75, 90), options: Lossy = Lossy(), subsample: bool = False) -> list[tuple[int, int, float]]:
+    """(quality, bytes, PSNR) of an image at each quality."""
+    out = []
+    for q in qualities:
+        data = encode_lossy(rgb, q, subsample, options)
+        out.append((q, len(data), float(psnr(rgb, decode(data)))))
+    return out
+
+
+def screen_comparison(rgb: np.ndarray, quality: int = 75) -> tuple[int, int, float, float]:
+    """(bytes without and with palettes and copies, PSNR without and with)."""
+    (_, plain, a), (_, screen, b) = (quality_rows(rgb, (quality,), Lossy(screen=on))[0] for on in (False, True))
+    return plain, screen, a, b

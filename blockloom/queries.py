@@ -758,23 +758,57 @@ def container_headers(spark, d):
     return heads.join(sums, "id")
 
 
-@query()
-def image_compare(spark, d):
-    """Bytes and PSNR of lossless and lossy containers of a few made-up images."""
-    import pyarrow as pa
+def whole_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, rgb bytes, height): 192 lines of the plane make the three channels of 64 x 64 samples; a last part makes a lower one."""
+    lines = S.plane(spark, sf_dir).select(F.expr("y div 192").alias("id"), "y", "row")
+    return lines.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("y", "row"))).alias("l")).select("id", F.col("l.row").alias("rows"))
 
-    from blockloom.plans import images
+
+def of_images(spark, d, rows_of, schema: str) -> DataFrame:
+    """The rows (image, more) that a function makes of each image."""
 
     def each(batches):
+        import pyarrow as pa
+
         for b in batches:
             out = []
-            for seed in b.column("id").to_pylist():
-                y, x = np.mgrid[0:64, 0:64]
-                rgb = np.stack([(4 * x + seed) % 256, (4 * y) % 256, (2 * (x + y)) % 256], -1).astype(np.uint8)
-                whole = images.encode_lossless(rgb)
-                lossy = images.encode_lossy(rgb, 50 + 10 * seed)
-                out.append((seed, len(whole), bool((images.decode(whole) == rgb).all()), len(lossy), round(float(images.psnr(rgb, images.decode(lossy))), 4)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())], ["id", "lossless_bytes", "exact", "lossy_bytes", "psnr"])
-
-    return spark.range(0, 5, 1, 2).mapInArrow(each, "id long, lossless_bytes long, exact boolean, lossy_bytes long, psnr double")
+            for k, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = len(rows) // 3
+                if n:
+                    out += [(k, *r) for r in rows_of(np.stack([np.array(rows[c * n : (c + 1) * n]) for c in range(3)], axis=-1).astype(np.uint8))]
+            names = [x.split()[0] for x in schema.split(", ")]
+            kinds = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]] for x in schema.split(", ")]
+            cols = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    return whole_images(spark, d).mapInArrow(each, schema)
+
+
+@query()
+def image_compare(spark, d):
+    """Bytes and PSNR of lossless and lossy containers of each image."""
+    from blockloom.plans import images
+
+    def rows(rgb):
+        whole, lossy = images.encode_lossless(rgb), images.encode_lossy(rgb, 75)
+        yield len(whole), bool((images.decode(whole) == rgb).all()), len(lossy), round(float(images.psnr(rgb, images.decode(lossy))), 4)
+
+    return of_images(spark, d, rows, "id long, lossless_bytes long, exact boolean, lossy_bytes long, psnr double")
+
+
+@query()
+def quality_bench(spark, d):
+    """Bytes and PSNR of each image at three qualities, full and subsampled chroma."""
+    from blockloom.plans import images
+
+    rows = lambda rgb: ((int(sub), q, n, round(x, 4)) for sub in (False, True) for q, n, x in images.quality_rows(rgb, subsample=sub))
+    return of_images(spark, d, rows, "id long, subsampled long, quality long, n_bytes long, psnr double")
+
+
+@query()
+def screen_bench(spark, d):
+    """Palettes and copies on and off: bytes and PSNR of each image in steps of 64, and the differences."""
+    from blockloom.plans import images
+
+    got = of_images(spark, d, lambda rgb: [images.screen_comparison(rgb // 64 * 64)], "id long, plain_bytes long, screen_bytes long, plain_psnr double, screen_psnr double")
+    return got.withColumns({"saved_percent": A.savings(F.col("plain_bytes"), F.col("screen_bytes")), "gained_db": F.col("screen_psnr") - F.col("plain_psnr")})

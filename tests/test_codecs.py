@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from blockloom.config import PRESETS, GlobalLz, RouteGates, TileLz
 from blockloom.operators import codecs as C, lz
 from blockloom.operators.lz import Damaged
-from blockloom.plans import images, lossless, modes
+from blockloom.plans import images, lossless, lossy, modes
 from blockloom.sources import container as K, png
 
 STREAMS = [b"", b"a", b"ab", b"aaaaaaaa", bytes(range(256)), bytes(random.Random(1).choices(range(3), k=3000)), b"\0" * 100 + b"\1" + b"\0" * 50]
@@ -264,9 +264,7 @@ def test_all_routes_give_the_samples_back(samples):
 def test_blocks_of_all_kinds_are_coded():
     samples = four_kinds()
     assert set(np.unique(kinds_of(samples))) == {0, 1, 2, 3}
-    plain = np.full(kinds_of(samples).shape, 0)
     assert len(lossless.tile_encode(samples, lossless.PRESETS["balanced"])) < len(C.adaptive_encode(samples.astype(np.uint8).tobytes()))
-    assert plain.shape == (8, 9)
 
 
 def test_png_depths_and_damage():
@@ -286,3 +284,72 @@ def test_png_depths_and_damage():
     for bad in (b"", whole[:-20], whole.replace(b"IHDR", b"IHDX"), made((1, 1, 8, 2, 0, 0, 0), b"\0"), made((1, 1, 8, 2, 0, 0, 0), b"\7\1\2\3")):
         with pytest.raises((Damaged, struct.error)):
             png.read_png(bad)
+
+
+# ---- the lossy plan
+
+
+def picture(h=72, w=88):
+    y, x = np.mgrid[0:h, 0:w]
+    rgb = np.stack([128 + 100 * np.sin(x / 9 + y / 30), 128 + 90 * np.sin(x / 9 + y / 30 + 0.2), 60 + x + y / 2], -1)
+    rgb += np.random.default_rng(3).normal(0, 4, rgb.shape)
+    rgb[16:40, 24:56] = 200
+    rgb[20:30, 30:50] = (10, 20, 240)
+    rgb[48:64, 24:56] = rgb[16:32, 24:56]
+    return np.clip(rgb, 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("options", [lossy.Lossy(), lossy.Lossy(cfl=False), lossy.Lossy(adaptive=True), lossy.Lossy(screen=True), lossy.Lossy(True, True, True)])
+@pytest.mark.parametrize("subsample", [False, True])
+def test_lossy_images(options, subsample):
+    rgb = picture()
+    data = images.encode_lossy(rgb, 85, subsample, options)
+    assert images.psnr(rgb, images.decode(data)) > (27 if subsample else 30)
+    assert images.decode(data).shape == rgb.shape
+
+
+def test_parts_of_a_lossy_plane():
+    rgb = picture()
+    y, cb, _ = images.to_ycbcr(rgb)
+    table = images.quant_table(75)
+    whole = lossy.encode_plane(y, table, lossy.Lossy(screen=True, adaptive=True))
+    sizes = lossy.stream_sizes(whole)
+    assert sizes["kinds"] and sizes["palettes"] and sizes["vectors"] and sizes["deltas"]
+    assert len(whole) == 48 + sum(sizes.values())
+    fitted, plain = (lossy.encode_plane(cb, table, lossy.Lossy(cfl=on), y) for on in (True, False))
+    assert lossy.stream_sizes(fitted)["cfl"] and not lossy.stream_sizes(plain)["cfl"]
+    exact = lossy.decode_plane(lossy.encode_plane(np.tile(y[:8, :8] // 64 * 64, (4, 4)), table, lossy.Lossy(screen=True)), table)
+    assert (exact == np.tile(y[:8, :8] // 64 * 64, (4, 4))).all()
+
+
+def test_restart_points_give_the_same_plane(monkeypatch):
+    noise = np.random.default_rng(1).integers(0, 256, (64, 64))
+    table = images.quant_table(90)
+    plain = lossy.encode_plane(noise, table)
+    monkeypatch.setattr(lossy, "RESTART_BYTES", 0)
+    marked = lossy.encode_plane(noise, table)
+    assert lossy.stream_sizes(marked)["restarts"] and not lossy.stream_sizes(plain)["restarts"]
+    assert (lossy.decode_plane(marked, table) == lossy.decode_plane(plain, table)).all()
+
+
+def test_band_tokens_round_trip():
+    rng = np.random.default_rng(2)
+    for size in (15, 16, 32):
+        q = rng.integers(-3, 4, (40, size)) * (rng.random((40, size)) < 0.3)
+        tokens = [t for row in q for t in lossy.block_tokens(row)]
+        assert (lossy.from_block_tokens(tokens, 40, size) == q).all()
+
+
+def test_fits_are_those_of_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    from blockloom.operators import blocks as K2
+
+    rng = np.random.default_rng(6)
+    luma = rng.integers(0, 256, (30, 64))
+    chroma = np.clip(luma * rng.uniform(-0.9, 0.9, (30, 1)) + rng.normal(100, 20, (30, 64)), 0, 255).astype(int)
+    luma[3] = 90
+    table = lambda b: spark.createDataFrame([(i, [int(v) for v in r]) for i, r in enumerate(b)], "bi long, b array<int>")
+    want = K2.cfl_fit(table(luma), table(chroma), ["bi"]).orderBy("bi").select(F.col("alpha_q6"), F.col("beta"), F.col("applied")).collect()
+    alpha, beta, adopted = lossy.cfl_fit(luma, chroma)
+    assert list(zip(alpha.tolist(), beta.tolist(), adopted.tolist(), strict=True)) == [tuple(r) for r in want]

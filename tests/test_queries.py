@@ -7,7 +7,7 @@ import pytest
 
 from blockloom import more_queries, queries  # noqa: F401
 from blockloom.operators import codecs
-from blockloom.plans import lossless, modes
+from blockloom.plans import images, lossless, modes
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -126,9 +126,35 @@ def test_nearest_copies(spark, duck):
         assert got[by, bx] == best
 
 
-def test_image_compare(spark):
-    rows = queries.QUERIES["image_compare"](spark, DIR).collect()
-    assert rows and all(r["exact"] and r["psnr"] > 25 and r["lossy_bytes"] > 0 for r in rows)
+def image_of(duck, k=0):
+    rows = plane_of(duck)[192 * k : 192 * (k + 1)]
+    n = len(rows) // 3
+    return np.stack([rows[c * n : (c + 1) * n] for c in range(3)], axis=-1).astype(np.uint8)
+
+
+def test_image_compare(spark, duck):
+    rows = {r["id"]: r for r in queries.QUERIES["image_compare"](spark, DIR).collect()}
+    assert len(rows) == -(-len(plane_of(duck)) // 192) and all(r["exact"] for r in rows.values())
+    rgb = image_of(duck)
+    coded = images.encode_lossy(rgb, 75)
+    assert (rows[0]["lossless_bytes"], rows[0]["lossy_bytes"]) == (len(images.encode_lossless(rgb)), len(coded))
+    error = ((images.decode(coded).astype(float) - rgb) ** 2).mean()
+    assert abs(rows[0]["psnr"] - 10 * np.log10(255**2 / error)) < 1e-3
+
+
+def test_quality_bench(spark, duck):
+    rows = [r for r in queries.QUERIES["quality_bench"](spark, DIR).collect() if r["id"] == 0]
+    assert sorted((r["subsampled"], r["quality"]) for r in rows) == [(s, q) for s in (0, 1) for q in (50, 75, 90)]
+    full = {r["quality"]: r for r in rows if not r["subsampled"]}
+    assert full[50]["n_bytes"] < full[75]["n_bytes"] < full[90]["n_bytes"] and full[50]["psnr"] < full[90]["psnr"]
+    assert full[90]["n_bytes"] == len(images.encode_lossy(image_of(duck), 90))
+
+
+def test_screen_bench(spark, duck):
+    rows = {r["id"]: r for r in queries.QUERIES["screen_bench"](spark, DIR).collect()}
+    rgb = image_of(duck) // 64 * 64
+    assert rows[0]["plain_bytes"] == len(images.encode_lossy(rgb, 75))
+    assert all(abs(r["saved_percent"] - 100 * (1 - r["screen_bytes"] / r["plain_bytes"])) < 1e-9 and abs(r["gained_db"] - (r["screen_psnr"] - r["plain_psnr"])) < 1e-9 for r in rows.values())
 
 
 def test_all_queries_have_a_check():
