@@ -7,6 +7,27 @@ from dataclasses import dataclass
 
 UI, ANIME, PHOTO = 0, 1, 2
 
+# Colour coefficients in 256ths (fixed values): luma, blue and red difference of red, green and blue; and what red, green and
+# blue take of the red and blue differences.
+LUMA, BLUE_DIFFERENCE, RED_DIFFERENCE = (77, 150, 29), (-43, -85, 128), (128, -107, -21)
+RED_OF_RED, GREEN_OF_BLUE, GREEN_OF_RED, BLUE_OF_BLUE = 359, 88, 183, 454
+
+# Half bits of block modes (fixed values): a palette's head, a colour of one byte or of two, a pair's indices with few changes or
+# many, an index bit of all samples, what few changes save (changes up to, half bits), copies, and four quadrants.
+PALETTE_HEAD, COLOR, WIDE_COLOR = 20, 16, 32
+PAIR_CHANGES, PAIR_FEW, PAIR_MANY = 24, 48, 128
+PAIR_SAVES, MANY_SAVE = (16, 16), ((16, 96), (24, 64), (32, 32))
+INDEX_BIT = 128
+COPY_SMALL, COPY_ANY, COPY_PROFILE = 12, 68, {PHOTO: 8, ANIME: 6}
+QUADRANTS_COST, KEPT_MODE, RESCUE = 36, 4, 8
+ANIME_SAVES, BUSY_SAVES, BUSY_CHANGES, BUSY_VARIANCE = (60, 24), 32, 32, 30000
+
+# Limits of the profile's scores (fixed values).
+LEAST_BLOCKS, LEAST_SAMPLES = 64, 32
+EARLY_ANIME = (0.10, 6, 1.2)
+UI_RATE, UI_BINS, UI_DIFFERENCE = 0.90, 10, 12
+ANIME_RATE, ANIME_BINS, ANIME_DIFFERENCE = (0.60, 0.95), (8, 24), 28
+
 
 def setting_int(text: str | None, fallback: int, low: int, high: int, clamp_high: bool = False) -> int:
     """A whole number in [low, high]; anything else gives the fallback (above the range the limit, if ``clamp_high``)."""

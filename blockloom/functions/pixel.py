@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from blockloom import config
+
 
 def clamp(v: Column, low: int, high: int) -> Column:
     return F.when(v.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), v)))
@@ -20,15 +22,15 @@ def quotient(a: Column, b: int | Column) -> Column:
 
 
 def rgb_to_ycbcr(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    y = F.shiftright(77 * r + 150 * g + 29 * b, 8)
-    cb = F.shiftright(-43 * r - 85 * g + 128 * b, 8) + 128
-    cr = F.shiftright(128 * r - 107 * g - 21 * b, 8) + 128
-    return clamp(y, 0, 255), clamp(cb, 0, 255), clamp(cr, 0, 255)
+    """Integer luma and chroma, held in 0 to 255."""
+    part = lambda w: F.shiftright(w[0] * r + w[1] * g + w[2] * b, 8)
+    return clamp(part(config.LUMA), 0, 255), clamp(part(config.BLUE_DIFFERENCE) + 128, 0, 255), clamp(part(config.RED_DIFFERENCE) + 128, 0, 255)
 
 
 def ycbcr_to_rgb(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Column]:
     u, v = cb - 128, cr - 128
-    return clamp(y + F.shiftright(359 * v, 8), 0, 255), clamp(y - F.shiftright(88 * u + 183 * v, 8), 0, 255), clamp(y + F.shiftright(454 * u, 8), 0, 255)
+    green = F.shiftright(config.GREEN_OF_BLUE * u + config.GREEN_OF_RED * v, 8)
+    return clamp(y + F.shiftright(config.RED_OF_RED * v, 8), 0, 255), clamp(y - green, 0, 255), clamp(y + F.shiftright(config.BLUE_OF_BLUE * u, 8), 0, 255)
 
 
 def rgb_to_ycocg(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:

@@ -62,8 +62,14 @@ def grid(spark, **axes: list) -> DataFrame:
     return out
 
 
+#: Settings in a list of pairs.
+MOST_SETTINGS = 10_000
+
+
 def pairs(low: DataFrame, high: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs with a < b of two short lists."""
+    """Pairs with a < b of two lists of settings; the second is broadcast, so its length is checked."""
+    if high.limit(MOST_SETTINGS + 1).count() > MOST_SETTINGS:
+        raise ValueError(f"more than {MOST_SETTINGS} settings")
     return low.join(F.broadcast(high), F.col(a) < F.col(b))
 
 

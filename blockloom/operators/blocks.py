@@ -5,7 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from blockloom.config import ANIME, PHOTO, ModeParams
+from blockloom import config
+from blockloom.config import ANIME, PHOTO, UI, ModeParams
 from blockloom.functions.pixel import PREDICTORS, SMALL_VECTORS, clamp, palette_bits, quotient, residual_cost
 from blockloom.operators.planes import neighbours, summed_costs
 
@@ -43,18 +44,23 @@ def palette_cost(colors: Column, changes: Column, profile: int) -> Column:
     """Half bits of a palette block."""
     n = F.size(colors)
     wide = F.size(F.filter(colors, lambda v: (v < -128) | (v > 127)))
-    head = 20 + (n - wide) * 16 + wide * 32
-    pair = head + F.when(changes <= 24, 48).otherwise(128)
+    values = (n - wide) * config.COLOR + wide * config.WIDE_COLOR
+    head = config.PALETTE_HEAD + values
+    pair = head + F.when(changes <= config.PAIR_CHANGES, config.PAIR_FEW).otherwise(config.PAIR_MANY)
+    many = head + config.INDEX_BIT * palette_bits(n)
     if profile != PHOTO:
-        pair = pair - F.when(changes <= 16, 16).otherwise(0)
-        many = head + 128 * palette_bits(n) - F.when(changes <= 16, 96).when(changes <= 24, 64).when(changes <= 32, 32).otherwise(0)
+        pair = pair - F.when(changes <= config.PAIR_SAVES[0], config.PAIR_SAVES[1]).otherwise(0)
+        saved = F.when(F.lit(False), 0)
+        for most, half_bits in config.MANY_SAVE:
+            saved = saved.when(changes <= most, half_bits)
+        many = many - saved.otherwise(0)
     else:
-        many = head + 128 * palette_bits(n) + (n - wide) * 16 + wide * 32
+        many = many + values
     return F.when(n == 0, NEVER).when(n <= 1, head).when(n == 2, pair).otherwise(many)
 
 
 def copy_cost(profile: int, small: bool = True) -> int:
-    return (12 if small else 68) + {PHOTO: 8, ANIME: 6}.get(profile, 0)
+    return (config.COPY_SMALL if small else config.COPY_ANY) + config.COPY_PROFILE.get(profile, 0)
 
 
 def copy_matches(blocks: DataFrame) -> DataFrame:
@@ -105,14 +111,14 @@ def candidates(plane: DataFrame, blocks: DataFrame, profile: int) -> DataFrame:
     fits = F.col("colors").isNotNull() & (size <= params.palette_max_colors) & ((F.col("transitions") <= params.palette_transition_limit) | (size <= 1)) & (F.col("variance") <= params.palette_variance_limit)
     cost = palette_cost(F.col("colors"), changes, profile)
     if profile == ANIME:
-        cost = cost - F.when((size >= 2) & (changes <= 60), 24).otherwise(0)
-    rescued = (F.lit(profile != PHOTO) & F.col("colors").isNotNull() & (cost + 8 < F.col("filter_bits"))) if profile != PHOTO else F.lit(False)
-    bias = F.when((changes <= 32) & (F.col("variance") >= 30000), 32).otherwise(0) if profile != PHOTO else F.lit(0)
+        cost = cost - F.when((size >= 2) & (changes <= config.ANIME_SAVES[0]), config.ANIME_SAVES[1]).otherwise(0)
+    rescued = (F.lit(profile != PHOTO) & F.col("colors").isNotNull() & (cost + config.RESCUE < F.col("filter_bits"))) if profile != PHOTO else F.lit(False)
+    bias = F.when((changes <= config.BUSY_CHANGES) & (F.col("variance") >= config.BUSY_VARIANCE), config.BUSY_SAVES).otherwise(0) if profile != PHOTO else F.lit(0)
     copy = F.col("copy_candidate").isNotNull()
     return both.select(
         *KEY,
         F.when(copy, copy_cost(profile)).otherwise(NEVER).alias("copy_bits"),
-        F.when(~copy & F.col("tile4").isNotNull(), 36).otherwise(NEVER).alias("tile4_bits"),
+        F.when(~copy & F.col("tile4").isNotNull(), config.QUADRANTS_COST).otherwise(NEVER).alias("tile4_bits"),
         F.when(~copy & F.coalesce(fits | rescued, F.lit(False)), cost - bias).otherwise(NEVER).alias("palette_bits"),
         "filter_bits",
         F.coalesce("copy_candidate", F.lit(-1)).alias("copy_candidate"),
@@ -139,7 +145,7 @@ def walked(bits: list[tuple[int, ...]], last: int) -> list[int]:
         if own[2] < NEVER:
             last = 2
         else:
-            less = [cost - 4 * (mode == last and cost < NEVER) for mode, cost in enumerate(own)]
+            less = [cost - config.KEPT_MODE * (mode == last and cost < NEVER) for mode, cost in enumerate(own)]
             last = min((3, 2, 1, 0), key=less.__getitem__)  # ties go to the first
         out.append(last)
     return out
@@ -226,9 +232,11 @@ def profile(features: DataFrame) -> DataFrame:
     """0 UI, 1 anime, 2 photo, by scores of the features."""
     rate, bins, diff = F.col("copy_rate"), F.col("active_bins"), F.col("mean_diff")
     one = lambda cond, n: F.when(cond, n).otherwise(0)
-    ui = one(rate >= 0.90, 3) + one(bins <= 10, 2) + one(diff <= 12, 1)
-    anime = one((rate >= 0.60) & (rate < 0.95), 2) + one((bins >= 8) & (bins <= 24), 2) + one(diff <= 28, 2)
-    kind = F.when((F.col("n_blocks") < 64) | (F.col("samples") < 32), 2).when((rate >= 0.10) & (bins <= 6) & (diff <= 1.2), 1).when(ui >= anime + 2, 0).when(anime >= 3, 1).otherwise(2)
+    ui = one(rate >= config.UI_RATE, 3) + one(bins <= config.UI_BINS, 2) + one(diff <= config.UI_DIFFERENCE, 1)
+    anime = one((rate >= config.ANIME_RATE[0]) & (rate < config.ANIME_RATE[1]), 2) + one(bins.between(*config.ANIME_BINS), 2) + one(diff <= config.ANIME_DIFFERENCE, 2)
+    few = (F.col("n_blocks") < config.LEAST_BLOCKS) | (F.col("samples") < config.LEAST_SAMPLES)
+    early = (rate >= config.EARLY_ANIME[0]) & (bins <= config.EARLY_ANIME[1]) & (diff <= config.EARLY_ANIME[2])
+    kind = F.when(few, PHOTO).when(early, ANIME).when(ui >= anime + 2, UI).when(anime >= 3, ANIME).otherwise(PHOTO)
     return features.withColumn("profile", kind)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from blockloom.config import PRESETS
+from blockloom.config import BLUE_DIFFERENCE, BLUE_OF_BLUE, GREEN_OF_BLUE, GREEN_OF_RED, LUMA, PRESETS, RED_DIFFERENCE, RED_OF_RED
 from blockloom.functions.block import chroma_quality, quant_table
 from blockloom.operators import codecs as C
 from blockloom.plans.lossless import decode_band, encode_band
@@ -29,13 +29,14 @@ def from_ycocg(y: np.ndarray, co: np.ndarray, cg: np.ndarray) -> np.ndarray:
 
 
 def to_ycbcr(rgb: np.ndarray) -> list[np.ndarray]:
-    r, g, b = (rgb[..., k].astype(np.int64) for k in range(3))
-    return [np.clip(v, 0, 255) for v in ((77 * r + 150 * g + 29 * b) >> 8, ((-43 * r - 85 * g + 128 * b) >> 8) + 128, ((128 * r - 107 * g - 21 * b) >> 8) + 128)]
+    planes = rgb.astype(np.int64) @ np.array((LUMA, BLUE_DIFFERENCE, RED_DIFFERENCE)).T >> 8
+    return [np.clip(planes[..., k] + center, 0, 255) for k, center in enumerate((0, 128, 128))]
 
 
 def from_ycbcr(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
     u, v = cb - 128, cr - 128
-    return np.clip(np.stack([y + ((359 * v) >> 8), y - ((88 * u + 183 * v) >> 8), y + ((454 * u) >> 8)], axis=-1), 0, 255).astype(np.uint8)
+    steps = (RED_OF_RED * v >> 8, -(GREEN_OF_BLUE * u + GREEN_OF_RED * v >> 8), BLUE_OF_BLUE * u >> 8)
+    return np.clip(np.stack([y + s for s in steps], axis=-1), 0, 255).astype(np.uint8)
 
 
 def encode_lossless(rgb: np.ndarray, preset: str = "balanced") -> bytes:

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from blockloom import config
 from blockloom.config import ANIME, PHOTO, UI
 from blockloom.functions.pixel import SMALL_VECTORS
 from blockloom.operators.blocks import NEVER, QUADRANT_VECTORS, copy_cost, mode_params
@@ -51,15 +52,17 @@ def palette_of(block: np.ndarray) -> tuple[list[int], list[int]]:
 def palette_cost(colors: list[int], changes: int, profile: int) -> int:
     """Half bits of a palette block; the Column form is ``operators.blocks.palette_cost``."""
     n, wide = len(colors), sum(not -128 <= v <= 127 for v in colors)
-    head = 20 + (n - wide) * 16 + wide * 32
+    values = (n - wide) * config.COLOR + wide * config.WIDE_COLOR
+    cost = config.PALETTE_HEAD + values
     if n <= 1:
-        return head
+        return cost
     if n == 2:
-        return head + (48 if changes <= 24 else 128) - (16 if profile != PHOTO and changes <= 16 else 0)
-    index = 128 * (n - 1).bit_length() if n <= 4 else 384
+        few, saves = config.PAIR_SAVES
+        return cost + (config.PAIR_FEW if changes <= config.PAIR_CHANGES else config.PAIR_MANY) - (saves if profile != PHOTO and changes <= few else 0)
+    cost += config.INDEX_BIT * (n - 1).bit_length() if n <= 4 else config.INDEX_BIT * 3
     if profile == PHOTO:
-        return head + index + (n - wide) * 16 + wide * 32
-    return head + index - (96 if changes <= 16 else 64 if changes <= 24 else 32 if changes <= 32 else 0)
+        return cost + values
+    return cost - next((saves for most, saves in config.MANY_SAVE if changes <= most), 0)
 
 
 def half_bits(magnitude: np.ndarray, photo: bool) -> np.ndarray:
@@ -72,14 +75,15 @@ def profile_of(grid: np.ndarray, copies: np.ndarray) -> int:
     n = grid.shape[0] * grid.shape[1]
     every = 1 if n < 256 else 2 if n < 1024 else 4
     some, hit = grid[::every, ::every].reshape(-1, 8, 8), copies[::every, ::every].ravel() >= 0
-    if n < 64 or len(some) < 32:
+    if n < config.LEAST_BLOCKS or len(some) < config.LEAST_SAMPLES:
         return PHOTO
     rate, bins = float(hit.mean()), len(np.unique(np.clip(some, 0, 255) // 16))
     change = (np.abs(np.diff(some, axis=1)).sum() + np.abs(np.diff(some, axis=2)).sum()) / (len(some) * 64)
-    if rate >= 0.10 and bins <= 6 and change <= 1.2:
+    early = config.EARLY_ANIME
+    if rate >= early[0] and bins <= early[1] and change <= early[2]:
         return ANIME
-    ui = 3 * (rate >= 0.90) + 2 * (bins <= 10) + (change <= 12)
-    anime = 2 * (0.60 <= rate < 0.95) + 2 * (8 <= bins <= 24) + 2 * (change <= 28)
+    ui = 3 * (rate >= config.UI_RATE) + 2 * (bins <= config.UI_BINS) + (change <= config.UI_DIFFERENCE)
+    anime = 2 * (config.ANIME_RATE[0] <= rate < config.ANIME_RATE[1]) + 2 * (config.ANIME_BINS[0] <= bins <= config.ANIME_BINS[1]) + 2 * (change <= config.ANIME_DIFFERENCE)
     return UI if ui >= anime + 2 else ANIME if anime >= 3 else PHOTO
 
 
@@ -105,12 +109,12 @@ def decide(samples: np.ndarray, filter_bits: np.ndarray, profile: int | None = N
         if copies[by, bx] >= 0:
             kind = COPY
         else:
-            costs = {QUADRANTS: 36 if (four[by, bx] >= 0).all() else NEVER, COPY: NEVER, PALETTE: NEVER, FILTER: int(filter_bits[by, bx])}
+            costs = {QUADRANTS: config.QUADRANTS_COST if (four[by, bx] >= 0).all() else NEVER, COPY: NEVER, PALETTE: NEVER, FILTER: int(filter_bits[by, bx])}
             if len(np.unique(block)) <= MOST_COLORS:
                 colors, index = palette_of(block)
                 costs[PALETTE] = offered(block, colors, index, costs[FILTER], params, profile)
             if profile == PHOTO:
-                costs = {k: c - 4 * (k == last and c < NEVER) for k, c in costs.items()}
+                costs = {k: c - config.KEPT_MODE * (k == last and c < NEVER) for k, c in costs.items()}
             kind = min(costs, key=costs.get)  # ties go to the first
         out.kinds[by, bx] = last = kind
         if kind == PALETTE:
@@ -127,9 +131,9 @@ def offered(block: np.ndarray, colors: list[int], index: list[int], filter_bits:
     changes, turns = int((np.diff(index) != 0).sum()), int((np.diff(block) != 0).sum())
     variance = int((block * block).sum()) - int(block.sum()) ** 2 // 64
     cost = palette_cost(colors, changes, profile)
-    if profile == ANIME and len(colors) >= 2 and changes <= 60:
-        cost -= 24
+    if profile == ANIME and len(colors) >= 2 and changes <= config.ANIME_SAVES[0]:
+        cost -= config.ANIME_SAVES[1]
     fits = len(colors) <= params.palette_max_colors and (turns <= params.palette_transition_limit or len(colors) <= 1) and variance <= params.palette_variance_limit
-    if not fits and (profile == PHOTO or cost + 8 >= filter_bits):
+    if not fits and (profile == PHOTO or cost + config.RESCUE >= filter_bits):
         return NEVER
-    return cost - (32 if profile != PHOTO and changes <= 32 and variance >= 30000 else 0)
+    return cost - (config.BUSY_SAVES if profile != PHOTO and changes <= config.BUSY_CHANGES and variance >= config.BUSY_VARIANCE else 0)
