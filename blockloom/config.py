@@ -117,26 +117,37 @@ class LoModes:
 
 @dataclass(frozen=True)
 class RouteGates:
+    """When the other routes are tried, and what they must save: permille by profile of the screen route."""
+
     screen_min_pixels: int = 4096
     natural_min_pixels: int = 262_144
     natural_min_unique: int = 128
-    screen_permille: int = 995
-    natural_permille: int = 1000
+    screen_max_colors: int = 64
+    screen_permille: tuple[int, int, int] = (995, 990, 1000)
+    natural: NaturalGate = NaturalGate()
+    chroma: ChromaGate = ChromaGate()
+    #: Tries both routes whatever a band looks like.
+    always: bool = False
 
 
 @dataclass(frozen=True)
 class Preset:
-    """What an encoder preset turns on."""
+    """What an encoder preset turns on: the lines' cost, routes for luma and chroma planes, and how the natural route searches."""
 
     name: str
-    row_cost: str
-    compare_routes: bool
-    natural_routes: bool
-    optimal_parse: bool
+    row_cost: str = "sad"
+    luma_routes: bool = True
+    chroma_routes: bool = True
+    photo_chroma_routes: bool = True
+    careful_chroma: bool = False
+    nice_length: int = 255
+    search: str = "greedy"
+    probe_low_bytes: bool = False
 
 
 PRESETS = {
-    "fast": Preset("fast", "sad", False, False, False),
-    "balanced": Preset("balanced", "sad", True, True, False),
-    "max": Preset("max", "lzcost", True, True, True),
+    "fast": Preset("fast", luma_routes=False, chroma_routes=False, careful_chroma=True, nice_length=64, probe_low_bytes=True),
+    "balanced": Preset("balanced", photo_chroma_routes=False),
+    "max": Preset("max", row_cost="entropy", search="lazy", probe_low_bytes=True),
+    "smallest": Preset("smallest", row_cost="entropy", search="optimal"),
 }

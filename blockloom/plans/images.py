@@ -40,7 +40,7 @@ def from_ycbcr(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
 
 
 def encode_lossless(rgb: np.ndarray, preset: str = "balanced") -> bytes:
-    chunks = [(name, encode_band(p, PRESETS[preset])) for name, p in zip(PLANES, to_ycocg(rgb), strict=True)]
+    chunks = [(name, encode_band(p, PRESETS[preset], chroma=k > 0)) for k, (name, p) in enumerate(zip(PLANES, to_ycocg(rgb), strict=True))]
     return K.pack(K.header(rgb.shape[1], rgb.shape[0]), chunks)
 
 

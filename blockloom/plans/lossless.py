@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from blockloom.config import PRESETS, LoModes, Preset, RouteGates
+from blockloom.config import PHOTO, PRESETS, GlobalLz, LoModes, NaturalGate, Preset, RouteGates
 from blockloom.functions.pixel import quotient
 from blockloom.operators import codecs as C
 from blockloom.plans import modes as M
@@ -176,11 +176,11 @@ DECODERS: dict[str, Callable[[bytes, int], bytes]] = {
 }
 
 
-def lo_candidates(lines: list[np.ndarray], filters: np.ndarray, gates: LoModes = LoModes(), photo: bool = True) -> list[tuple[int, bytes]]:
-    """(mode, payload) of every way to code the low bytes (of lines of any length) that the gates let in."""
+def lo_candidates(lines: list[np.ndarray], filters: np.ndarray, gates: LoModes = LoModes(), photo: bool = True, probe: bool = True) -> list[tuple[int, bytes]]:
+    """(mode, payload) of every way to code the low bytes (of lines of any length) that the gates let in; ``probe``: LZ on a sample first."""
     raw = b"".join(x.astype(np.uint8).tobytes() for x in lines)
     out = [(0, C.adaptive_encode(raw)), (1, C.adaptive_encode(delta(raw)))]
-    if not raw or not C.probe(raw):
+    if not raw or (probe and not C.probe(raw)):
         return out
     lz = C.lz_compress(raw)
     out.append((2, lz))
@@ -206,9 +206,9 @@ def choose(candidates: list[tuple[int, bytes]], permille: dict[int, int]) -> tup
     return mode, best
 
 
-def lo_encode(lines: list[np.ndarray], filters: np.ndarray, gates: LoModes = LoModes()) -> bytes:
+def lo_encode(lines: list[np.ndarray], filters: np.ndarray, gates: LoModes = LoModes(), probe: bool = False) -> bytes:
     permille = {1: gates.delta_permille, 4: gates.contexts_permille, 5: gates.lz_rans_permille, 6: gates.lz_rans_permille, 7: gates.contexts_permille, 8: gates.lz_rans_permille}
-    mode, payload = choose(lo_candidates(lines, filters, gates), permille)
+    mode, payload = choose(lo_candidates(lines, filters, gates, probe=probe), permille)
     return bytes((mode,)) + payload
 
 
@@ -239,14 +239,26 @@ def all_residuals(samples: np.ndarray, photo: bool = False) -> tuple[list[int],
     return kinds, np.stack([samples - predictions(samples, k) for k in kinds])
 
 
-def line_filters(kinds: list[int], residuals: np.ndarray, used: np.ndarray, model: str) -> np.ndarray:
-    """The predictor of each line over its samples in use: by sums of magnitudes, or the better two of those by LZ cost."""
-    cost = (np.abs(residuals) * used[None]).sum(axis=2)
-    if model == "lzcost":
+def line_entropy(r: np.ndarray) -> int:
+    _, n = np.unique(r, return_counts=True)
+    return int(round((n.sum() * np.log2(n.sum()) - (n * np.log2(n)).sum()) * 64))
+
+
+def line_filters(kinds: list[int], residuals: np.ndarray, used: np.ndarray, model: str, photo: bool = False) -> np.ndarray:
+    """The predictor of each line over its samples in use.
+
+    By sums of magnitudes, by half bits, or the best two by half bits judged by entropy or by LZ cost.
+    """
+    if model == "sad":
+        cost = (np.abs(residuals) * used[None]).sum(axis=2)
+    else:
+        cost = (M.half_bits(np.abs(residuals), photo) * used[None]).sum(axis=2)
+    if model in ("entropy", "lzcost"):
         for y in np.flatnonzero(used.any(axis=1)):
             some = np.argsort(cost[:, y], kind="stable")[:2]
-            fine = [C.lz_row_cost((residuals[k, y][used[y]] & 255).astype(np.uint8).tobytes()) for k in some]
-            cost[some[int(np.argmin(fine))], y] = -1
+            parts = [residuals[k, y][used[y]] for k in some]
+            fine = [line_entropy(r) if model == "entropy" else C.lz_row_cost((r & 255).astype(np.uint8).tobytes()) for r in parts]
+            cost[min(zip(fine, some.tolist(), strict=True))[1], y] = -1
     return np.array(kinds)[cost.argmin(axis=0)]
 
 
@@ -269,7 +281,7 @@ def tile_encode(samples: np.ndarray, preset: Preset) -> bytes:
     quadrants = bytes(b for q in decided.quadrants for b in (q[0] | q[1] << 4, q[2] | q[3] << 4))
     parts = [
         C.smallest(filters.astype(np.uint8).tobytes(), 0xA9),
-        lo_encode([x & 255 for x in lines], filters) if count else b"",
+        lo_encode([x & 255 for x in lines], filters, probe=preset.probe_low_bytes) if count else b"",
         C.sparse_encode(high.astype(np.uint8).tobytes()) if count else b"",
         C.smallest(C.type_runs(decided.kinds.ravel().tolist()), 0xA6),
         C.smallest(C.palette_encode(decided.palettes), 0xA7) if decided.palettes else b"",
@@ -410,7 +422,8 @@ def natural_modes(samples: np.ndarray, preset: Preset) -> list[tuple[int, bytes]
     coded = C.adaptive_encode(plain)
     packed = (1, coded) if len(coded) < len(plain) else (0, plain)
     names = struct.pack("<BII", packed[0], len(ids), len(packed[1])) + packed[1]
-    search = C.lz_optimal(raw) if preset.optimal_parse else C.lz_global(raw, lazy=True)
+    params = GlobalLz(nice_length=preset.nice_length)
+    search = C.lz_optimal(raw, params) if preset.search == "optimal" else C.lz_global(raw, params, lazy=preset.search == "lazy")
     for mode, lz in ((1, C.lz_compress(raw)), (2, search)):
         body = C.shared_encode(lz, C.lz_model())
         out.append((mode, head(mode, len(ids), len(raw), len(body)) + names + body))
@@ -473,25 +486,59 @@ def by_contexts(flat: list[int], rough: list[int], filters: np.ndarray, h: int,
     return out
 
 
-def routes(samples: np.ndarray, preset: Preset, gates: RouteGates) -> list[tuple[str, bytes]]:
-    """The tile route, and the others that their cheap conditions let in."""
-    out = [("tile", tile_encode(samples, preset))]
-    if preset.compare_routes and samples.size >= gates.screen_min_pixels and (screen := screen_encode(samples)) is not None:
-        out.append(("screen", screen))
-    if preset.natural_routes and samples.size >= gates.natural_min_pixels and len(np.unique(samples)) >= gates.natural_min_unique:
-        out.append(("natural", natural_encode(samples, preset)))
+def preflight(samples: np.ndarray, cap: int = 192) -> dict[str, int]:
+    """Distinct sampled values, and mean run, mean difference and run density times 100; the array form of ``operators.planes.preflight``."""
+    h, w = samples.shape
+    unique = min(len(np.unique(samples[:: max(1, h // 64), :: max(1, w // 64)])), cap + 1)
+    lines = samples[:: max(1, h // max(1, min(h, 32)))]
+    steps = np.abs(np.diff(lines, axis=1))
+    runs, hundred = len(lines) + int((steps > 0).sum()), lambda a, b: min(65535, int(np.floor(100 * a / b + 0.5))) if b else 0
+    return {"unique": unique, "run": hundred(lines.size, runs), "difference": hundred(int(steps.sum()), steps.size), "entropy": hundred(runs, lines.size)}
+
+
+def likely_screen(m: dict[str, int]) -> bool:
+    return (m["unique"] <= 48 or (m["unique"] <= 96 and m["run"] >= 280)) and not (m["difference"] >= 2200 and m["unique"] > 96)
+
+
+def natural_like(m: dict[str, int], gate: NaturalGate) -> bool:
+    return not likely_screen(m) and m["unique"] >= gate.unique_min and m["run"] <= gate.avg_run_max and m["difference"] >= gate.mean_diff_min and m["entropy"] >= gate.entropy_min
+
+
+def tried(m: dict[str, int], pixels: int, profile: int, gates: RouteGates) -> tuple[bool, bool]:
+    """Whether the screen and the natural route are tried."""
+    if gates.always:
+        return True, True
+    natural = natural_like(m, gates.natural)
+    screen = pixels >= gates.screen_min_pixels and likely_screen(m) and not (natural and profile == PHOTO)
+    return screen, pixels >= gates.natural_min_pixels and natural and m["unique"] >= gates.natural_min_unique
+
+
+def routes(samples: np.ndarray, preset: Preset, gates: RouteGates, chroma: bool = False) -> list[tuple[int, bytes]]:
+    """(route, payload): that of tiles, and the others that the preset and a cheap look at the band let in."""
+    out = [(TILE, tile_encode(samples, preset))]
+    if not (preset.chroma_routes if chroma else preset.luma_routes):
+        return out
+    m = preflight(samples)
+    grid = M.cells(M.padded(samples), 8)
+    profile = M.profile_of(grid, M.first_match(grid, [(x // 8, y // 8) for x, y in M.SMALL_VECTORS]))
+    if chroma and not gates.always:
+        if profile == PHOTO and not preset.photo_chroma_routes:
+            return out
+        if preset.careful_chroma and (m["difference"] > gates.chroma.mean_diff_max or m["run"] < gates.chroma.avg_run_min):
+            return out
+    try_screen, try_natural = tried(m, samples.size, profile, gates)
+    base = len(out[0][1])
+    if try_screen and (screen := screen_encode(samples, gates.screen_max_colors)) is not None and len(screen) * 1000 <= base * gates.screen_permille[profile]:
+        out.append((SCREEN, screen))
+    if try_natural and len(natural := natural_encode(samples, preset)) <= base:
+        out.append((NATURAL, natural))
     return out
 
 
-def encode_band(samples: np.ndarray, preset: Preset = PRESETS["balanced"], gates: RouteGates = RouteGates()) -> bytes:
-    """The route's number, the band's size, and the bytes of the route that won."""
-    options = routes(samples.astype(np.int64), preset, gates)
-    margin = {"screen": gates.screen_permille, "natural": gates.natural_permille}
-    best = options[0]
-    for name, payload in options[1:]:
-        if len(payload) < len(best[1]) and len(payload) * 1000 <= len(best[1]) * margin[name]:
-            best = (name, payload)
-    return with_size(samples, {"tile": TILE, "screen": SCREEN, "natural": NATURAL}[best[0]], best[1])
+def encode_band(samples: np.ndarray, preset: Preset = PRESETS["balanced"], gates: RouteGates = RouteGates(), chroma: bool = False) -> bytes:
+    """The route's number, the band's size, and the bytes of the smallest route; the first of equal ones."""
+    samples = samples.astype(np.int64)
+    return with_size(samples, *min(routes(samples, preset, gates, chroma), key=lambda r: len(r[1])))
 
 
 def with_size(samples: np.ndarray, route: int, payload: bytes) -> bytes:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from blockloom.config import PRESETS, GlobalLz, RouteGates, TileLz
+from blockloom.config import PRESETS, GlobalLz, NaturalGate, RouteGates, TileLz
 from blockloom.operators import codecs as C, lz
 from blockloom.operators.lz import Damaged
 from blockloom.plans import images, lossless, lossy, modes
@@ -251,7 +251,7 @@ def four_kinds():
 @pytest.mark.parametrize("samples", [four_kinds(), np.zeros((1, 1), int), np.random.default_rng(1).integers(-300, 300, (13, 21)), np.tile(np.arange(9) * 7, (17, 3))])
 def test_all_routes_give_the_samples_back(samples):
     samples = samples.astype(np.int64)
-    open_gates = RouteGates(screen_min_pixels=1, natural_min_pixels=1, natural_min_unique=1)
+    open_gates = RouteGates(always=True)
     for preset in lossless.PRESETS.values():
         assert (lossless.decode_band(lossless.encode_band(samples, preset, open_gates)) == samples).all()
         for _, payload in lossless.natural_modes(samples, preset):
@@ -353,3 +353,25 @@ def test_fits_are_those_of_the_columns(spark):
     want = K2.cfl_fit(table(luma), table(chroma), ["bi"]).orderBy("bi").select(F.col("alpha_q6"), F.col("beta"), F.col("applied")).collect()
     alpha, beta, adopted = lossy.cfl_fit(luma, chroma)
     assert list(zip(alpha.tolist(), beta.tolist(), adopted.tolist(), strict=True)) == [tuple(r) for r in want]
+
+
+def test_a_look_at_the_band_is_that_of_the_columns(spark):
+    from blockloom.operators import planes as L
+
+    rng = np.random.default_rng(5)
+    for samples in (rng.integers(0, 256, (70, 90)), np.add.outer(np.arange(40), np.arange(64)) // 8, np.full((9, 9), 3), np.repeat(rng.integers(0, 60, (64, 16)), 8, axis=1)):
+        plane = spark.createDataFrame([("e", y, [int(v) for v in r]) for y, r in enumerate(samples)], "image_id string, y long, row array<int>")
+        want = L.natural_like(L.preflight(plane, samples.shape[1], samples.shape[0]), NaturalGate()).first()
+        m = lossless.preflight(samples)
+        assert [want[k] for k in ("unique_sample", "avg_run_x100", "mean_diff_x100", "entropy_x100")] == [m[k] for k in ("unique", "run", "difference", "entropy")]
+        assert (want["likely_screen"], want["natural_like"]) == (lossless.likely_screen(m), lossless.natural_like(m, NaturalGate()))
+
+
+def test_presets_choose_routes():
+    flat = np.repeat(np.random.default_rng(2).integers(0, 20, (64, 8)), 8, axis=1).astype(np.int64)
+    names = lambda preset, chroma=False, gates=RouteGates(): [r for r, _ in lossless.routes(flat, PRESETS[preset], gates, chroma)]
+    assert names("fast") == [lossless.TILE] and len(names("max", gates=RouteGates(always=True))) > 1
+    assert names("balanced") == names("max", chroma=True)
+    wide = np.cumsum(np.random.default_rng(3).integers(-9, 10, (512, 512)), axis=1).astype(np.int64)
+    assert lossless.tried(lossless.preflight(wide), wide.size, 2, RouteGates()) == (False, True)
+    assert lossless.tried(lossless.preflight(flat), flat.size, 0, RouteGates()) == (True, False)
