@@ -68,6 +68,20 @@ def positions(readings: Column, knots: Sequence[tuple[float, float]]) -> Column:
     return F.transform(readings, lambda u: position(u, knots))
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """Adds sid, the rank of the source in code-point order, null last: ranks inside ranges, and the ranges' counts before them."""
+    by_source = F.col("source").asc_nulls_last()
+    ranges = cut(sources.repartitionByRange(partitions(sources.sparkSession), by_source).withColumn("range", F.spark_partition_id()))
+    before, total = [], 0
+    for r in ranges.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect():
+        before += [F.lit(r["range"]), F.lit(total - 1)]
+        total += r["n"]
+    if not before:
+        return ranges.select(*sources.columns, F.lit(0).alias("sid"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(by_source))
+    return ranges.withColumn("sid", inside + F.element_at(F.create_map(*before), F.col("range"))).drop("range")
+
+
 def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weights: Sequence[int] = WEIGHTS) -> tuple[DataFrame, int]:
     """Per source (source_key, sid, source_size, target), and the number of sources.
 
@@ -75,9 +89,8 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weights: Sequence[in
     among the others; a round is one small aggregate, no row reaches the driver but its sums.
     """
     per_source = sizes.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    sid = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
-    table = cut(per_source.withColumn("sid", sid).withColumn("weight", weight))
+    table = cut(numbered(per_source).withColumn("weight", weight))
     n, total = table.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     level, cap = 0.0, F.col("source_size") * max_epochs
     while total:

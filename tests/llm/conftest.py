@@ -24,6 +24,8 @@ def odd_rows():
         (7, "x", "en", "c", 1),
         (8, "日本語 тест é́ \U0001f600 a b", "ja", "c", 9),
         (9, "a" * 200_000, "en", "c", 200_000),
+        (11, "1" * 100_000 + ".2.3", "en", "c", 100_004),
+        (12, "alpha " * 30_000, "en", "c", 180_000),
         (10, prose(2, 40) + " end", None, "a", 1),
     ]
 
