@@ -165,3 +165,32 @@ def test_block_search_query_reaches_64_samples(spark):
     want = {(r["by"], r["bx"]): r["sad"] for r in nearest_copies(queries.L.padded(queries.S.plane(spark, directory)), 64).collect()}
     near = {(r["by"], r["bx"]): r["sad"] for r in nearest_copies(queries.L.padded(queries.S.plane(spark, directory)), 16).collect()}
     assert got == want and got != near
+
+
+def test_windows_carry_over_between_bands(spark, monkeypatch):
+    """Differences, sums, ordinals and last values with three places in a band, gaps and several images."""
+    monkeypatch.setattr(L, "BAND", 3)
+    rng = np.random.default_rng(9)
+    rows = [(image, int(at), int(rng.integers(0, 9)), int(rng.integers(0, 3))) for image in "ab" for at in np.flatnonzero(rng.random(60) < 0.6)]
+    blocks = spark.createDataFrame(rows, "image_id string, bi long, dc long, kind long").repartition(5)
+    last, total, seen = {}, {}, {}
+    want = {}
+    for image, at, dc, kind in sorted(rows):
+        want[image, at] = (last.get(image), total.get(image, 0) + dc, seen.get((image, kind), 0))
+        last[image], total[image], seen[image, kind] = dc, total.get(image, 0) + dc, seen.get((image, kind), 0) + 1
+    out = L.ordinals(L.with_total(L.with_last(blocks, ["image_id"], "bi", "dc", "last"), ["image_id"], "bi", F.col("dc"), "total"))
+    assert {(r["image_id"], r["bi"]): (r["last"], r["total"], r["ordinal"]) for r in out.collect()} == want
+    back = L.dc_restored(L.dc_differences(blocks))
+    assert all(r["restored"] == r["dc"] for r in back.collect())
+
+
+def test_photo_modes_do_not_depend_on_the_parts(spark, monkeypatch):
+
+    rng = np.random.default_rng(12)
+    costs = [("e", by, bx, *(int(v) for v in rng.integers(20, 27, 4))) for by in range(9) for bx in range(5)]
+    costs = [(*c[:5], K.NEVER if c[5] < 26 else c[5], c[6]) for c in costs]
+    df = spark.createDataFrame(costs, "image_id string, by long, bx long, filter_bits long, palette_bits long, copy_bits long, tile4_bits long").repartition(4)
+    want = dict(zip([c[1:3] for c in costs], K.walked([c[3:] for c in costs], 0), strict=True))
+    for lines in (64, 2):
+        monkeypatch.setattr(K, "WALKED_LINES", lines)
+        assert {(r["by"], r["bx"]): r["mode"] for r in K.modes(df, PHOTO).collect()} == want
