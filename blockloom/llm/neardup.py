@@ -16,8 +16,8 @@ What keeps it linear with large groups:
   rounds end when no bucket holds two members of different components that were not compared, so
   no link between two members of a bucket is lost and no bucket is capped.  New links join the components
   found so far, as nodes of a smaller graph.
-* Where that would be too many comparisons (different texts with much boilerplate in common), the members of
-  open buckets are dealt anew, once, by an exact prefix filter: of a set of n shingles, ordered by how many members have
+* Where that is too many comparisons and a round of some of them joins little (different texts with much boilerplate in
+  common, not many copies of one), the members of open buckets are dealt anew, once, by an exact prefix filter, if that has fewer pairs: of a set of n shingles, ordered by how many members have
   them, the n - t n + 1 rarest are the keys.  Sets that are similar enough share one of them, so no link is
   lost, and what many members have in common is the key of few.
 
@@ -264,7 +264,7 @@ def find_links(spark, plain: DataFrame, classes: DataFrame, k: int, percent: int
 
     comp = components(cut(confirmed(pairs, sets, percent)))
     done = hits.limit(0).select("key", "cls")
-    turn, dealt = 0, False
+    turn, dealt, before = 0, False, None
     while True:
         placed = cut(hits.join(comp, "cls", "left").select("key", "cls", "n", F.coalesce("comp", "cls").alias("comp"), *bits))
         left = placed.join(done, ["key", "cls"], "left_anti") if turn else placed
@@ -273,12 +273,16 @@ def find_links(spark, plain: DataFrame, classes: DataFrame, k: int, percent: int
         work = open_buckets.agg(F.sum(F.col("outside") * F.col("open"))).first()[0]
         if not work:
             return comp
-        if not dealt and work > ROUND_FACTOR * n_hits:
+        if not dealt and work > ROUND_FACTOR * n_hits and before is not None and 2 * work > before:
+            # the last round joined little: these are different texts with much in common
             members = placed.join(open_buckets.select("key"), "key", "left_semi").select("cls").distinct()
-            keys = prefix_keys(cut(members), sets, percent)
-            hits = cut(keys.join(hits.drop("key").dropDuplicates(["cls"]), "cls").select("key", "cls", "n", *bits))
-            n_hits, dealt = max(n_hits, hits.count()), True
-            continue
+            keys = cut(prefix_keys(cut(members), sets, percent))
+            dealt = True
+            if (keys.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0) < work:
+                hits = cut(keys.join(hits.drop("key").dropDuplicates(["cls"]), "cls").select("key", "cls", "n", *bits))
+                n_hits = max(n_hits, hits.count())
+                continue
+        before = work
         # a bucket whose members are all connected stays so
         hits = cut(hits.join(open_buckets.select("key"), "key", "left_semi"))
         placed = placed.join(open_buckets.select("key"), "key", "left_semi")
