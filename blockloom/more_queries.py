@@ -161,7 +161,7 @@ def baseline_file(spark, d):
     more = ",".join(["0"] * 11)
     rows = S.table(spark, d, "orders").select("o_orderkey", F.concat_ws(",", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.lit(more)).alias("value"))
     noise = spark.createDataFrame([(-3, "image_id,run," + more), (-2, ""), (-1, "1,2,3")], "o_orderkey long, value string")
-    rows.union(noise).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    rows.union(noise).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
     return logs.baseline(spark, path, ["image_id", "run"])
 
 

@@ -65,8 +65,13 @@ def curve_rows(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def baseline(spark: SparkSession, path: str, columns: list[str], least: int = 13) -> DataFrame:
-    """A results file read by position: the header, blank and short lines are left out, the last row of a key wins."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    """A results file, or a folder of them in order of names, read by position: the header, blank and short lines are left out,
+    the last row of a key wins.
+
+    Files are read in any order and large ones in parts, so a line's place is its file, its part and its number there.
+    """
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", place.alias("at"))
     fields = F.split("value", ",", -1)
     rows = lines.where((F.trim("value") != "") & (F.size(fields) >= least) & (F.get(fields, F.lit(0)) != columns[0]))
     named = rows.select("at", *(F.get(fields, F.lit(k)).alias(c) for k, c in enumerate(columns)))
