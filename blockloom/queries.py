@@ -606,12 +606,22 @@ def log_regex_parse(spark, d):
 # ---- codecs and whole plans
 
 
-def same_bytes(streams: DataFrame, function) -> DataFrame:
+def same_bytes(streams: DataFrame, function, codec=C.map_streams) -> DataFrame:
     """MD5 of what a codec gives back; the SQL has that of the input."""
-    back = C.map_streams(streams, function, out="back")
+    back = codec(streams, function, out="back")
     return back.select("stream_id", F.md5("back").alias("digest"), F.octet_length("back").cast("long").alias("n"))
 
 
+def same_many(streams: DataFrame, function) -> DataFrame:
+    """same_bytes() of a codec of many streams."""
+    return same_bytes(streams, function, C.map_batches)
+
+
+def unpacked(coded: list[bytes], streams: list[bytes]) -> list[bytes | None]:
+    """LZ streams decoded to the sizes of what was coded."""
+    return C.lz_decompress_many(coded, [len(x) for x in streams])
+
+
 _SAME_DOCUMENTS = "SELECT doc_id AS stream_id, md5(text) AS digest, CAST(strlen(text) AS BIGINT) AS n FROM documents"
 
 
@@ -627,7 +637,7 @@ def lz_token_roundtrip(spark, d):
 
 @query(_SAME_DOCUMENTS)
 def lz_optimal_roundtrip(spark, d):
-    return same_bytes(S.byte_streams(spark, d), lambda x: C.lz_decompress(C.lz_optimal(x), len(x)))
+    return same_many(S.byte_streams(spark, d), lambda x: unpacked(C.lz_optimal_many(x), x))
 
 
 @query(_SAME_DOCUMENTS)
