@@ -648,7 +648,7 @@ def rans_roundtrip(spark, d):
 
 @query(_SAME_DOCUMENTS)
 def shared_model_roundtrip(spark, d):
-    return same_bytes(S.byte_streams(spark, d), lambda x: C.lz_decompress(C.shared_decode(C.shared_encode(C.lz_compress(x), C.lz_model()), C.lz_model()), len(x)))
+    return same_many(S.byte_streams(spark, d), lambda x: unpacked(C.shared_decode_many(C.shared_encode_many(C.lz_compress_many(x), C.lz_model()), C.lz_model()), x))
 
 
 @query(_SAME_DOCUMENTS)

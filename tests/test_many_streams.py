@@ -60,3 +60,9 @@ def test_streams_of_a_task_are_coded_together(spark):
     rows = spark.createDataFrame([(k, None if k % 5 == 0 else bytearray(b"x" * (k % 7))) for k in range(40)], "stream_id long, content binary").coalesce(1)
     got = C.map_batches(rows, lambda x: [len(x) if len(y) == len(x[0]) else -len(y) for y in x], out="n", kind="long").collect()
     assert [r["n"] for r in sorted(got)] == [None if k % 5 == 0 else 32 if k % 7 == 6 else -(k % 7) for k in range(40)]
+
+
+def test_one_model_for_many_streams(few):
+    coded = C.shared_encode_many(ODD, C.lz_model())
+    assert coded == [C.shared_encode(x, C.lz_model()) for x in ODD]
+    assert C.shared_decode_many([*coded, coded[5][:-1], b"abc"], C.lz_model()) == [*ODD, None, None]
