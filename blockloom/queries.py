@@ -664,17 +664,9 @@ def bit_pack_roundtrip(spark, d):
     return same_bytes(S.byte_streams(spark, d), lambda x: both(np.frombuffer(x, np.uint8)) if x else b"")
 
 
-def through_restarts(data: bytes, interval: int = 64) -> bytes:
-    """Decodes a stream part by part from its restart points."""
-    freq = C.model(C.laplace(data))
-    coded = C.rans_encode(data, freq)
-    points = C.restart_points(coded, len(data), freq, interval)
-    return b"".join(bytes(C.decode_part(coded, p, min(interval, len(data) - p.token), freq)) for p in points)
-
-
 @query(_SAME_DOCUMENTS)
 def restart_point_roundtrip(spark, d):
-    return same_bytes(S.byte_streams(spark, d), through_restarts)
+    return same_many(S.byte_streams(spark, d), C.through_restarts_many)
 
 
 @query(f"WITH {PLANE} SELECT y, CAST(sum(v * (x + 1)) AS BIGINT) AS weighted FROM plane GROUP BY y")

@@ -66,3 +66,13 @@ def test_one_model_for_many_streams(few):
     coded = C.shared_encode_many(ODD, C.lz_model())
     assert coded == [C.shared_encode(x, C.lz_model()) for x in ODD]
     assert C.shared_decode_many([*coded, coded[5][:-1], b"abc"], C.lz_model()) == [*ODD, None, None]
+
+
+def test_all_parts_from_restart_points_at_once(few):
+    assert C.through_restarts_many(ODD) == ODD
+    freqs = M.models(np.stack([C.laplace(x) for x in ODD]))
+    coded = M.encode_many([np.frombuffer(x, np.uint8) for x in ODD], freqs)
+    found, stream, before = M.restart_many(coded, np.array(SIZES), freqs, 64)
+    starts = np.cumsum([0, *map(len, coded)])
+    want = [(k, p.token, p.byte, p.states) for k, x in enumerate(coded) for p in C.restart_points(x, SIZES[k], freqs[k], 64)]
+    assert list(zip(stream.tolist(), before.tolist(), (found.pos - starts[stream]).tolist(), found.state.tolist(), strict=True)) == want
