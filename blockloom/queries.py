@@ -653,7 +653,7 @@ def shared_model_roundtrip(spark, d):
 
 @query(_SAME_DOCUMENTS)
 def wrapper_roundtrip(spark, d):
-    return same_bytes(S.byte_streams(spark, d), lambda x: C.unwrapped(C.smallest(x, 0xA9), 0xA9))
+    return same_many(S.byte_streams(spark, d), lambda x: C.unwrapped_many(C.smallest_many(x, 0xA9), 0xA9))
 
 
 @query(_SAME_DOCUMENTS)

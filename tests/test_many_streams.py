@@ -76,3 +76,10 @@ def test_all_parts_from_restart_points_at_once(few):
     starts = np.cumsum([0, *map(len, coded)])
     want = [(k, p.token, p.byte, p.states) for k, x in enumerate(coded) for p in C.restart_points(x, SIZES[k], freqs[k], 64)]
     assert list(zip(stream.tolist(), before.tolist(), (found.pos - starts[stream]).tolist(), found.state.tolist(), strict=True)) == want
+
+
+def test_the_smallest_forms_of_many_streams(few):
+    for permille in (980, 1000):
+        got = C.smallest_many(ODD, 0xA9, permille=permille)
+        assert got == [C.smallest(x, 0xA9, permille=permille) for x in ODD]
+        assert C.unwrapped_many(got, 0xA9) == ODD
