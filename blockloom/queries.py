@@ -719,7 +719,8 @@ def lz_sizes(spark, d):
 def codec_choice(spark, d):
     """The smallest of raw, range-coded and LZ for each stream, with its gate."""
     streams = S.byte_streams(spark, d)
-    kind = C.map_numbers(streams, lambda x: (y[1] if (y := C.smallest(x, 0xA9))[:1] == b"\xa9" and y != x else 0), out="kind")
+    kinds = lambda x: [y[1] if y[:1] == b"\xa9" and y != raw else 0 for raw, y in zip(x, C.smallest_many(x, 0xA9), strict=True)]
+    kind = C.map_batches(streams, kinds, out="kind", kind="long")
     return kind.groupBy("kind").agg(F.count("*").alias("n"))
 
 

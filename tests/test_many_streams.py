@@ -83,3 +83,11 @@ def test_the_smallest_forms_of_many_streams(few):
         got = C.smallest_many(ODD, 0xA9, permille=permille)
         assert got == [C.smallest(x, 0xA9, permille=permille) for x in ODD]
         assert C.unwrapped_many(got, 0xA9) == ODD
+
+
+def test_codec_choice_is_that_of_one_by_one(spark):
+    texts = [r["text"].encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r["text"] is not None]
+    kinds = [y[1] if (y := C.smallest(x, 0xA9))[:1] == b"\xa9" and y != x else 0 for x in texts]
+    got = {r["kind"]: r["n"] for r in queries.QUERIES["codec_choice"](spark, "/root/testdata/sf0.001").where("kind is not null").collect()}
+    assert got == {k: kinds.count(k) for k in set(kinds)}
+    assert kinds == [y[1] if y[:1] == b"\xa9" and y != x else 0 for x, y in zip(texts, C.smallest_many(texts, 0xA9), strict=True)]
