@@ -91,3 +91,11 @@ def test_codec_choice_is_that_of_one_by_one(spark):
     got = {r["kind"]: r["n"] for r in queries.QUERIES["codec_choice"](spark, "/root/testdata/sf0.001").where("kind is not null").collect()}
     assert got == {k: kinds.count(k) for k in set(kinds)}
     assert kinds == [y[1] if y[:1] == b"\xa9" and y != x else 0 for x, y in zip(texts, C.smallest_many(texts, 0xA9), strict=True)]
+
+
+def test_token_streams_of_many_streams(few):
+    coded = [lz.lz_compress(x) for x in ODD]
+    parts = C.Tokens(coded).streams()
+    want = [C.token_streams(x) for x in coded]
+    assert all(parts[k] == [x[k] for x in want] for k in parts)
+    assert C.rebuilt_many(parts) == coded
