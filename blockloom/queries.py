@@ -691,7 +691,7 @@ def screen_route_roundtrip(spark, d):
 
 @query(_SAME_DOCUMENTS)
 def separate_streams_roundtrip(spark, d):
-    return same_bytes(S.byte_streams(spark, d), lambda x: C.streams_decode(C.streams_encode(x)))
+    return same_many(S.byte_streams(spark, d), lambda x: C.streams_decode_many(C.streams_encode_many(x)))
 
 
 @query(_SAME_DOCUMENTS)

@@ -99,3 +99,9 @@ def test_token_streams_of_many_streams(few):
     want = [C.token_streams(x) for x in coded]
     assert all(parts[k] == [x[k] for x in want] for k in parts)
     assert C.rebuilt_many(parts) == coded
+
+
+def test_separate_streams_of_many_streams(few):
+    coded = C.streams_encode_many(ODD)
+    assert coded == [C.streams_encode(x) for x in ODD]
+    assert C.streams_decode_many(coded) == ODD
