@@ -105,3 +105,9 @@ def test_separate_streams_of_many_streams(few):
     coded = C.streams_encode_many(ODD)
     assert coded == [C.streams_encode(x) for x in ODD]
     assert C.streams_decode_many(coded) == ODD
+
+
+def test_token_streams_in_their_smallest_forms(few):
+    coded = C.token_streams_encode_many(ODD)
+    assert coded == [C.token_streams_encode(x) for x in ODD]
+    assert C.token_streams_decode_many(coded, SIZES) == ODD
