@@ -111,3 +111,9 @@ def test_token_streams_in_their_smallest_forms(few):
     coded = C.token_streams_encode_many(ODD)
     assert coded == [C.token_streams_encode(x) for x in ODD]
     assert C.token_streams_decode_many(coded, SIZES) == ODD
+
+
+def test_greedy_parses_of_many_streams(few):
+    coded = C.lz_compress_many(ODD)
+    assert coded == [lz.lz_compress(x) for x in ODD]
+    assert C.lz_decompress_many(coded) == C.lz_decompress_many(coded, SIZES) == ODD
