@@ -117,3 +117,10 @@ def test_greedy_parses_of_many_streams(few):
     coded = C.lz_compress_many(ODD)
     assert coded == [lz.lz_compress(x) for x in ODD]
     assert C.lz_decompress_many(coded) == C.lz_decompress_many(coded, SIZES) == ODD
+
+
+def test_a_task_codes_a_few_megabytes_at_once(spark):
+    """However large a batch is, a function gets no more than BATCH bytes, or one stream."""
+    rows = spark.range(9).selectExpr("id AS stream_id", "cast(repeat('x', 1500000) AS binary) AS content").coalesce(1)
+    got = C.map_batches(rows, lambda x: [sum(map(len, x))] * len(x), out="n", kind="long").collect()
+    assert len(got) == 9 and max(r["n"] for r in got) <= J.BATCH
