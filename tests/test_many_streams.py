@@ -124,3 +124,10 @@ def test_a_task_codes_a_few_megabytes_at_once(spark):
     rows = spark.range(9).selectExpr("id AS stream_id", "cast(repeat('x', 1500000) AS binary) AS content").coalesce(1)
     got = C.map_batches(rows, lambda x: [sum(map(len, x))] * len(x), out="n", kind="long").collect()
     assert len(got) == 9 and max(r["n"] for r in got) <= J.BATCH
+
+
+def test_sizes_of_greedy_parses(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r["stream_id"]: r["lz_bytes"] for r in queries.QUERIES["lz_sizes"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: None if x is None else len(lz.lz_compress(x.encode())) for k, x in texts.items()}
+    assert list(map(len, C.lz_compress_many([x.encode() for x in texts.values() if x is not None]))) == [n for n in (got[k] for k in texts) if n is not None]
